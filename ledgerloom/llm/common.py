@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,14 +61,30 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids of words; those of one batch that aren't kept are in fresh."""
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+
+#: White space that str.split() divides words at, besides the six characters.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def ascii_words(text: str) -> list[str]:
+    return WORD_RE.findall(text) if OTHER_SPACE.search(text) else text.split()
+
+
 class WordEncoder:
     """A tokenizer whose normalizer drops white space, so that words between ASCII white space encode on their own.
 
-    Words of up to LONGEST characters are encoded once and kept, up to LIMIT words (it begins anew beyond); texts
-    that hold an added token go to the library whole.
+    Up to LIMIT words of up to LONGEST characters are kept with their ids, the first that are met, which hold the
+    frequent ones. The other words of a batch go to the library as a few texts, parted by a mark that is a token of its
+    own; words with the mark go there alone, and texts that hold an added token whole. ASCII texts are put into lower case first, as the normalizer does.
     """
 
-    LIMIT, LONGEST = 250_000, 64
+    LIMIT, LONGEST, MARKS = 600_000, 64, "@~^"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,26 +92,55 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.special = sorted({t.content for t in self.library.get_added_tokens_decoder().values()})
-        self.known: dict[str, list[int]] = {}
+        #: Ids are kept and joined as bytes.
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.mark = next((m for m in self.MARKS if len(self._whole(m)) == self.dtype.itemsize), None)
+        self.known = _Known()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _encoded(self, words: list[str], together: int = 400) -> Iterator[tuple[str, bytes]]:
+        plain = [w for w in words if self.mark is not None and self.mark not in w]
+        yield from ((w, self._whole(w)) for w in words if self.mark is None or self.mark in w)
+        groups = [plain[k : k + together] for k in range(0, len(plain), together)]
+        between, size = f" {self.mark} ", self.dtype.itemsize
+        cut = np.frombuffer(self._whole(self.mark), self.dtype)[0] if groups else 0
+        for group, e in zip(groups, self.library.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            flat, ends = ids.tobytes(), [*(np.flatnonzero(ids == cut) * size).tolist(), len(ids) * size]
+            at = 0
+            for w, end in zip(group, ends, strict=True):
+                yield w, flat[at:end]
+                at = end + size
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without added tokens."""
+        known, special = self.known, self.special
+        words = [None if any(s in t for s in special) else ascii_words(t.lower() if t.isascii() else t) for t in texts]
+        known.fresh = {}
+        for w, ids in self._encoded([w for w in set(chain.from_iterable(ws for ws in words if ws)) if w not in known]):
+            if len(known) < self.LIMIT and len(w) <= self.LONGEST:
+                known[w] = ids
+            else:
+                known.fresh[w] = ids
+        get = known.__getitem__
+        return [np.frombuffer(self._whole(t) if ws is None else b"".join(map(get, ws)), self.dtype) for t, ws in zip(texts, words, strict=True)]
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.library.encode(text, add_special_tokens=False).ids
-        words = WORD_RE.findall(text)
-        if new := list(set(words) - self.known.keys()):
-            if len(self.known) + len(new) > self.LIMIT:
-                self.known.clear()
-                new = list(set(words))
-            encoded = self.library.encode_batch(new, add_special_tokens=False)
-            fresh = {w: e.ids for w, e in zip(new, encoded, strict=True)}
-            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= self.LONGEST)
-            known = self.known if all(w in self.known for w in new) else self.known | fresh
-        else:
-            known = self.known
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return out
+        return self.batch([text])[0].tolist()
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of some megabytes, so that texts take little memory beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
 
 @lru_cache(maxsize=4)

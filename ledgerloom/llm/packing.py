@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, stored, vocabulary
+from .common import bounded, encoder, slices, stored, vocabulary
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row_no long"
 PACKED = f"{PIECE}, sequence_id long, offset long, free long, gap boolean"
@@ -71,12 +71,12 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     share a doc_id apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path).batch
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(found.astype("<u4"), np.array([end_id], "<u4"))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     out.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes()), row))
@@ -136,6 +136,7 @@ def best_fit_packing(
     Defined cases: a null or empty text is a piece of one id; repeated rows are packed each; a null doc_id stays null;
     other columns are ignored; an empty table gives no rows.
     """
+    bounded(docs.sparkSession)
     done = pack(pieces(docs, path or vocabulary("word_bpe_49k.json"), capacity, end_id), capacity, per_partition)
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

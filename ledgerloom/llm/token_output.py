@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, stored, vocabulary
+from .common import bounded, encoder, slices, stored, vocabulary
 
 MAGIC = b"EFTOK1\0\0"
 #: magic, documents, documents without id, ids, bytes an id, bytes of the code of ends and of doc_ids, least doc_id
@@ -151,9 +151,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, partitions: int, segme
             data = write_segment(names, ids, id_bytes)
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, number, before, size, data), schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.array([*encode_text(text.as_py() or ""), end_id], f"<u{id_bytes}")
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode_text.batch(texts), strict=True):
+                found = np.append(own.astype(f"<u{id_bytes}"), np.array([end_id], f"<u{id_bytes}"))
                 names.append(doc_id)
                 ids.append(found)
                 size += len(found)
@@ -206,5 +207,6 @@ def export_segments(segments: DataFrame, folder: str) -> list[str]:
 def token_output(docs: DataFrame, path: str | None = None, end_id: int = 2, partitions: int | None = None) -> DataFrame:
     """Writes all documents' ids (whole texts, then end_id) as segments and returns what is read back from them."""
     spark = docs.sparkSession
+    bounded(spark)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     return read_tokens(write_tokens(docs, path or vocabulary("word_bpe_49k.json"), end_id, n))
