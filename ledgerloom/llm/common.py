@@ -84,7 +84,7 @@ class WordEncoder:
     own; words with the mark go there alone, and texts that hold an added token whole. ASCII texts are put into lower case first, as the normalizer does.
     """
 
-    LIMIT, LONGEST, MARKS = 600_000, 64, "@~^"
+    LIMIT, LONGEST, MARKS = 1_000_000, 64, "@~^"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).batch
         row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             out: list[tuple] = []
             for doc_id, found in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = np.append(found.astype("<u4"), np.array([end_id], "<u4"))

@@ -151,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, partitions: int, segme
             data = write_segment(names, ids, id_bytes)
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, number, before, size, data), schema, strict=True)], schema=schema)
 
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, own in zip(batch.column(0).to_pylist(), encode_text.batch(texts), strict=True):
                 found = np.append(own.astype(f"<u{id_bytes}"), np.array([end_id], f"<u{id_bytes}"))
