@@ -15,6 +15,7 @@ from .pii import personal_data
 from .secrets import secrets
 from .sharding import shard
 from .token_output import token_output
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_secret_scans,
         op2_best_fit_packing,
+        op3_toxicity,
         op4_pii,
         op5_benchmark_decontamination,
         op6_html_extraction,
