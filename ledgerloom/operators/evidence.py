@@ -126,26 +126,31 @@ def log_factorial(n: Column) -> Column:
     return F.aggregate(F.when(n >= 2, F.sequence(F.lit(2).cast("long"), n)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, k: a + F.ln(k.cast("double")))
 
 
-def _binomial_sum(first: Column, last: Column, n: Column, p: Column) -> Column:
-    """Sum of binomial probabilities from first to last, each term from the one before."""
+def _terms(first: Column, n: Column, p: Column, up: bool) -> Column:
+    """Sum of binomial probabilities from first to n, or down to 0, each term from the one before. Away from the middle
+    terms shrink, so the first is the largest and doesn't vanish unless the sum does."""
     start = F.exp(log_factorial(n) - log_factorial(first) - log_factorial(n - first) + first.cast("double") * F.ln(p) + (n - first).cast("double") * F.ln(1 - p))
     zero = F.struct(start.alias("term"), start.alias("sum"))
 
     def step(a: Column, k: Column) -> Column:
-        term = a["term"] * (n - k + 1).cast("double") / k.cast("double") * p / (1 - p)
-        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+        times = (n - k + 1).cast("double") / k.cast("double") * p / (1 - p) if up else (k + 1).cast("double") / (n - k).cast("double") * (1 - p) / p
+        return F.struct((a["term"] * times).alias("term"), (a["sum"] + a["term"] * times).alias("sum"))
 
-    rest = F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(last >= first, F.least(F.aggregate(rest, zero, step, lambda a: a["sum"]), F.lit(1.0))).otherwise(F.lit(0.0))
+    none = F.array().cast("array<bigint>")
+    rest = F.when(first < n, F.sequence(first + 1, n)).otherwise(none) if up else F.when(first > 0, F.sequence(first - 1, F.lit(0).cast("long"))).otherwise(none)
+    return F.least(F.aggregate(rest, zero, step, lambda a: a["sum"]), F.lit(1.0))
 
 
 def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
-    return _binomial_sum(F.lit(0).cast("long"), k, n, p)
+    """Probability of k or fewer of n."""
+    low = k.cast("double") <= n.cast("double") * p
+    return F.when(k >= n, F.lit(1.0)).when(k < 0, F.lit(0.0)).when(low, _terms(k, n, p, False)).otherwise(1.0 - _terms(k + 1, n, p, True))
 
 
 def binomial_upper_tail(k: Column, n: Column, p: Column) -> Column:
     """Probability of k or more of n."""
-    return F.when(k <= 0, F.lit(1.0)).otherwise(_binomial_sum(k, n, n, p))
+    high = k.cast("double") > n.cast("double") * p
+    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).when(high, _terms(k, n, p, True)).otherwise(1.0 - _terms(k - 1, n, p, False))
 
 
 def mcnemar(b: Column, c: Column) -> Column:

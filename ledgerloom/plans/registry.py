@@ -1,4 +1,4 @@
-"""Named queries and their SQL, gathered from the modules beside this one."""
+"""Where the modules beside this one register their queries and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -34,10 +34,3 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFra
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["gates_block"](spark, sf_dir)
-
-
-from . import evidence_queries, payload_queries, record_queries  # noqa: E402, F401

@@ -1,6 +1,6 @@
 import pytest
 
-from ledgerloom.plans.registry import QUERIES, SQL
+from ledgerloom.plans.catalog import QUERIES, SQL
 
 from .oracle import of_spark, of_sql
 
