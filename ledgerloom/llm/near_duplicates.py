@@ -7,11 +7,12 @@ the pigeonhole principle, a chunk with at most d // chunks differing values; eac
 (13 chunks of 6 values, 1 error) two sets with a similarity of 0.8 fail to meet with a chance of 1e-6; all candidates
 are then confirmed on the full sets.
 
-Buckets are never expanded into all pairs. First each member is held against its bucket's smallest (a star); linked
-documents form components. In buckets that still span components, members are held against one drawn by a hash of the
-bucket, and at last the remaining pairs across components are, except those that the triangle inequality rules out
-(1 - similarity is a metric and the distance of both to the bucket's smallest is known by then). Pairs within a component
-need no test, so no link that could join two components is lost.
+Buckets are never expanded into pairs. Each member is held against its bucket's smallest, the hub (a star); linked
+documents form components. Two members of a bucket share its hub, so what is left to test are the members of a hub across
+components. They are dealt in blocks of bounded size, every pair of blocks once, and a task tests its members on their
+full sets against all others that the triangle inequality doesn't rule out (1 - similarity is a metric, and the distance
+of both to the hub is known by then); it returns only links that join components. Pairs within a component need no test,
+so no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -159,15 +160,63 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that span components: those of buckets, and component."""
-    rows = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = rows.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y").select("key")
-    return rows.join(split, "key", "left_semi")
-
-
-def _ordered(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+BLOCK_BYTES = 6 << 20
+
+
+def joining_links(part: pa.Table, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) across components among members (node, component, apart, block, shingles); of two blocks only those
+    between them. Members of the largest component are only tested against."""
+    nodes, names, apart, block = (part.column(c).to_numpy() for c in ("node", "component", "apart", "block"))
+    lists = part.column("shingles").combine_chunks()
+    flat = lists.flatten().to_numpy().view(np.uint64)  # as which they are sorted
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    sizes = np.diff(ends)
+    _, home, counts = np.unique(names, return_inverse=True, return_counts=True)
+    root = np.arange(len(counts))
+    out = []
+    small = np.argsort(counts[home], kind="stable")
+    for x in small[home[small] != counts.argmax()]:
+        own = flat[ends[x] : ends[x + 1]]
+        mine = root[home]
+        fits = (mine != mine[x]) & (np.abs(apart - apart[x]) <= 1 - percent / 100 + 1e-9)
+        fits &= (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes)
+        if lo != hi:
+            fits &= block != block[x]
+        if not fits.any():
+            continue
+        others = np.flatnonzero(fits)
+        starts = np.concatenate([[0], np.cumsum(sizes[others])])
+        theirs = np.concatenate([flat[ends[y] : ends[y + 1]] for y in others])
+        at = np.searchsorted(own, theirs)
+        at[at == len(own)] = 0
+        both = np.add.reduceat((own[at] == theirs).astype(np.int64), starts[:-1])
+        for y in others[100 * both >= percent * (sizes[others] + sizes[x] - both)]:
+            a, b = root[home[x]], root[home[y]]
+            if a != b:
+                root[root == a] = b
+                out.append((int(min(nodes[x], nodes[y])), int(max(nodes[x], nodes[y]))))
+    return out
+
+
+def _left(tested: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components among the members of each hub: a, b."""
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    rows = tested.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    rows = rows.select("a", "b", "apart", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b"))
+    hubs = rows.groupBy("a").agg(F.count("*").alias("n"), F.min(F.least("_a", "_b")).alias("x"), F.max(F.greatest("_a", "_b")).alias("y"))
+    hubs = hubs.where("n > 1 and x < y").select("a")
+    members = rows.join(hubs, "a", "left_semi").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("_b").alias("component"), "apart").distinct()
+    met = stored(members.join(sets, "node").withColumn("bytes", F.size("shingles") * 8), "members")
+    blocks = met.groupBy("hub").agg(F.ceil(F.sum("bytes") / F.lit(float(BLOCK_BYTES))).cast("int").alias("blocks"))
+    dealt = met.drop("bytes").join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    pairs = dealt.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "apart", "shingles")
+
+    def test(key: tuple, part: pa.Table) -> pa.Table:
+        found = joining_links(part, key[1].as_py(), key[2].as_py(), percent)
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return pairs.groupBy("hub", "lo", "hi").applyInArrow(test, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -185,34 +234,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = stored(sized.select("row_no", "doc_id", "signature").join(classes, "row_no", "left_semi").withColumnRenamed("doc_id", "node"), "classes")
     spread = _bucket_rows(reps)
     shared = spread.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1")
-    buckets = stored(spread.join(shared, "key"), "buckets")
-    sets = stored(_sets(docs, buckets.select("node").distinct(), width), "sets")
-
-    star = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = spread.join(shared, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = stored(star, "stars")
+    nodes = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    sets = stored(_sets(docs, nodes, width), "sets")
     tested = stored(_confirmed(star, sets, percent).distinct(), "tested")
-    links = tested.where("linked")
+    links = tested.where("linked").select("a", "b")
     labels = components(links)
-
-    wide = _across(buckets.where("members > 2"), labels)
-    drawn = wide.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("_hub"), F.min_by("component", F.xxhash64("node", "key")).alias("_of"))
-    again = wide.join(drawn, "key").where("component <> _of").select(*_ordered(F.col("node"), F.col("_hub"))).distinct()
-    more = stored(_confirmed(again.join(tested, ["a", "b"], "left_anti"), sets, percent).distinct(), "tested")
-    if more.where("linked").limit(1).count():
-        links = links.unionByName(more.where("linked"))
-        labels = components(links)
-
-    known = tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), "apart")
-    wide = _across(buckets.where("members > 2"), labels).join(known, ["hub", "node"], "left").withColumn("apart", F.coalesce("apart", F.lit(0.0)))
-    wide = stored(wide.select("key", "node", "component", "apart"), "wide")
-    other = wide.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "component", "apart")])
-    reach = 1 - percent / 100 + 1e-9
-    left = wide.join(other, "key").where((F.col("component") < F.col("_component")) & (F.abs(F.col("apart") - F.col("_apart")) <= reach))
-    left = left.select(*_ordered(F.col("node"), F.col("_node"))).distinct()
-    left = left.join(tested.select("a", "b").unionByName(more.select("a", "b")), ["a", "b"], "left_anti")
-    last = stored(_confirmed(left, sets, percent).distinct(), "tested")
-    if last.where("linked").limit(1).count():
-        labels = components(links.unionByName(last.where("linked")))
+    more = stored(_left(tested, labels, sets, percent), "more-links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
 
     found = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("_component"))
     whole = F.coalesce("_component", "doc_id")
     return rows.join(found, "set_hash", "left").select("doc_id", "row_no", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"))
+
+
+#: Two-word sets in SQL: pairs by common shingles, components by reachability.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+k AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(m, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
