@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality
+from . import decontamination, near_duplicates as near, quality, secrets as secret_scans
 from .common import table
 from .html_text import extract
 from .near_duplicates import near_duplicates
@@ -76,6 +76,8 @@ QUERIES: dict[str, Query] = {
     )
 }
 SQL: dict[str, str] = {
+    "op1_secret_scans": secret_scans.SQL,
     "op5_benchmark_decontamination": decontamination.SQL,
     "op7_quality_rules": quality.SQL,
+    "op9_minhash_near_dedup": near.SQL,
 }

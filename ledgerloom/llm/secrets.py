@@ -101,7 +101,7 @@ def train(spark: SparkSession) -> list[int]:
 def scored(token: Column, ratios: list[int]) -> Column:
     """Sum over a token's character pairs, in thousandths."""
     table, size = F.lit(np.array(ratios, np.int32)), len(ALPHABET)
-    codes = F.transform(F.split(token, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1)
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1)
     start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("sum"))
 
     def step(a: Column, c: Column) -> Column:
@@ -150,3 +150,45 @@ def secrets(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     found = secret_spans(docs)
     return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _spans_sql(kind: str, pattern: str, value: int, least: int) -> str:
+    cut = lambda group: f"regexp_extract_all(t, '{cutter}', {group})"
+    cutter = rf"(?s)(.*?)(?:({pattern})|\z)".replace("'", "''")
+    return f"""
+{kind}_p AS (SELECT rid, unnest(range(1, len({cut(1)}) + 1)) AS k, unnest({cut(1)}) AS gap, unnest({cut(2)}) AS hit, unnest({cut(2 + value)}) AS val FROM d),
+{kind}_s AS (SELECT rid, '{kind}' AS kind, hit, val, sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY k) AS b FROM {kind}_p),
+{kind}_x AS (SELECT rid, kind, hit, b - length(hit) AS a, b FROM {kind}_s WHERE hit <> '' AND length(val) >= {least})"""
+
+
+#: The same in SQL, training included.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{_spans_sql("assign", ASSIGN, 2, 12)},
+{_spans_sql("access", ACCESS, 0, 18)},
+{_spans_sql("hex", HEX, 0, 16)},
+{_spans_sql("random", CANDIDATE, 0, 20)},
+base AS (SELECT rid, kind, a, b, 1 AS o FROM assign_x UNION ALL SELECT rid, kind, a, b, 2 FROM access_x UNION ALL SELECT rid, kind, a, b, 3 FROM hex_x),
+r AS (SELECT id, sha256('s' || id) AS digest, rtrim(base64(unhex(sha256('s' || id))), '=') AS coded, string_split('{WORDS}', ' ') AS w FROM range(0, 3000) q(id)),
+m AS (SELECT id, list_transform(range(1, 5), lambda k: w[(id * (7919 * k + 104729) + 31 * k) % len(w) + 1]) AS p FROM r),
+n AS (SELECT id, p[1:id % 3 + 2] AS made, p[1] || array_to_string(list_transform(p[2:id % 3 + 2][1:3], lambda x: upper(x[1]) || x[2:]), '') AS camel FROM m),
+s AS (
+  SELECT 1 AS secret, CASE id % 3 WHEN 0 THEN digest WHEN 1 THEN coded ELSE translate(coded, '+/', '-_') END AS s FROM r UNION ALL
+  SELECT 0, CASE id % 4 WHEN 0 THEN camel WHEN 1 THEN array_to_string(made, '_') WHEN 2 THEN array_to_string(made, '-') ELSE upper(array_to_string(made, '_')) END || CASE WHEN id % 5 = 0 THEN CAST(id % 100 AS VARCHAR) ELSE '' END FROM n
+),
+g AS (SELECT secret, s[i:i] AS x, s[i + 1:i + 1] AS y, count(*) AS c FROM (SELECT secret, s, unnest(range(1, length(s))) AS i FROM s) GROUP BY ALL),
+tot AS (SELECT secret, x, sum(c) AS c FROM g GROUP BY ALL),
+ab AS (SELECT unnest(string_split('{ALPHABET}', '')) AS x),
+llr AS (
+  SELECT u.x, v.x AS y, round(1000 * (ln((coalesce(g1.c, 0) + 1) / (coalesce(t1.c, 0) + {len(ALPHABET)})::DOUBLE) - ln((coalesce(g0.c, 0) + 1) / (coalesce(t0.c, 0) + {len(ALPHABET)})::DOUBLE)))::BIGINT AS v
+  FROM ab u, ab v LEFT JOIN g g1 ON g1.secret = 1 AND g1.x = u.x AND g1.y = v.x LEFT JOIN g g0 ON g0.secret = 0 AND g0.x = u.x AND g0.y = v.x
+  LEFT JOIN tot t1 ON t1.secret = 1 AND t1.x = u.x LEFT JOIN tot t0 ON t0.secret = 0 AND t0.x = u.x
+),
+free AS (SELECT * FROM random_x q WHERE NOT EXISTS (SELECT 1 FROM base z WHERE z.rid = q.rid AND z.a < q.b AND q.a < z.b)),
+fp AS (SELECT rid, a, b, hit, unnest(range(1, length(hit))) AS i FROM free),
+more AS (SELECT rid, 'random' AS kind, a, b, 4 AS o FROM fp JOIN llr ON llr.x = hit[i:i] AND llr.y = hit[i + 1:i + 1] GROUP BY rid, a, b HAVING sum(v) > {THRESHOLD} * (b - a - 1)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(es, '') AS spans
+FROM d LEFT JOIN (SELECT rid, count_if(o = 1) AS n_assign, count_if(o = 2) AS n_access, count_if(o = 3) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) AS bs FROM base GROUP BY rid) USING (rid)
+LEFT JOIN (SELECT rid, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) AS es FROM every GROUP BY rid) USING (rid)
+"""

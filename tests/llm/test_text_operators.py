@@ -191,8 +191,9 @@ def test_quality_matches_brute_force(spark, sf_dir):
     assert Counter(map(tuple, got)) == Counter((r.doc_id, *brute_quality(r.text)) for r in docs)
 
 
-def test_quality_matches_sql(spark, sf_dir):
-    assert_same(queries.op7_quality_rules(spark, sf_dir), quality.SQL, sf_dir)
+@pytest.mark.parametrize("name", ["op1_secret_scans", "op7_quality_rules", "op9_minhash_near_dedup"])
+def test_queries_match_sql(spark, sf_dir, name):
+    assert_same(queries.QUERIES[name](spark, sf_dir), queries.SQL[name], sf_dir)
 
 
 def test_quality_odd_rows(odd):
@@ -330,3 +331,35 @@ def test_signature_pairs_meet():
         b[far] ^= 1
         ka, kb = signer.keys(np.stack([a, b]))
         assert set(ka) & set(kb)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_links_in_blocks_join_all(blocks):
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 1 << 64, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        s[draw.choice(60, draw.integers(0, 12), replace=False)] = draw.integers(0, 1 << 64, 1, dtype=np.uint64)
+        sets.append(np.unique(s))
+    sim = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    names = np.arange(60) // 2 * 2
+    part = {"node": np.arange(60), "component": names, "apart": [1 - sim(base, s) for s in sets], "block": np.arange(60) % blocks, "shingles": [s.view(np.int64) for s in sets]}
+    found = []
+    for lo in range(blocks):
+        for hi in range(lo, blocks):
+            keep = [i for i in range(60) if i % blocks in (lo, hi)]
+            found += near_duplicates.joining_links(pa.table({k: pa.array([v[i] for i in keep]) for k, v in part.items()}), lo, hi, 80)
+
+    def groups(links):
+        home = list(names)
+        for a, b in links:
+            x, y = home[a], home[b]
+            home = [y if h == x else h for h in home]
+        return {frozenset(i for i in range(60) if home[i] == h) for h in home}
+
+    every = [(a, b) for a in range(60) for b in range(a) if sim(sets[a], sets[b]) >= 0.8]
+    assert groups(found) == groups(every) and all(sim(sets[a], sets[b]) >= 0.8 for a, b in found)
