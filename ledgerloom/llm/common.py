@@ -76,12 +76,22 @@ def ascii_words(text: str) -> list[str]:
     return WORD_RE.findall(text) if OTHER_SPACE.search(text) else text.split()
 
 
+def lower_latin(text: str) -> str:
+    """Lower case of texts below U+0100, where it goes letter by letter and composition changes nothing; others as they are."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordEncoder:
     """A tokenizer whose normalizer drops white space, so that words between ASCII white space encode on their own.
 
     Up to LIMIT words of up to LONGEST characters are kept with their ids, the first that are met, which hold the
     frequent ones. The other words of a batch go to the library as a few texts, parted by a mark that is a token of its
-    own; words with the mark go there alone, and texts that hold an added token whole. ASCII texts are put into lower case first, as the normalizer does.
+    own; words with the mark go there alone, and texts that hold an added token whole. Latin texts are put into lower case first, as the normalizer does.
     """
 
     LIMIT, LONGEST, MARKS = 1_000_000, 64, "@~^"
@@ -117,7 +127,7 @@ class WordEncoder:
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without added tokens."""
         known, special = self.known, self.special
-        words = [None if any(s in t for s in special) else ascii_words(t.lower() if t.isascii() else t) for t in texts]
+        words = [None if any(s in t for s in special) else ascii_words(lower_latin(t)) for t in texts]
         known.fresh = {}
         for w, ids in self._encoded([w for w in set(chain.from_iterable(ws for ws in words if ws)) if w not in known]):
             if len(known) < self.LIMIT and len(w) <= self.LONGEST:

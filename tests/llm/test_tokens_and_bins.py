@@ -35,7 +35,7 @@ def odd(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list(" \t\n\x0b\x1c\x85\xa0 aAbsStT'.,!019éÉ́σΣİß漢😀<|>endoftext")), max_size=60))
+@given(st.text(alphabet=st.sampled_from(list(" \t\n\x0b\x1c\x85\xa0 aAbsStT'.,!019éÉÇßµÿÀ÷×ªº²½́σΣİ漢😀<|>endoftext")), max_size=60))
 def test_words_encode_as_whole_texts(text):
     assert OURS(text) == WHOLE.encode(text, add_special_tokens=False).ids
 
@@ -191,3 +191,9 @@ def test_place_balances_all():
     at = place(v, 16)
     total = np.stack([v[at == k].sum(axis=0) for k in range(16)])
     assert (total.max(axis=0) / total.mean(axis=0)).max() < 1.1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=255), max_size=40))
+def test_latin_words_encode_as_whole_texts(text):
+    assert OURS(text) == WHOLE.encode(text, add_special_tokens=False).ids
