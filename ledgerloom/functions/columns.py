@@ -71,3 +71,25 @@ def word_f1(a: Column, b: Column) -> Column:
 def median(values: Column) -> Column:
     """The mean of the two middle values as an aggregate; 0 of none."""
     return F.coalesce(F.median(values), F.lit(0.0))
+
+
+def money(cents: Column) -> Column:
+    """Whole cents as the shortest decimal."""
+    text = (cents.cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(18,2)").cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "")
+
+
+def part_name(number: Column, parts: Column) -> Column:
+    """part1, part2, …, with as many digits as the number of parts has."""
+    return F.concat(F.lit("part"), F.lpad(number.cast("string"), F.length(parts.cast("string")), F.lit("0")))
+
+
+def representation(codec: Column, savings: Column) -> Column:
+    """What was sent: the codec with its estimated savings, or json."""
+    thousandths = F.round(savings * 1000).cast("long")
+    shown = F.concat(codec, F.lit("; est_savings="), F.floor(thousandths / 1000).cast("string"), F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, "0"))
+    return F.when(codec.isNull() | (codec == ""), F.lit("json")).otherwise(shown)
+
+
+def allowed_host(url: Column, hosts: list[str]) -> Column:
+    return F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1)).isin(hosts)

@@ -152,9 +152,9 @@ def leaves(v: object, prefix: str) -> list[str]:
     while todo:
         path, x = todo.pop()
         if isinstance(x, dict):
-            todo += [(f"{path}.{k}", y) for k, y in x.items()]
+            todo += [(f"{path}/{k}", y) for k, y in x.items()]
         elif isinstance(x, list):
-            todo += [(f"{path}.{i}", y) for i, y in enumerate(x)]
+            todo += [(f"{path}/{i}", y) for i, y in enumerate(x)]
         else:
             out.add(f"{path}={write(x)}")
     return sorted(out)

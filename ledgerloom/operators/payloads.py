@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonlex as J
 from ..functions.codecs import CODECS, Ineligible
 from ..functions.codecs.tabular import PRIMER, as_table
-from ..functions.columns import json_string, tokens
+from ..functions.columns import tokens
 from ..functions.lazy import arrow_udf
 
 
@@ -231,4 +231,10 @@ def coverage(blocks: DataFrame, group: str, policy: Policy = Policy()) -> DataFr
     )
 
 
-__all__ = ["json_string"]
+
+
+def largest_blocks(blocks: DataFrame, request: str, body: str, order: str, most: int = 1 << 20) -> DataFrame:
+    """Per request its largest block of up to `most` bytes, the first among equals: what calibration counts."""
+    size = F.octet_length(body)
+    kept = blocks.where(size <= most).groupBy(request).agg(F.max_by(F.struct(order, body), F.struct(size.alias("size"), (-F.col(order)).alias("o"))).alias("b"))
+    return kept.select(request, f"b.{order}", f"b.{body}")

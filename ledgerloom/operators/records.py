@@ -143,3 +143,22 @@ def label_pairs(judged: DataFrame, keys: Sequence[str], label: str, same: str) -
     a = judged.select(*keys, F.col(label).alias("l1"), F.col(same).alias("_x"))
     b = judged.select(*keys, F.col(label).alias("l2"), F.col(same).alias("_y"))
     return a.join(b, list(keys)).where(F.col("l1") < F.col("l2")).select(*keys, "l1", "l2", (F.col("_x") == F.col("_y")).alias("same"))
+
+
+def primer_adopted(models: DataFrame, least: int = 3) -> DataFrame:
+    """Per variant: adopted if the cost change's upper bound is below 0 on `least` models and no verdict ranks worse."""
+    better, worse = F.col("cost_hi") < 0, F.col("rank") > F.col("base_rank")
+    rows = models.groupBy("variant").agg(F.count_if(better).alias("cheaper"), F.count_if(worse).alias("worse"))
+    return rows.withColumn("adopted", (F.col("cheaper") >= least) & (F.col("worse") == 0))
+
+
+def format_tokens(records: DataFrame, formats: Sequence[str]) -> DataFrame:
+    """Input tokens of each data set in each format side by side, with a row for all."""
+    rows = counted(records).rollup("dataset").agg(*[F.sum(F.when(F.col("format") == f, F.col("input_tokens"))).alias(f) for f in formats])
+    return rows.withColumn("dataset", F.coalesce("dataset", F.lit("all")))
+
+
+def limited(questions: DataFrame, per: str, order: str, n: int) -> DataFrame:
+    """The first n questions of each group in order."""
+    w = Window.partitionBy(per).orderBy(order)
+    return questions.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -83,3 +83,19 @@ def checked(calls: DataFrame, contract: dict, context: dict) -> DataFrame:
         return pd.Series([[{"step": s, "message": m} for s, m in M.violations({"name": n, "args": a}, contract, context)] for n, a in zip(names, args, strict=True)])
 
     return calls.withColumn("violations", found("name", "args"))
+
+
+USAGE = "struct<usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint, prompt_tokens bigint, completion_tokens bigint, prompt_tokens_details struct<cached_tokens bigint>>>"
+
+
+def usage(body: Column) -> Column:
+    """Input (with what was cached), output and cached tokens of a response in either format."""
+    u = F.from_json(body, USAGE)["usage"]
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    read = zero(u["cache_read_input_tokens"])
+    prompt = u["prompt_tokens"]
+    return F.struct(
+        F.coalesce(prompt, zero(u["input_tokens"]) + read + zero(u["cache_creation_input_tokens"])).alias("input_tokens"),
+        zero(F.coalesce(u["completion_tokens"], u["output_tokens"])).alias("output_tokens"),
+        F.when(prompt.isNotNull(), zero(u["prompt_tokens_details"]["cached_tokens"])).otherwise(read).alias("cached_tokens"),
+    )

@@ -273,3 +273,53 @@ def scope_authz(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice <= 250000 AS allowed FROM orders")
 def max_amount_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", W.within_amount(F.col("o_totalprice").cast("decimal(38,18)"), "250000").alias("allowed"))
+
+
+@query(f"WITH {PAYLOADS}, l AS (SELECT *, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY strlen(json) DESC, o_custkey) AS rn FROM p WHERE strlen(json) <= 1200) SELECT o_custkey % 200 AS request_id, o_custkey, sha256(json) AS json_sha FROM l WHERE rn = 1")
+def calibration_largest_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = order_payloads(spark, sf_dir).withColumn("request_id", F.col("o_custkey") % 200)
+    return P.largest_blocks(blocks, "request_id", "json", "o_custkey", 1200).select("request_id", "o_custkey", F.sha2("json", 256).alias("json_sha"))
+
+
+@query(
+    """SELECT event_id, regexp_replace(CAST(CAST(event_id * 37 % 100000 AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2))::VARCHAR, '\\.?0+$', '') AS money, 'part' || lpad(CAST(event_id % 12 + 1 AS VARCHAR), 2, '0') AS part,
+    CASE WHEN event_id % 3 = 0 THEN 'json' ELSE 'toonx; est_savings=0.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') END AS representation FROM events WHERE event_id * 37 % 100000 % 100 <> 0"""
+)
+def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    cents = e * 37 % 100000
+    codec = F.when(e % 3 != 0, F.lit("toonx"))
+    rows = table(spark, sf_dir, "events").where(cents % 100 != 0)
+    return rows.select("event_id", C.money(cents).alias("money"), C.part_name(e % 12 + 1, F.lit(12)).alias("part"), C.representation(codec, (e % 1000).cast("double") / 1000).alias("representation"))
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) IN ('thther.example.org', 'm.ththth.example.net') AS allowed FROM pages")
+def endpoint_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", C.allowed_host(F.col("url"), ["thther.example.org", "m.ththth.example.net"]).alias("allowed"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 100 + user_id + event_id % 7 + event_id % 3 ELSE 100 + user_id END AS input_tokens, event_id % 11 AS output_tokens, event_id % 7 AS cached_tokens FROM events")
+def response_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of responses in either format: one counts cached input apart, the other within."""
+    e, u = F.col("event_id"), F.col("user_id") + 100
+    one = F.to_json(F.struct(F.struct(u.alias("input_tokens"), (e % 7).alias("cache_read_input_tokens"), (e % 3).alias("cache_creation_input_tokens"), (e % 11).alias("output_tokens")).alias("usage")))
+    two = F.to_json(F.struct(F.struct(u.alias("prompt_tokens"), (e % 11).alias("completion_tokens"), F.struct((e % 7).alias("cached_tokens")).alias("prompt_tokens_details")).alias("usage")))
+    return table(spark, sf_dir, "events").select("event_id", W.usage(F.when(e % 2 == 0, one).otherwise(two)).alias("u")).select("event_id", "u.*")
+
+
+@query(
+    """SELECT event_id, event_id % 3 <> 1 AS agree, event_id % 3 <> 1 AND event_id % 2 = 0 AS exact_match, event_id % 3 <> 1 AS tool_calls_equal, CASE WHEN event_id % 3 = 1 THEN 0.5::DOUBLE ELSE 1 END AS field_agreement, event_id % 2 = 0 AS text_equal FROM events"""
+)
+def compare_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arms with the same call written differently, or another argument; the same structured output; other texts."""
+    from ..operators.agreement import compared
+
+    e, u = F.col("event_id"), F.col("user_id").cast("string")
+    args = F.concat(F.lit('{"id":'), u, F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
+    other = F.concat(F.lit('{ "type": "'), F.col("event_type"), F.lit('", "id": '), F.when(e % 3 == 1, F.lit("-1")).otherwise(u), F.lit("}"))
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.lit("Done  now").alias("a_text"), F.when(e % 2 == 0, F.lit("done now")).otherwise(F.lit("done")).alias("b_text"),
+        F.array(F.lit("list")).alias("a_names"), F.array(F.lit("list")).alias("b_names"), F.array(args).alias("a_args"), F.array(other).alias("b_args"),
+        F.lit('{"ok":true}').alias("a_structured"), F.lit('{"ok": true}').alias("b_structured"),
+    )
+    return compared(rows, "a", "b").select("event_id", "agreement.*")

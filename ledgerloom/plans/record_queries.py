@@ -273,3 +273,33 @@ def generated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = (F.col("id") * 7919 + F.col("seed") * 104729 + F.length("dataset") * 31) % 100000
     status = F.element_at(F.array(*[F.lit(x) for x in ("open", "paid", "sent")]), ((F.col("id") * 31 + F.col("seed")) % 3 + 1).cast("int"))
     return rows.select("dataset", "rows", "seed", "id", cents.alias("cents"), status.alias("status"))
+
+
+@query(
+    f"""WITH {PAIRS}, s AS (SELECT model, dataset, {SUMS} FROM pr GROUP BY ALL), m AS (SELECT dataset AS variant, (ib + 4::DOUBLE * ob) / (ia + 4::DOUBLE * oa) - 1 + 0.17::DOUBLE AS cost_hi, CASE WHEN ok_b < ok_a - 6 THEN 1 ELSE 0 END AS rank FROM s)
+    SELECT variant, count_if(cost_hi < 0) AS cheaper, count_if(rank > 0) AS worse, count_if(cost_hi < 0) >= 3 AND count_if(rank > 0) = 0 AS adopted FROM m GROUP BY variant"""
+)
+def primer_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = R.paired_sums(toonx_pairs(spark, sf_dir), ["model", "dataset"])
+    rank = F.when(F.col("ok_b") < F.col("ok_a") - 6, 1).otherwise(0)
+    return R.primer_adopted(sums.select(F.col("dataset").alias("variant"), (0.17 - R.net_saving()).alias("cost_hi"), rank.alias("rank"), F.lit(0).alias("base_rank")))
+
+
+@query(f"WITH {COUNTED} SELECT coalesce(dataset, 'all') AS dataset, " + ", ".join(f"sum(input_tokens) FILTER (format = '{f}')::BIGINT AS \"{f}\"" for f in FORMATS) + " FROM k GROUP BY ROLLUP (dataset)")
+def format_token_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.format_tokens(records(spark, sf_dir), FORMATS)
+
+
+@query(f"WITH r AS ({RECORDS}), q AS (SELECT DISTINCT question_id, kind FROM r WHERE question_id % 2 = 0) SELECT question_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY question_id) AS rn FROM q) WHERE rn <= 7")
+def limit_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the questions that a list names, the first seven of each kind."""
+    every = records(spark, sf_dir).select("question_id", "kind").distinct()
+    wanted = spark.range(0, 400, 2).select(F.col("id").alias("question_id"))
+    return R.limited(every.join(wanted, "question_id", "left_semi"), "kind", "question_id", 7)
+
+
+@query(f"WITH r AS ({RECORDS}) SELECT model, format, count(*) AS sent, count_if(error IS NOT NULL) AS failed, count_if(error IS NULL AND correct) AS correct, count_if(format IN ('toonx', 'tabular')) AS encoded FROM r GROUP BY ALL")
+def drive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).groupBy("model", "format").agg(
+        F.count("*").alias("sent"), F.count_if(~R.succeeded()).alias("failed"), F.count_if(R.succeeded() & F.col("correct")).alias("correct"), F.count_if(F.col("format").isin("toonx", "tabular")).alias("encoded")
+    )
