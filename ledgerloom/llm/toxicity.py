@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, slices, stored
+from .near_duplicates import shingle_set
 
 WORDS = re.compile(r"[^\W\d_]+")
 PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
@@ -186,9 +187,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, toxic) with the least hash of their five-word shingles: copies, and most near copies, share it.
+
+    One document of each key and label is an example; else the words of a text with many copies would pass for signs of
+    its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shingle_set((text or "").encode(), 5)
+                keys.append(int(own[0] >> np.uint64(1)) if len(own) else -1 - abs(doc_id))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["doc_id", "text", "toxic", "key"])
+
+    return rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, key long")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms: int = TERMS, least_chi: float = LEAST_CHI) -> Scorer:
     """Learns from labelled rows that aren't held out: at most per_class of each label, those with the least hash of the
-    id; a doc_id with several labels or texts gives an example for each text with its highest label. What comes to the
+    id, and of copies one; a doc_id with several labels has its highest. What comes to the
     driver is bounded: 2 * per_class ids, n_terms terms, and the examples' weights of those terms."""
     bounded(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
@@ -200,7 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_term
         picked = own if picked is None else picked.unionByName(own)
     ids = docs.sparkSession.createDataFrame(picked.toPandas(), "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    examples = stored(texts.join(F.broadcast(ids), "doc_id"), "examples")
+    drawn = stored(_keyed(texts.join(F.broadcast(ids), "doc_id")), "drawn")
+    firsts = drawn.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    examples = stored(drawn.join(firsts, ["key", "toxic", "doc_id"], "left_semi").dropDuplicates(["key", "toxic"]).drop("key"), "examples")
 
     def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):

@@ -61,8 +61,16 @@ def test_labels_of_held_out_rows_are_never_read(spark, sf_dir):
     assert a == b
 
 
+def test_copies_count_as_one_example(spark):
+    rows = [(i, "copied words of one text" if i < 30 else f"{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]} " + ("you awful vermin" if i % 2 else "nice day")) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = toxicity.train(docs, spark.createDataFrame([(i, int(i < 30 or i % 2)) for i in range(100)], "doc_id long, toxic int"))
+    assert scorer.vector("awful") and not scorer.vector("copied")
+
+
 def test_toxicity_odd_rows(spark):
-    rows = [(i, f"nice day number {'abcdefgh'[i % 8]}" if i % 3 else "you awful vermin", "x") for i in range(60)] + [(61, None, "x"), (62, "", None), (None, "awful vermin", "x"), (0, "you awful vermin", "x")]
+    rows = [(i, f"{'abcdefghij'[i // 6]}{'klmnop'[i % 6]} {'nice day' if i % 3 else 'you awful vermin'}", "x") for i in range(60)]
+    rows += [(61, None, "x"), (62, "", None), (None, "awful vermin", "x"), (0, "you awful vermin", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (7, None), (999, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels).collect()
