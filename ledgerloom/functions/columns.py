@@ -49,10 +49,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def clean_reply(reply: Column) -> Column:
     """Without thoughts; the last line if the reply speaks of an answer; without that word and outer marks."""
-    out = F.trim(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""))
+    bare = lambda c, marks: F.regexp_replace(c, f"^[{marks}]+|[{marks}]+$", "")
+    out = bare(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"\s")
     last = F.element_at(F.split(out, "\n"), -1)
-    out = F.trim(F.when(F.lower(out).contains("answer"), last).otherwise(out))
-    return F.regexp_replace(F.regexp_replace(out, r"^(?i:answer):\s*", ""), r"^[\s*`\"'.]+|[\s*`\"'.]+$", "")
+    out = bare(F.when(F.lower(out).contains("answer"), last).otherwise(out), r"\s")
+    out = F.regexp_replace(F.regexp_replace(out, "^Answer:", ""), "^answer:", "")
+    return bare(out, " \t\r\n*`\"'.")
 
 
 def word_f1(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from . import jsonlex as J
 
 LONGEST, MOST = 60, 4
 #: Fixed order of preference for the column that names a row.
-NAMING = ("id", "name", "title", "login", "full_name", "slug", "key", "code", "symbol", "url")
+NAMING = ("id", "name", "login", "title", "full_name", "slug", "number", "key", "tag_name")
 
 
 def flat_row(row: dict, before: str = "") -> dict[str, object]:
@@ -40,12 +40,12 @@ def usable(v: object) -> bool:
 
 def naming_column(columns: list[str], rows: list[dict]) -> str | None:
     """The best column whose values are usable and differ in all rows."""
-    fit = [c for c in columns if all(usable(r.get(c)) for r in rows) and len({shown(r[c]) for r in rows}) == len(rows)]
+    fit = [c for c in columns if all(usable(r.get(c)) and not isinstance(r[c], bool) for r in rows) and len({shown(r[c]) for r in rows}) == len(rows)]
 
     def rank(c: str) -> int:
         if c in NAMING:
             return NAMING.index(c)
-        return 50 if c.lower().endswith(("id", "name")) else 100 + c.count(".")
+        return 50 if c.endswith(("id", "name")) else 100 + c.count(".")
 
     return min(fit, key=lambda c: (rank(c), c.encode()), default=None)
 
@@ -117,17 +117,27 @@ def payload_questions(text: str, seed: str, rows: int = 20, least: int = 5, most
     return questions(table, f'the "{".".join(path)}" list' if path else "the result", seed)
 
 
-#: Open tasks, asked in turn. Fixed texts.
-TEMPLATES = (
-    "Summarize {where} in three sentences for someone who hasn't seen it.",
-    "What stands out in {where}? Name two items and say why.",
-    "Compare the first and the last item of {where}.",
-    "Write a short status message based on {where}.",
-)
+#: Open tasks by kind, asked in turn. Fixed texts.
+TASKS = {
+    "summary": "Summarize this data for a colleague in 3 to 5 bullet points. Name specific items and include concrete values.",
+    "highlights": "Which 3 items in {where} stand out most? For each, explain in one or two sentences why, quoting its values.",
+    "describe": 'Describe the item in {where} whose "{name}" is {a} in a short paragraph, covering its most important fields and their values.',
+    "compare": 'Compare the items in {where} whose "{name}" is {a} and {b}. List the fields where they differ, with both values.',
+}
 
 
-def free_form_task(k: int, where: str) -> str:
-    return TEMPLATES[k % len(TEMPLATES)].format(where=where)
+def free_form_task(kind: str, table: list[dict], where: str, seed: str) -> str | None:
+    """A task's text; those about single items need two rows or more and a column that names them."""
+    if kind in ("summary", "highlights"):
+        return TASKS[kind].format(where=where)
+    rows = [flat_row(r) for r in table]
+    name = naming_column(sorted({c for r in rows for c in r}, key=str.encode), rows) if len(rows) > 1 else None
+    if name is None:
+        return None
+    draw = chooser(seed)
+    a = draw("a", len(rows))
+    b = (a + 1 + draw("b", len(rows) - 1)) % len(rows)
+    return TASKS[kind].format(where=where, name=name, a=shown(rows[a][name]), b=shown(rows[b][name]))
 
 
 def judge_input(answers: dict[str, str], seed: str) -> list[tuple[str, str, str]]:

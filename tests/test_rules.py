@@ -136,7 +136,7 @@ def test_value_sets(got, want, same):
 
 
 def test_table_cells():
-    assert S.column_names(["", "a  b", "a b", " "]) == ["col1", "a b", "a b_2", "col4"]
+    assert S.column_names(["", "a  b", "a b", " "]) == ["col0", "a b", "a b_2", "col3"]
     assert S.listed(r"a\pb|c\\n|\n") == ["a|b", "c\\n", "\n"]
 
 

@@ -88,4 +88,6 @@ def test_judgements():
     for bad in ("none", reply.replace("5", "6"), reply.replace("A=B", "A=C")):
         with pytest.raises(ValueError):
             Q.parse_judgement(bad, ["A", "B"])
-    assert Q.free_form_task(1, "x") == Q.free_form_task(5, "x")
+    rows = TABLE["items"]
+    assert [Q.free_form_task(k, rows, "x", "s") is None for k in Q.TASKS] == [False] * 4
+    assert Q.free_form_task("compare", rows[:1], "x", "s") is None
