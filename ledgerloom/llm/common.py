@@ -7,7 +7,6 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +60,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Known(dict):
-    """Ids of words; those of one batch that aren't kept are in fresh."""
-
-    def __missing__(self, word: str) -> bytes:
-        return self.fresh[word]
-
-
 #: White space that str.split() divides words at, besides the six characters.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -89,12 +81,12 @@ def lower_latin(text: str) -> str:
 class WordEncoder:
     """A tokenizer whose normalizer drops white space, so that words between ASCII white space encode on their own.
 
-    Up to LIMIT words of up to LONGEST characters are kept with their ids, the first that are met, which hold the
-    frequent ones. The other words of a batch go to the library as a few texts, parted by a mark that is a token of its
+    Up to LIMIT words of up to LONGEST characters are kept with their ids, each from the second batch on that holds it
+    (as far as a table of 2**MET_BITS marks can tell), as most words come once. The other words of a batch go to the library as a few texts, parted by a mark that is a token of its
     own; words with the mark go there alone, and texts that hold an added token whole. Latin texts are put into lower case first, as the normalizer does.
     """
 
-    LIMIT, LONGEST, MARKS = 1_000_000, 64, "@~^"
+    LIMIT, LONGEST, MET_BITS, MARKS = 500_000, 64, 23, "@~^"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -105,12 +97,13 @@ class WordEncoder:
         #: Ids are kept and joined as bytes.
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.mark = next((m for m in self.MARKS if len(self._whole(m)) == self.dtype.itemsize), None)
-        self.known = _Known()
+        self.known: dict[str, bytes] = {}
+        self.met = bytearray(1 << self.MET_BITS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _encoded(self, words: list[str], together: int = 400) -> Iterator[tuple[str, bytes]]:
+    def _encoded(self, words: list[str], together: int = 50) -> Iterator[tuple[str, bytes]]:
         plain = [w for w in words if self.mark is not None and self.mark not in w]
         yield from ((w, self._whole(w)) for w in words if self.mark is None or self.mark in w)
         groups = [plain[k : k + together] for k in range(0, len(plain), together)]
@@ -126,16 +119,28 @@ class WordEncoder:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without added tokens."""
-        known, special = self.known, self.special
-        words = [None if any(s in t for s in special) else ascii_words(lower_latin(t)) for t in texts]
-        known.fresh = {}
-        for w, ids in self._encoded([w for w in set(chain.from_iterable(ws for ws in words if ws)) if w not in known]):
-            if len(known) < self.LIMIT and len(w) <= self.LONGEST:
+        known, special, met, mask = self.known, self.special, self.met, len(self.met) - 1
+        get, new, rows = known.get, set(), []
+        for t in texts:
+            if any(s in t for s in special):
+                rows.append(([self._whole(t)], (), ()))
+                continue
+            words = ascii_words(lower_latin(t))
+            parts = list(map(get, words))
+            holes = [i for i, p in enumerate(parts) if p is None] if None in parts else ()
+            new.update([words[i] for i in holes])
+            rows.append((parts, words, holes))
+        fresh = dict(self._encoded(list(new)))
+        for w, ids in fresh.items():
+            if met[place := hash(w) & mask] and len(known) < self.LIMIT and len(w) <= self.LONGEST:
                 known[w] = ids
-            else:
-                known.fresh[w] = ids
-        get = known.__getitem__
-        return [np.frombuffer(self._whole(t) if ws is None else b"".join(map(get, ws)), self.dtype) for t, ws in zip(texts, words, strict=True)]
+            met[place] = 1
+        out = []
+        for parts, words, holes in rows:
+            for i in holes:
+                parts[i] = fresh[words[i]]
+            out.append(np.frombuffer(b"".join(parts), self.dtype))
+        return out
 
     def __call__(self, text: str) -> list[int]:
         return self.batch([text])[0].tolist()

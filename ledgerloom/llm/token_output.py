@@ -18,7 +18,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, encoder, slices, stored, vocabulary
@@ -134,12 +134,29 @@ def read_segment(data: bytes) -> Segment:
     return Segment([None] * unnamed + [int(x) + least for x in names], ends, ids)
 
 
+def _bounds(docs: DataFrame, partitions: int) -> list[int]:
+    """doc_ids that part the documents in about even ranges, from a scan of that column alone."""
+    shares = [k / partitions for k in range(1, partitions)]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").approxQuantile("doc_id", shares, 0.2 / partitions)
+    return sorted({int(x) for x in found or []})
+
+
+def _range_of(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the bounds lie below a doc_id, 0 for none: first among every `step`-th bound, then among those between."""
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse, fine = F.lit(np.array(bounds[step - 1 :: step], np.int64)), F.lit(np.array(bounds, np.int64))
+    first = F.size(F.filter(coarse, lambda b: b < doc_id)) * step
+    rest = F.size(F.filter(F.slice(fine, first + 1, F.lit(step)), lambda b: b < doc_id))
+    return F.when(doc_id.isNull() | F.lit(not bounds), F.lit(0)).otherwise(first + rest)
+
+
 def write_tokens(docs: DataFrame, path: str, end_id: int, partitions: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """The table of segments (part, segment, before: ids of the part before it, n_ids, data) of all documents in ascending doc_id order.
+    """The table of segments (part, segment, before: ids of the part before it, n_ids, data) of all documents in ascending
+    doc_id order.
 
-    Documents go by ranges of doc_id to tasks (rows that share a doc_id by a hash of their text), each task sorts its
-    range and encodes it document by document; a segment ends after the document that fills it, so that memory is
-    bounded by a segment and a document. Null texts are empty, rows without doc_id come first.
+    Documents go by ranges of doc_id to tasks; each task sorts its range (rows that share a doc_id by a hash of their
+    text) and encodes it document by document; a segment ends after the document that fills it, so that memory is bounded
+    by a segment and a batch. Null texts are empty, rows without doc_id come first.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +183,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, partitions: int, segme
 
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spread = F.xxhash64("text")
-    ordered = rows.repartitionByRange(partitions, F.col("doc_id"), spread).sortWithinPartitions("doc_id", spread)
+    bounds = _bounds(docs, partitions)
+    dealt = rows.repartitionById(len(bounds) + 1, _range_of(F.col("doc_id"), bounds))
+    ordered = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"))
     return stored(ordered.mapInArrow(encode, "part int, segment int, before long, n_ids long, data binary"), "token-segments")
 
 
