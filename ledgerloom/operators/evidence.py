@@ -62,9 +62,16 @@ def latency_ratio() -> Column:
     return F.when((a > 0) & (b > 0) & (c > 0), b.cast("double") * 2.0 / (a + c).cast("double"))
 
 
-def upper_median(values: Column) -> Column:
-    """Of an array of the values: the element at half its size when sorted; 0 when empty."""
-    return F.coalesce(F.get(F.array_sort(values), F.floor(F.size(values) / F.lit(2)).cast("int")), F.lit(0.0))
+def upper_medians(rows: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Per key the value at half the number of values when sorted (the upper one of two middles).
+
+    Equal values are counted first, so a key's values are never gathered: a running count over the distinct ones finds it.
+    """
+    counts = rows.select(*keys, value.alias(name)).where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(w.orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*keys, name, "_c", upto.alias("_upto"), F.floor(F.sum("_c").over(w) / 2).alias("_half"))
+    return ranked.where((F.col("_upto") > F.col("_half")) & (F.col("_upto") - F.col("_c") <= F.col("_half"))).select(*keys, name)
 
 
 def valid(samples: DataFrame) -> DataFrame:
@@ -76,9 +83,7 @@ def valid(samples: DataFrame) -> DataFrame:
 
 def sums(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sums of valid samples by keys: one partial aggregate per task, one row per key."""
-    return samples.groupBy(*keys).agg(
-        F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in terms().items()], F.collect_list(latency_ratio()).alias("latencies")
-    )
+    return samples.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in terms().items()])
 
 
 def running(samples: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
@@ -115,8 +120,9 @@ def evidence(samples: DataFrame, keys: Sequence[str], last: int | None = None, o
     if last is not None:
         w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
         rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= last).drop("_rn")
-    found = sums(rows, keys)
-    return found.select(*keys, "n", "b", "c", *stats(), upper_median(F.col("latencies")).alias("latency_ratio"))
+    middle = upper_medians(rows, keys, latency_ratio(), "latency_ratio")
+    found = sums(rows, keys).join(middle, list(keys), "left")
+    return found.select(*keys, "n", "b", "c", *stats(), F.coalesce("latency_ratio", F.lit(0.0)).alias("latency_ratio"))
 
 
 # Exact tests. Sums of logarithms of factorials come from a sequence, as Spark has no lgamma.

@@ -41,10 +41,15 @@ def with_factor(requests: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def ewma(seen: DataFrame, keys: Sequence[str], order: Sequence[str], alpha: float = 0.1) -> DataFrame:
-    """Per key the running estimate after all ratios above 0 in order; the first replaces the initial value."""
-    rows = seen.where(F.col("ratio") > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "ratio"))).alias("_r"))
-    step = lambda a, r: F.when(a.isNull(), r["ratio"]).otherwise(F.lit(1 - alpha) * a + F.lit(alpha) * r["ratio"])
-    return rows.select(*keys, F.aggregate("_r", F.lit(None).cast("double"), step).alias("factor"), F.size("_r").cast("long").alias("n"))
+    """Per key the running estimate after all ratios above 0 in order; the first replaces the initial value.
+
+    The last of n ratios weighs alpha, each one before it 1 - alpha as much, and the first the rest, so a sum of weighted
+    ratios by their place from the end does for the fold."""
+    w = Window.partitionBy(*keys)
+    rows = seen.where(F.col("ratio") > 0).select(*keys, "ratio", F.row_number().over(w.orderBy(*[F.desc(c) for c in order])).alias("_k"), F.count("*").over(w).alias("_n"))
+    fade = F.pow(F.lit(1 - alpha), (F.col("_k") - 1).cast("double"))
+    weight = F.when(F.col("_k") == F.col("_n"), fade).otherwise(F.lit(alpha) * fade)
+    return rows.groupBy(*keys).agg(F.sum(weight * F.col("ratio")).alias("factor"), F.count("*").alias("n"))
 
 
 def last_before(rows: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:

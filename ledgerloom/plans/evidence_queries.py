@@ -194,8 +194,8 @@ def metrics_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VALID_CTE}, l AS (SELECT route_id, list_sort(list(lat) FILTER (lat IS NOT NULL)) AS l FROM v GROUP BY ALL) SELECT route_id, round(coalesce(l[len(l) // 2 + 1], 0), 9) AS latency_ratio FROM l")
 def latency_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.valid(samples(spark, sf_dir)).groupBy("route_id").agg(F.collect_list(E.latency_ratio()).alias("l"))
-    return rows.select("route_id", F.round(E.upper_median(F.col("l")), 9).alias("latency_ratio"))
+    found = E.upper_medians(E.valid(samples(spark, sf_dir)), ["route_id"], E.latency_ratio(), "latency_ratio")
+    return found.withColumn("latency_ratio", F.round("latency_ratio", 9))
 
 
 POLICY_TABLE = """

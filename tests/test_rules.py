@@ -18,12 +18,12 @@ from ledgerloom.plans.evidence_queries import samples
 from ledgerloom.plans.stream_queries import SAMPLES
 from ledgerloom.streaming.promoter import Route
 
-ANTHROPIC_LIKE = json.dumps({"model": "m", "messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": [{"type": "tool_use", "id": "t1", "name": "list", "input": {"b": 1, "a": 2}}]}, {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "[{\"a\":1}]"}, {"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": "[]"}, {"type": "image"}]}]})
-OPENAI_LIKE = json.dumps({"messages": [{"role": "assistant", "tool_calls": [{"id": "c", "function": {"name": "f", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "c", "content": [{"type": "text", "text": "{\"x\":1}"}]}]})
+PARTS_FORM = json.dumps({"model": "m", "messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": [{"type": "tool_use", "id": "t1", "name": "list", "input": {"b": 1, "a": 2}}]}, {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "[{\"a\":1}]"}, {"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": "[]"}, {"type": "image"}]}]})
+CALLS_FORM = json.dumps({"messages": [{"role": "assistant", "tool_calls": [{"id": "c", "function": {"name": "f", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "c", "content": [{"type": "text", "text": "{\"x\":1}"}]}]})
 
 
 def test_requests_become_blocks(spark):
-    df = spark.createDataFrame([(1, ANTHROPIC_LIKE), (2, OPENAI_LIKE), (3, "nope"), (4, None)], "request_id long, body string")
+    df = spark.createDataFrame([(1, PARTS_FORM), (2, CALLS_FORM), (3, "nope"), (4, None)], "request_id long, body string")
     rows = W.blocks(df, "request_id", "body")
     got = {(r.request_id, r.msg, r.part, r.kind, r.tool) for r in rows.collect()}
     assert got == {(1, 0, 0, "text", None), (1, 1, 0, "tool_use", "list"), (1, 2, 0, "tool_result", "list"), (1, 2, 1, "tool_result", "list"), (1, 2, 2, "other", None), (2, 0, -1, "tool_use", "f"), (2, 1, 0, "tool_result", "f")}
@@ -33,9 +33,9 @@ def test_requests_become_blocks(spark):
 
 
 def test_results_are_patched_in_place():
-    out = json.loads(M.with_result(ANTHROPIC_LIKE, 2, 0, "enc", "p"))
+    out = json.loads(M.with_result(PARTS_FORM, 2, 0, "enc", "p"))
     assert out["messages"][2]["content"][0]["content"] == "enc" and out["system"] == "p"
-    assert json.loads(M.with_result(OPENAI_LIKE, 1, 0, "enc", ""))["messages"][1]["content"] == "enc"
+    assert json.loads(M.with_result(CALLS_FORM, 1, 0, "enc", ""))["messages"][1]["content"] == "enc"
 
 
 @pytest.mark.parametrize(
