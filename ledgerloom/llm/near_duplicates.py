@@ -9,10 +9,10 @@ are then confirmed on the full sets.
 
 Buckets are never expanded into pairs. Each member is held against its bucket's smallest, the hub (a star); linked
 documents form components. Two members of a bucket share its hub, so what is left to test are the members of a hub across
-components. They are dealt in blocks of bounded size, every pair of blocks once, and a task tests its members on their
-full sets against all others that the triangle inequality doesn't rule out (1 - similarity is a metric, and the distance
-of both to the hub is known by then); it returns only links that join components. Pairs within a component need no test,
-so no link that could join two components is lost.
+components. They are dealt in blocks of bounded size; each pair of blocks that holds such members meets once, and a task
+tests its members on their full sets against all others that the triangle inequality doesn't rule out (1 - similarity is
+a metric, and the distance of both to the hub is known by then); it returns only links that join components. Pairs
+within a component need no test, so no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -205,11 +205,18 @@ def _left(tested: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     rows = rows.select("a", "b", "apart", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b"))
     hubs = rows.groupBy("a").agg(F.count("*").alias("n"), F.min(F.least("_a", "_b")).alias("x"), F.max(F.greatest("_a", "_b")).alias("y"))
     hubs = hubs.where("n > 1 and x < y").select("a")
-    members = rows.join(hubs, "a", "left_semi").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("_b").alias("component"), "apart").distinct()
-    met = stored(members.join(sets, "node").withColumn("bytes", F.size("shingles") * 8), "members")
-    blocks = met.groupBy("hub").agg(F.ceil(F.sum("bytes") / F.lit(float(BLOCK_BYTES))).cast("int").alias("blocks"))
-    dealt = met.drop("bytes").join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    members = rows.join(hubs, "a", "left_semi").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("_b").alias("component"), "apart", (F.col("_a") != F.col("_b")).alias("minor")).distinct()
+    met = stored(members.join(sets, "node"), "members")
+    # Members of the hub's own component, mostly nearly all, need no test among themselves: their blocks meet those of the
+    # others only. Blocks of the others come first in number.
+    size = F.size("shingles") * F.lit(8.0 / BLOCK_BYTES)
+    count = lambda of: F.ceil(F.coalesce(F.sum(F.when(of, size)), F.lit(0.0))).cast("int")
+    blocks = met.groupBy("hub").agg(count(F.col("minor")).alias("p"), count(~F.col("minor")).alias("q"))
+    dealt = met.join(blocks.where("p > 0"), "hub")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("minor"), own(F.col("p"))).otherwise(F.col("p") + own(F.col("q"))))
+    last = F.when(F.col("minor"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     pairs = dealt.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "apart", "shingles")
 
     def test(key: tuple, part: pa.Table) -> pa.Table:
