@@ -58,16 +58,28 @@ def clean_reply(reply: Column) -> Column:
 
 
 def word_f1(a: Column, b: Column) -> Column:
-    """F1 of two texts' words as multisets: the n-th occurrence of a word meets the n-th occurrence."""
+    """F1 of two texts' words as multisets: their sorted words are walked side by side, once.
 
-    def numbered(text: Column) -> Column:
-        words = F.array_sort(F.filter(F.split(normal_text(text), " "), lambda w: w != ""))
-        return F.transform(words, lambda w, i: F.concat_ws("\x01", w, (i - F.array_position(words, w) + 1).cast("string")))
+    Both lists are bound to a lambda's argument, so that they are made once a row."""
 
-    x, y = numbered(a), numbered(b)
-    both = F.size(F.array_intersect(x, y)).cast("double")
-    total = (F.size(x) + F.size(y)).cast("double")
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * both / total)
+    def in_order(text: Column) -> Column:
+        return F.array_sort(F.filter(F.split(normal_text(text), " "), lambda w: w != ""))
+
+    def of(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        total = F.size(x) + F.size(y)
+
+        def step(s: Column, _: Column) -> Column:
+            p, q = F.get(x, s["i"]), F.get(y, s["j"])
+            left, right = p <= q, q <= p
+            move = lambda c, when: (s[c] + F.when(when, 1).otherwise(0)).alias(c)
+            return F.struct(move("i", left), move("j", right), move("n", left & right))
+
+        start = F.struct(*[F.lit(0).alias(c) for c in "ijn"])
+        met = F.aggregate(F.sequence(F.lit(1), F.greatest(total, F.lit(1))), start, step, lambda s: s["n"])
+        return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * met.cast("double") / total.cast("double"))
+
+    return F.get(F.transform(F.array(F.struct(in_order(a).alias("x"), in_order(b).alias("y"))), of), F.lit(0))
 
 
 def median(values: Column) -> Column:
