@@ -144,10 +144,10 @@ class Scorer:
             if (own := self.known.get(w)) is None:
                 own = tuple(t for h in terms_of(w) if (t := self.terms.get(h)) is not None)
                 if not own:
-                    if len(self.empty) < 500_000:
+                    if len(self.empty) < 200_000:
                         self.empty.add(w)
                     continue
-                if len(self.known) < 200_000:
+                if len(self.known) < 50_000:
                     self.known[w] = own
             for t in own:
                 total[t] += counts[w]
@@ -177,7 +177,7 @@ class Scorer:
         if not len(near):
             return self.bare, []
         out = self.calibrated(self.vote(near, similar)), self.ids[near[:3]].tolist()
-        if len(self.done) < 100_000:
+        if len(self.done) < 10_000:
             self.done[key] = out
         return out
 
