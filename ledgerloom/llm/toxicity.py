@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
-Examples are a bounded sample of labelled documents (`per_class` of each label, by a hash of the id). Terms are words and
-their beginnings of four to six letters, those that tell the labels apart best among the examples (chi-squared). Examples
-lie in an inverted index in blocks, with each term's largest weight in each block: a block is read only if the sum of
-these times the query's weights reaches the k-th best similarity found so far, so the neighbours are exact. Votes are
-weighted by closeness; a monotone map fitted to the examples' own votes (each without itself) makes them probabilities.
-A document without any chosen term has no neighbours; its score is the share of toxic examples among such.
+Examples are a bounded sample of labelled documents (`per_class` of each label, by a hash of the id). Terms are all words
+that at least two examples have, with document frequencies counted over all documents; words that tell the labels apart
+(chi-squared) weigh TELLING times as much. Examples lie in an inverted index; the commonest terms are rows of a matrix, so
+that a batch of texts meets them in one product. Every example with a word in common is compared, and the best are compared
+again in double precision, so the neighbours are exact. Votes are weighted by closeness; a monotone map fitted to the
+examples' own votes (each without itself) makes them probabilities. A text without any term has no neighbours; its score
+is the share of toxic examples among such, drawn towards the share among all.
 """
 
 from __future__ import annotations
@@ -27,74 +28,109 @@ from .common import bounded, slices, stored
 from .near_duplicates import shingle_set
 
 WORDS = re.compile(r"[^\W\d_]+")
-PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
-#: A term is chosen if chance alone would hardly tell the labels apart as well, for any of a million terms.
+PER_CLASS, NEIGHBOURS = 4000, 15
+#: A word is telling if chance alone would hardly tell the labels apart as well, for any of a million words.
 LEAST_CHI = 30.0
 #: And only if it is so many times as likely under one label as under the other.
 LEAST_RATIO = 8.0
-BEGINNINGS = (4, 5, 6)
+TELLING = 3.0
+#: Terms of so many examples at least, and up to so many of them, are rows of the matrix.
+COMMON, ROWS = 32, 1024
+#: Document frequencies are added up in pieces of so many terms.
+PIECE = 128
 
+Vector = tuple[np.ndarray, np.ndarray]
 
-def terms_of(word: str) -> list[int]:
-    """64-bit hashes of a word and of its beginnings."""
-    out = [xxhash.xxh3_64_intdigest(word) >> 1]
-    return out + [xxhash.xxh3_64_intdigest(word[:n], seed=1) >> 1 for n in BEGINNINGS if len(word) >= n]
+
+#: Letters of Latin-1 as they are, anything else a space.
+LETTERS = bytes(i if WORDS.match(chr(i)) else 32 for i in range(256))
+
+
+def words_of(text: str | None) -> list[str]:
+    """The matches of WORDS in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORDS.findall(text)
 
 
 def counts_of(text: str | None) -> Counter:
-    return Counter(WORDS.findall(text.lower())) if text else Counter()
+    return Counter(words_of(text))
+
+
+def _places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after another."""
+    size = ends - starts
+    return np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
 
 
 class Index:
-    """Examples' vectors by term, in blocks, with each block's largest weight."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n = len(vectors)
-        self.blocks = -(-self.n // BLOCK)
-        rows = [(t, i, w) for i, v in enumerate(vectors) for t, w in v.items()]
-        rows.sort()
-        self.places = np.array([r[1] for r in rows], np.int32)
-        self.weights = np.array([r[2] for r in rows], np.float64)
-        self.first = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(n_terms + 1))
-        self.most = np.zeros((n_terms, self.blocks), np.float32)
-        if rows:
-            np.maximum.at(self.most, (np.array([r[0] for r in rows]), self.places // BLOCK), np.nextafter(self.weights.astype(np.float32), np.float32(9)))
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples in the wanted blocks with a term in common, and their similarity."""
-        found = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
-        share = np.repeat(weights, self.first[terms + 1] - self.first[terms])
-        keep = wanted[self.places[found] // BLOCK]
-        found, share = found[keep], share[keep]
-        total = np.bincount(self.places[found], share * self.weights[found], self.n)
-        met = np.unique(self.places[found])
-        return met, total[met]
+    """Examples' vectors, by example and by term; the commonest terms as a matrix too."""
+
+    def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int):
+        pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), np.float64, len(v))) if isinstance(v, dict) else v for v in vectors]
+        self.n, self.n_terms = len(pairs), n_terms
+        self.ends = np.cumsum([0, *(len(t) for t, _ in pairs)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in pairs)])
+        self.own = np.concatenate([np.zeros(0), *(w for _, w in pairs)])
+        self._by_term()
+
+    def _by_term(self) -> None:
+        order = np.argsort(self.terms, kind="stable")
+        self.places = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))[order]
+        self.weights = self.own[order].astype(np.float32)
+        self.first = np.searchsorted(self.terms[order], np.arange(self.n_terms + 1))
+        size = np.diff(self.first)
+        common = np.argsort(-size, kind="stable")[:ROWS]
+        common = common[size[common] >= COMMON]
+        self.row = np.full(self.n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        for r, t in enumerate(common):
+            at = slice(self.first[t], self.first[t + 1])
+            self.matrix[r, self.places[at]] = self.weights[at]
+        self.scratch = np.zeros(self.n_terms)
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("n", "n_terms", "ends", "terms", "own")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._by_term()
+
+    def nearest_of(self, vectors: list[Vector], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k nearest examples with a similarity above 0, the nearest first, ties by number."""
+        asked = np.zeros((len(vectors), len(self.matrix)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            rows = self.row[terms]
+            asked[i, rows[rows >= 0]] = weights[rows >= 0]
+        rough, out = asked @ self.matrix, []
+        for i, (terms, weights) in enumerate(vectors):
+            rare = self.row[terms] < 0
+            starts, ends = self.first[terms[rare]], self.first[terms[rare] + 1]
+            found = _places(starts, ends)
+            scores = rough[i] + np.bincount(self.places[found], np.repeat(weights[rare].astype(np.float32), ends - starts) * self.weights[found], self.n)
+            if but is not None:
+                scores[but[i]] = 0
+            least = np.partition(scores, -k)[-k] if self.n > k else 0.0
+            met = np.flatnonzero((scores > 0) & (scores >= least - 1e-4))
+            if not len(met):
+                out.append((np.zeros(0, np.int64), np.zeros(0)))
+                continue
+            self.scratch[terms] = weights
+            at = _places(self.ends[met], self.ends[met + 1])
+            exact = np.add.reduceat(self.scratch[self.terms[at]] * self.own[at], np.cumsum(self.ends[met + 1] - self.ends[met]) - (self.ends[met + 1] - self.ends[met]))
+            self.scratch[terms] = 0
+            best = np.lexsort((met, -np.round(exact, 12)))[:k]
+            out.append((met[best], exact[best]))
+        return out
 
     def nearest(self, vector: dict[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a similarity above 0, the nearest first, ties by number."""
-        if not vector:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.fromiter(vector, np.int64, len(vector))
-        weights = np.fromiter(vector.values(), np.float64, len(vector))
-        bounds = weights @ self.most[terms]
-        order = np.argsort(-bounds, kind="stable")
-        seen, step, at = np.zeros(self.blocks, bool), 8, 0
-        met, scores = np.zeros(0, np.int64), np.zeros(0)
-        while at < len(order) and bounds[order[at]] > 0:
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            now = order[at : at + step]
-            now = now[(bounds[now] >= least) & (bounds[now] > 0)]
-            if not len(now):
-                break
-            seen[:] = False
-            seen[now] = True
-            more, own = self._scores(terms, weights, seen)
-            if but >= 0:
-                more, own = more[more != but], own[more != but]
-            met, scores = np.concatenate([met, more]), np.concatenate([scores, own])
-            at, step = at + step, step * 4
-        best = np.lexsort((met, -np.round(scores, 12)))[:k]
-        return met[best], scores[best]
+        pair = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+        return self.nearest_of([pair], k, None if but < 0 else [but])[0]
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +147,9 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 @dataclass
 class Scorer:
-    """What tasks need to score texts; its size is bounded by PER_CLASS and TERMS."""
+    """What tasks need to score texts; its size is bounded by the words of 2 * PER_CLASS examples."""
 
-    terms: dict[int, int]
+    terms: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
@@ -124,39 +160,26 @@ class Scorer:
     k: int = NEIGHBOURS
 
     def __post_init__(self):
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.empty: set[str] = set()
-        self.done: dict[tuple, tuple[float, tuple[int, ...]]] = {}
+        self.done: dict[bytes, tuple[float, list[int]]] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "empty", "done")}
+        return {k: v for k, v in self.__dict__.items() if k != "done"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
+    def pair(self, text: str | None) -> Vector:
+        """Terms and weights (1 + ln count) * idf, of length 1."""
+        found = Counter(map(self.terms.get, words_of(text)))
+        found.pop(None, None)
+        terms, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
+        order = np.argsort(terms)
+        terms, weights = terms[order], (1 + np.log(counts[order])) * self.idf[terms[order]]
+        return terms, weights / np.sqrt((weights**2).sum()) if found else weights
+
     def vector(self, text: str | None) -> dict[int, float]:
-        """Weights (1 + ln count) * idf of the chosen terms, of length 1."""
-        counts = counts_of(text)
-        words = counts.keys() - self.empty if len(self.empty) < 8 * len(counts) else [w for w in counts if w not in self.empty]
-        total: Counter = Counter()
-        for w in words:
-            if (own := self.known.get(w)) is None:
-                own = tuple(t for h in terms_of(w) if (t := self.terms.get(h)) is not None)
-                if not own:
-                    if len(self.empty) < 200_000:
-                        self.empty.add(w)
-                    continue
-                if len(self.known) < 50_000:
-                    self.known[w] = own
-            for t in own:
-                total[t] += counts[w]
-        if not total:
-            return {}
-        found = sorted(total.items())
-        weights = np.array([(1 + np.log(c)) * self.idf[t] for t, c in found])
-        weights /= np.sqrt((weights**2).sum())
-        return {t: w for (t, _), w in zip(found, weights.tolist(), strict=True)}
+        return dict(zip(*(x.tolist() for x in self.pair(text)), strict=True))
 
     def vote(self, near: np.ndarray, similar: np.ndarray) -> float:
         weight = 1 / (1.05 - np.minimum(similar, 1))
@@ -165,20 +188,15 @@ class Scorer:
     def calibrated(self, vote: float) -> float:
         return float(self.values[min(np.searchsorted(self.ends, vote), len(self.values) - 1)]) if len(self.values) else self.bare
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """Probability that the label is 1, and the ids of the three nearest examples."""
-        vector = self.vector(text)
-        if not vector:
-            return self.bare, []
-        key = tuple((t, round(w, 9)) for t, w in vector.items())
-        if key in self.done:
-            return self.done[key]
-        near, similar = self.index.nearest(vector, self.k)
-        if not len(near):
-            return self.bare, []
-        out = self.calibrated(self.vote(near, similar)), self.ids[near[:3]].tolist()
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Of each text the probability that the label is 1, and the ids of the three nearest examples."""
+        keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        new = {key: t for key, t in zip(keys, texts, strict=True) if key not in self.done}
+        found = self.index.nearest_of([self.pair(t) for t in new.values()], self.k) if new else []
+        fresh = {key: (self.calibrated(self.vote(near, similar)), self.ids[near[:3]].tolist()) if len(near) else (self.bare, []) for key, (near, similar) in zip(new, found, strict=True)}
+        out = [fresh[key] if key in fresh else self.done[key] for key in keys]
         if len(self.done) < 10_000:
-            self.done[key] = out
+            self.done.update(fresh)
         return out
 
 
@@ -204,10 +222,36 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, key long")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms: int = TERMS, least_chi: float = LEAST_CHI) -> Scorer:
+def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and the number of documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    pieces = len(terms) // PIECE + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, total = sent.value.get, np.zeros(pieces * PIECE, np.int64)
+        for batch in slices(batches):
+            found = [t for text in batch.column(0).to_pylist() for t in set(map(get, words_of(text))) if t is not None]
+            total += np.bincount(np.array(found, np.int64), minlength=len(total))
+            total[len(sent.value)] += batch.num_rows
+        arrays = [pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in total.reshape(-1, PIECE)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["piece", "counts"])
+
+    def added(own: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in own.column("counts").to_pylist())
+        return pa.table({"piece": own.column("piece")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece int, counts binary")
+    rows = parts.groupBy("piece").applyInArrow(added, "piece int, counts binary").collect()
+    total = np.zeros(pieces * PIECE, np.int64)
+    for r in rows:
+        total[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.counts, np.int64)
+    return total[: len(terms)], int(total[len(terms)])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, least_chi: float = LEAST_CHI) -> Scorer:
     """Learns from labelled rows that aren't held out: at most per_class of each label, those with the least hash of the
     id, and of copies one; a doc_id with several labels has its highest. What comes to the
-    driver is bounded: 2 * per_class ids, n_terms terms, and the examples' weights of those terms."""
+    driver is bounded: 2 * per_class ids, and the examples' words and weights."""
     bounded(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -226,29 +270,31 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_term
         for batch in slices(batches, 64):
             found, toxic = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {h for w in counts_of(text) for h in terms_of(w)}
+                own = counts_of(text).keys()
                 found += own
                 toxic += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(toxic, pa.int32())], ["term", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int32())], ["term", "toxic"])
 
     n = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
-    spread = examples.select("text", "toxic").mapInArrow(distinct_terms, "term long, toxic int")
+    spread = examples.select("text", "toxic").mapInArrow(distinct_terms, "term string, toxic int")
     counts = spread.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(F.lit(1) - F.col("toxic")).alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
     chi = F.lit(float(n0 + n1)) * F.pow((a * d - b * c).cast("double"), F.lit(2.0)) / F.greatest((a + b).cast("double") * (c + d).cast("double") * F.lit(float(max(1, n0)) * max(1, n1)), F.lit(1.0))
     ratio = (a.cast("double") + 0.5) / F.lit(n1 + 1.0) / ((b.cast("double") + 0.5) / F.lit(n0 + 1.0))
     apart = (ratio >= LEAST_RATIO) | (ratio <= 1 / LEAST_RATIO)
-    best = counts.where((a + b >= 3) & apart).select("term", (a + b).alias("df"), chi.alias("chi")).where(F.col("chi") > least_chi).orderBy(F.desc("chi"), "term").limit(n_terms).toPandas()
-    terms = {int(t): i for i, t in enumerate(best["term"])}
-    idf = np.log((1 + n0 + n1) / best["df"].to_numpy(np.float64)) if len(best) else np.zeros(0)
+    telling = (a + b >= 3) & apart & (chi > least_chi)
+    words = counts.where(a + b >= 2).select("term", telling.alias("telling")).toPandas().sort_values("term", ignore_index=True)
+    terms = {t: i for i, t in enumerate(words["term"])}
+    df, n_docs = _document_counts(docs, terms) if terms else (np.zeros(0, np.int64), 0)
+    idf = np.log((1 + n_docs) / np.maximum(df, 1)) * np.where(words["telling"].to_numpy(bool), TELLING, 1.0)
     scorer = Scorer(terms, idf, np.zeros(0, np.int64), np.zeros(0), Index([], len(terms)), np.zeros(0), np.zeros(0), 0.0)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [sent.value.vector(t) for t in batch.column(2).to_pylist()]
-            arrays = [batch.column(0), batch.column(1), pa.array([list(v) for v in own], pa.list_(pa.int32())), pa.array([list(v.values()) for v in own], pa.list_(pa.float64()))]
+            own = [sent.value.pair(t) for t in batch.column(2).to_pylist()]
+            arrays = [batch.column(0), batch.column(1), pa.array([t for t, _ in own], pa.list_(pa.int32())), pa.array([w for _, w in own], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "terms", "weights"])
 
     made = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toPandas()
@@ -257,22 +303,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_term
 
 def _fitted(scorer: Scorer, made: pd.DataFrame, share: dict[int, int], n: dict[int, int]) -> Scorer:
     """Index and calibration from the examples' vectors; a label's examples count for all its labelled rows."""
-    made["lead"] = [t[int(np.argmax(w))] if len(t) else -1 for t, w in zip(made["terms"], made["weights"], strict=True)]
-    made = made.sort_values(["toxic", "lead", "doc_id"], ignore_index=True)
+    made = made.sort_values(["toxic", "doc_id"], ignore_index=True)
     worth = made["toxic"].map({k: share.get(k, 0) / max(1, v) for k, v in n.items()}).to_numpy(np.float64)
     have = np.array([len(t) > 0 for t in made["terms"]], bool)
-    bare = made["toxic"].to_numpy()[~have]
-    scorer.bare = float(((bare * worth[~have]).sum() + 0.5) / (worth[~have].sum() + 2)) if len(made) else 0.0
+    toxic = made["toxic"].to_numpy(np.float64)
+    prior = float((toxic * worth).sum() / max(1.0, worth.sum()))
+    scorer.bare = float(((toxic * worth)[~have].sum() + 2 * prior) / (worth[~have].sum() + 2)) if len(made) else 0.0
     made, worth = made[have].reset_index(drop=True), worth[have]
-    rows = [dict(zip(map(int, t), map(float, w), strict=True)) for t, w in zip(made["terms"], made["weights"], strict=True)]
+    rows = [(np.asarray(t, np.int64), np.asarray(w, np.float64)) for t, w in zip(made["terms"], made["weights"], strict=True)]
     scorer.ids, scorer.toxic = made["doc_id"].to_numpy(np.int64), made["toxic"].to_numpy(np.float64)
     scorer.index = Index(rows, len(scorer.terms))
     votes, kept = [], []
-    for i, v in enumerate(rows):
-        near, similar = scorer.index.nearest(v, scorer.k, but=i)
-        if len(near):
-            votes.append(scorer.vote(near, similar))
-            kept.append(i)
+    for at in range(0, len(rows), 256):
+        own = range(at, min(at + 256, len(rows)))
+        for i, (near, similar) in zip(own, scorer.index.nearest_of(rows[at : at + 256], scorer.k, but=list(own)), strict=True):
+            if len(near):
+                votes.append(scorer.vote(near, similar))
+                kept.append(i)
     if votes:
         scorer.ends, scorer.values = monotone(np.array(votes), scorer.toxic[kept], worth[kept])
     return scorer
@@ -281,7 +328,7 @@ def _fitted(scorer: Scorer, made: pd.DataFrame, share: dict[int, int], n: dict[i
 def _scored(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [sent.value.score(t) for t in batch.column(2).to_pylist()]
+            found = sent.value.scores(batch.column(2).to_pylist())
             scores = [s for s, _ in found]
             arrays = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -292,8 +339,8 @@ def _scored(sent: Broadcast):
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (ids of the nearest examples).
 
-    Defined cases: null, empty and wordless texts, like all without a chosen term, get the share of toxic examples among
-    such; with no labels at all every score is 0; repeated rows are answered each; other columns are ignored.
+    Defined cases: null, empty and wordless texts, like all without a term, get the share of toxic examples among such,
+    drawn towards the share among all; with no labels at all every score is 0; repeated rows are answered each; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
     doc_id = F.col("doc_id").cast("long")
@@ -308,6 +355,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield batch.filter(pa.array([sent.value.score(t)[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s < 0.5 for s, _ in sent.value.scores(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -68,6 +68,19 @@ def test_copies_count_as_one_example(spark):
     assert scorer.vector("awful") and not scorer.vector("copied")
 
 
+def test_every_text_with_words_has_neighbours(spark, sf_dir):
+    """Words that say nothing about the label are compared too, and common ones weigh less, over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    rows = [r.text for r in docs.select("text").collect()]
+    wordy = [t for t in rows if len(toxicity.counts_of(t)) >= 20]
+    bare = sum(not near for _, near in scorer.scores(wordy))
+    assert bare <= 0.002 * len(wordy)
+    word, place = next((w, t) for w, t in scorer.terms.items() if w == "the")
+    n = sum(word in toxicity.counts_of(t) for t in rows)
+    assert np.isclose(scorer.idf[place], np.log((1 + len(rows)) / n))
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(i, f"{'abcdefghij'[i // 6]}{'klmnop'[i % 6]} {'nice day' if i % 3 else 'you awful vermin'}", "x") for i in range(60)]
     rows += [(61, None, "x"), (62, "", None), (None, "awful vermin", "x"), (0, "you awful vermin", "x")]
