@@ -3,9 +3,10 @@
 A page becomes a tree of elements. Boilerplate that its markup names (menus, forms, adverts, comments and the like) is
 cut off. Each node's composite text density is its characters per tag, lowered by the share of link text around it; a
 node's density sum is the sum of its children's densities. The node of the largest sum is the core; the least density
-on the path from the body to it is the threshold, and the widest ancestor whose blocks all pass that threshold is the
-main text. Where the page marks exactly one article (or main) with text, that subtree is searched instead of the body and
-taken whole, as densities of a few words say little.
+on the path from the body to it is the threshold. From the body down, each subtree that passes the threshold gives its
+node of the largest sum, so that a text in several containers is kept, with the headings right before each. Where the page marks
+exactly one article (or main) with text and the core lies in it or around it, that subtree is the main text; a marked
+element beside the core, such as a teaser, isn't.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ NAMED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEPT_WHOLE = frozenset("html body article main".split())
 
 
@@ -155,28 +157,62 @@ def measure(body: Node) -> list[Node]:
     return nodes
 
 
-def main_node(root: Node) -> Node:
+def _path(node: Node, body: Node) -> list[Node]:
+    out = [node]
+    while out[-1] is not body:
+        out.append(out[-1].parent)
+    return out
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees of the main text, in page order, none within another."""
     every = _in_order(root)
     body = next((n for n in every if n.tag == "body"), root)
     nodes = measure(body)
-    for wanted in ("article", "main"):
-        marked = [n for n in nodes if n.tag == wanted and n.chars]
-        if len(marked) == 1:
-            return marked[0]
     if not body.chars:
-        return body
+        return [body]
     core = max(nodes, key=lambda n: (n.total, n.chars))
-    path = [core]
-    while path[-1] is not body:
-        path.append(path[-1].parent)
+    path = _path(core, body)
+    for wanted in ("article", "main"):
+        marked = [n for n in nodes if n.tag == wanted and n.chars]
+        if len(marked) == 1 and (marked[0] in path or core in _path(marked[0], body)):
+            return marked
+    if core is body:
+        return [body]
     threshold = min(n.density for n in path)
-    best = core
-    for node in path[1:]:
-        parts = [c for c in node.children if not isinstance(c, str) and not c.dropped and c.chars]
-        if any(c.density < threshold for c in parts) or node is body and core.chars:
-            break
-        best = node
-    return best
+    best = {}
+    for n in reversed(nodes):
+        below = [best[c] for c in n.children if not isinstance(c, str) and not c.dropped]
+        best[n] = max([n, *below], key=lambda x: (x.total, x.chars))
+    out, todo = [], [body]
+    chosen = {core}
+    while todo:
+        n = todo.pop()
+        if n in chosen:
+            out.append(n)
+            continue
+        if n.density >= threshold and n.chars:
+            chosen.add(best[n])
+            if best[n] is n:
+                out.append(n)
+                continue
+        todo += [c for c in reversed(n.children) if not isinstance(c, str) and not c.dropped]
+    return _with_headings(out)
+
+
+def _with_headings(found: list[Node]) -> list[Node]:
+    """The subtrees, each after the headings right before it."""
+    out: list[Node] = []
+    for n in found:
+        before = []
+        if n.parent is not None:
+            sides = [c for c in n.parent.children if not isinstance(c, str) and not c.dropped and (c.chars or c is n)]
+            for c in reversed(sides[: sides.index(n)]):
+                if c.tag not in HEADINGS or c in found:
+                    break
+                before.append(c)
+        out += [*reversed(before), n]
+    return out
 
 
 def blocks(node: Node) -> list[str]:
@@ -213,7 +249,7 @@ def blocks(node: Node) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n\n".join(blocks(main_node(parse(page)))) if page else ""
+    return "\n\n".join(b for n in main_nodes(parse(page)) for b in blocks(n)) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -55,6 +55,26 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+FIVE = "".join(f"<p>{LONG * 2}</p>" for _ in range(5))
+LINKS = "<div><a href='/1'>one</a> <a href='/2'>two</a> <a href='/3'>three</a></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "paragraphs", "others"),
+    [
+        (f"<body>{LINKS}<div>{FIVE}</div><div>{FIVE}</div></body>", 10, []),
+        (f"<body><h1>The heading of it all</h1><div>{FIVE}</div>{LINKS}</body>", 5, ["The heading of it all"]),
+        (f"<body><div><div>{FIVE}</div><p>By A. Writer</p><div>{FIVE}</div></div>{LINKS}</body>", 10, None),
+        (f"<body><article><p>Read this too</p></article><div>{FIVE}</div></body>", 5, None),
+    ],
+)
+def test_text_in_several_containers(page, paragraphs, others):
+    got = main_text(page).split("\n\n")
+    want = " ".join((LONG * 2).split())
+    assert got.count(want) == paragraphs and "one two three" not in got
+    assert others is None or [g for g in got if g != want] == others
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("<>/pabd!-\"'= &;x\n")), max_size=80))
 def test_any_text_is_parsed(page):
