@@ -1,12 +1,16 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
-Examples are a bounded sample of labelled documents (`per_class` of each label, by a hash of the id). Terms are all words
-that at least two examples have, with document frequencies counted over all documents; words that tell the labels apart
-(chi-squared) weigh TELLING times as much. Examples lie in an inverted index; the commonest terms are rows of a matrix, so
-that a batch of texts meets them in one product. Every example with a word in common is compared, and the best are compared
-again in double precision, so the neighbours are exact. Votes are weighted by closeness; a monotone map fitted to the
-examples' own votes (each without itself) makes them probabilities. A text without any term has no neighbours; its score
-is the share of toxic examples among such, drawn towards the share among all.
+Examples are a bounded sample of labelled documents (`per_class` of each label, by a hash of the id; of equal texts one).
+Terms are all words of the examples. A term weighs (1 + ln count) * idf * rf ** RELEVANCE: idf from its document frequency
+over all documents, rf the relevance frequency of tf.rf weighting, log2(2 + toxic examples with it / clean examples with
+it), which is smooth and leaves no word out; RELEVANCE 0 gives plain TF-IDF.
+
+Examples lie in a block-max inverted index: similar ones share a block of BLOCK, and each term has its largest weight in
+each block, so that a text's similarity to any example of a block has an upper bound. The blocks of the largest bounds are
+compared first; then those whose bound reaches the k-th similarity found; no other block can hold a neighbour. The best
+are compared again in double precision, so the neighbours are exact. Votes are weighted by closeness; a monotone map
+fitted to the examples' own votes (each without itself) makes them probabilities. A text without any term has no
+neighbours; its score is the share of toxic examples among such, drawn towards the share among all.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, slices, stored
@@ -29,15 +33,13 @@ from .near_duplicates import shingle_set
 
 WORDS = re.compile(r"[^\W\d_]+")
 PER_CLASS, NEIGHBOURS = 4000, 15
-#: A word is telling if chance alone would hardly tell the labels apart as well, for any of a million words.
-LEAST_CHI = 30.0
-#: And only if it is so many times as likely under one label as under the other.
-LEAST_RATIO = 8.0
-TELLING = 3.0
-#: Terms of so many examples at least, and up to so many of them, are rows of the matrix.
+RELEVANCE = 2.0
+#: Examples of a block; blocks that are compared before any bound is used.
+BLOCK, OPENED = 64, 4
+#: Terms of so many examples at least, and up to so many of them, have their weights in a row of a matrix; others in lists.
 COMMON, ROWS = 32, 1024
-#: Document frequencies are added up in pieces of so many terms.
-PIECE = 128
+#: Document frequencies are added up in pieces of so many terms, first among SALTS groups of tasks.
+PIECE, SALTS = 1024, 64
 
 Vector = tuple[np.ndarray, np.ndarray]
 
@@ -68,7 +70,7 @@ def _places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Examples' vectors, by example and by term; the commonest terms as a matrix too."""
+    """Examples' vectors, by example and by term, with the largest weight of each term in each block of examples."""
 
     def __init__(self, vectors: list[dict[int, float] | Vector], n_terms: int):
         pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), np.float64, len(v))) if isinstance(v, dict) else v for v in vectors]
@@ -88,10 +90,13 @@ class Index:
         common = common[size[common] >= COMMON]
         self.row = np.full(self.n_terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), self.n), np.float32)
+        self.blocks = max(1, -(-self.n // BLOCK))
+        matrix = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         for r, t in enumerate(common):
             at = slice(self.first[t], self.first[t + 1])
-            self.matrix[r, self.places[at]] = self.weights[at]
+            matrix[r, self.places[at]] = self.weights[at]
+        self.tops = matrix.reshape(len(common), self.blocks, BLOCK).max(axis=2)
+        self.parts = [np.ascontiguousarray(matrix[:, b * BLOCK : (b + 1) * BLOCK]) for b in range(self.blocks)]
         self.scratch = np.zeros(self.n_terms)
 
     def __getstate__(self):
@@ -101,28 +106,55 @@ class Index:
         self.__dict__.update(state)
         self._by_term()
 
-    def nearest_of(self, vectors: list[Vector], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each vector the k nearest examples with a similarity above 0, the nearest first, ties by number."""
-        asked = np.zeros((len(vectors), len(self.matrix)), np.float32)
+    def _rough(self, vectors: list[Vector], k: int, but: list[int] | None) -> np.ndarray:
+        """Similarities of vectors x examples in single precision; minus infinity in blocks that can't hold the k nearest."""
+        asked = np.zeros((len(vectors), len(self.tops)), np.float32)
+        rare = np.zeros((len(vectors), self.blocks * BLOCK), np.float32)
         for i, (terms, weights) in enumerate(vectors):
             rows = self.row[terms]
-            asked[i, rows[rows >= 0]] = weights[rows >= 0]
-        rough, out = asked @ self.matrix, []
-        for i, (terms, weights) in enumerate(vectors):
-            rare = self.row[terms] < 0
-            starts, ends = self.first[terms[rare]], self.first[terms[rare] + 1]
+            listed = rows < 0
+            asked[i, rows[~listed]] = weights[~listed]
+            starts, ends = self.first[terms[listed]], self.first[terms[listed] + 1]
             found = _places(starts, ends)
-            scores = rough[i] + np.bincount(self.places[found], np.repeat(weights[rare].astype(np.float32), ends - starts) * self.weights[found], self.n)
-            if but is not None:
-                scores[but[i]] = 0
-            least = np.partition(scores, -k)[-k] if self.n > k else 0.0
-            met = np.flatnonzero((scores > 0) & (scores >= least - 1e-4))
+            rare[i] = np.bincount(self.places[found], np.repeat(weights[listed].astype(np.float32), ends - starts) * self.weights[found], rare.shape[1])
+        rare[:, self.n :] = -np.inf
+        if but is not None:
+            rare[np.arange(len(but)), but] = -np.inf
+        bounds = asked @ self.tops + rare.reshape(len(vectors), self.blocks, BLOCK).max(axis=2)
+        out = np.full_like(rare, -np.inf)
+
+        def compare(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                who, at = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                out[who, at] = asked[who] @ self.parts[b] + rare[who, at]
+
+        opened = np.ones(bounds.shape, bool)
+        if self.blocks > OPENED and k <= OPENED * BLOCK:
+            best = np.argpartition(-bounds, OPENED, axis=1)[:, :OPENED]
+            opened[:] = False
+            np.put_along_axis(opened, best, True, 1)
+            compare(opened)
+            seen = np.take_along_axis(out.reshape(len(vectors), self.blocks, BLOCK), best[:, :, None], 1).reshape(len(vectors), -1)
+            least = np.partition(seen, -k, axis=1)[:, -k]
+            opened = (bounds >= least[:, None] - 1e-4) & (bounds > 0) & ~opened
+        compare(opened)
+        return out
+
+    def nearest_of(self, vectors: list[Vector], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k nearest examples with a similarity above 0, the nearest first, ties by number."""
+        if not vectors:
+            return []
+        rough, out = self._rough(vectors, k, but), []
+        least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(vectors), -np.inf)
+        for i, (terms, weights) in enumerate(vectors):
+            met = np.flatnonzero((rough[i] > 0) & (rough[i] >= least[i] - 1e-4))
             if not len(met):
                 out.append((np.zeros(0, np.int64), np.zeros(0)))
                 continue
             self.scratch[terms] = weights
             at = _places(self.ends[met], self.ends[met + 1])
-            exact = np.add.reduceat(self.scratch[self.terms[at]] * self.own[at], np.cumsum(self.ends[met + 1] - self.ends[met]) - (self.ends[met + 1] - self.ends[met]))
+            size = self.ends[met + 1] - self.ends[met]
+            exact = np.add.reduceat(self.scratch[self.terms[at]] * self.own[at], np.cumsum(size) - size)
             self.scratch[terms] = 0
             best = np.lexsort((met, -np.round(exact, 12)))[:k]
             out.append((met[best], exact[best]))
@@ -133,6 +165,33 @@ class Index:
         return self.nearest_of([pair], k, None if but < 0 else [but])[0]
 
 
+def in_blocks(vectors: list[Vector], n_terms: int) -> np.ndarray:
+    """An order of examples in which similar ones are near: halves along the main direction of the commonest terms' weights,
+    down to single blocks."""
+    sizes = np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]), minlength=n_terms)
+    row = np.full(n_terms, -1)
+    common = np.argsort(-sizes, kind="stable")[:ROWS]
+    row[common] = np.arange(len(common))
+    matrix = np.zeros((len(vectors), len(common)), np.float32)
+    for i, (terms, weights) in enumerate(vectors):
+        matrix[i, row[terms][row[terms] >= 0]] = weights[row[terms] >= 0]
+    out, todo = [], [np.arange(len(vectors))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= BLOCK:
+            out.append(own)
+            continue
+        centred = matrix[own] - matrix[own].mean(axis=0)
+        along = centred[0].copy()
+        for _ in range(6):
+            along = centred.T @ (centred @ along)
+            along /= np.linalg.norm(along) or 1.0
+        order = own[np.argsort(centred @ along, kind="stable")]
+        half = -(-len(own) // (2 * BLOCK)) * BLOCK
+        todo += [order[half:], order[:half]]
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing step function nearest to y at x, by pooling adjacent violators: upper ends and values."""
     order = np.lexsort((y, x))
@@ -208,8 +267,8 @@ def held_out(doc_id: Column) -> Column:
 def _keyed(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text, toxic) with the least hash of their five-word shingles: copies, and most near copies, share it.
 
-    One document of each key and label is an example; else the words of a text with many copies would pass for signs of
-    its label."""
+    Documents of one key and label count once among those that have a term; else the words of a text with many near
+    copies would pass for signs of its label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -233,24 +292,26 @@ def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray
             found = [t for text in batch.column(0).to_pylist() for t in set(map(get, words_of(text))) if t is not None]
             total += np.bincount(np.array(found, np.int64), minlength=len(total))
             total[len(sent.value)] += batch.num_rows
-        arrays = [pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in total.reshape(-1, PIECE)], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["piece", "counts"])
+        salt = TaskContext.get().partitionId() % SALTS
+        arrays = [pa.array(range(pieces), pa.int32()), pa.array([salt] * pieces, pa.int32()), pa.array([x.tobytes() for x in total.reshape(-1, PIECE)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["piece", "salt", "counts"])
 
     def added(own: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in own.column("counts").to_pylist())
-        return pa.table({"piece": own.column("piece")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"piece": own.column("piece")[:1], "salt": own.column("salt")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece int, counts binary")
-    rows = parts.groupBy("piece").applyInArrow(added, "piece int, counts binary").collect()
+    schema = "piece int, salt int, counts binary"
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    rows = parts.groupBy("piece", "salt").applyInArrow(added, schema).groupBy("piece").applyInArrow(added, schema).collect()
     total = np.zeros(pieces * PIECE, np.int64)
     for r in rows:
         total[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.counts, np.int64)
     return total[: len(terms)], int(total[len(terms)])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, least_chi: float = LEAST_CHI) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, relevance: float = RELEVANCE) -> Scorer:
     """Learns from labelled rows that aren't held out: at most per_class of each label, those with the least hash of the
-    id, and of copies one; a doc_id with several labels has its highest. What comes to the
+    id, and of equal texts one; a doc_id with several labels has its highest. What comes to the
     driver is bounded: 2 * per_class ids, and the examples' words and weights."""
     bounded(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
@@ -263,31 +324,30 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, least_
     ids = docs.sparkSession.createDataFrame(picked.toPandas(), "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drawn = stored(_keyed(texts.join(F.broadcast(ids), "doc_id")), "drawn")
-    firsts = drawn.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    examples = stored(drawn.join(firsts, ["key", "toxic", "doc_id"], "left_semi").dropDuplicates(["key", "toxic"]).drop("key"), "examples")
+    # At most 2 * per_class rows and their repetitions: of equal texts of a label the least doc_id is the example.
+    by_text = Window.partitionBy(F.sha2("text", 256), "toxic").orderBy("doc_id")
+    by_key = Window.partitionBy("key", "toxic").orderBy("doc_id")
+    examples = drawn.withColumn("copy", F.row_number().over(by_text)).where("copy = 1").withColumn("counts", (F.row_number().over(by_key) == 1).cast("int"))
+    examples = stored(examples.select("doc_id", "toxic", "text", "counts"), "examples")
 
     def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            found, toxic = [], []
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found, of = [], [[], []]
+            for text, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = counts_of(text).keys()
                 found += own
-                toxic += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int32())], ["term", "toxic"])
-
-    n = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    spread = examples.select("text", "toxic").mapInArrow(distinct_terms, "term string, toxic int")
-    counts = spread.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(F.lit(1) - F.col("toxic")).alias("b"))
-    a, b, c, d = F.col("a"), F.col("b"), F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
-    chi = F.lit(float(n0 + n1)) * F.pow((a * d - b * c).cast("double"), F.lit(2.0)) / F.greatest((a + b).cast("double") * (c + d).cast("double") * F.lit(float(max(1, n0)) * max(1, n1)), F.lit(1.0))
-    ratio = (a.cast("double") + 0.5) / F.lit(n1 + 1.0) / ((b.cast("double") + 0.5) / F.lit(n0 + 1.0))
-    apart = (ratio >= LEAST_RATIO) | (ratio <= 1 / LEAST_RATIO)
-    telling = (a + b >= 3) & apart & (chi > least_chi)
-    words = counts.where(a + b >= 2).select("term", telling.alias("telling")).toPandas().sort_values("term", ignore_index=True)
+                of[y] += [n] * len(own)
+                of[1 - y] += [0] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array(x, pa.int32()) for x in of)], ["term", "clean", "toxic"])
+
+    n = {r.toxic: (r.n, r.m) for r in examples.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("counts").alias("m")).collect()}
+    spread = examples.select("text", "toxic", "counts").mapInArrow(distinct_terms, "term string, clean int, toxic int")
+    words = spread.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas().sort_values("term", ignore_index=True)
     terms = {t: i for i, t in enumerate(words["term"])}
     df, n_docs = _document_counts(docs, terms) if terms else (np.zeros(0, np.int64), 0)
-    idf = np.log((1 + n_docs) / np.maximum(df, 1)) * np.where(words["telling"].to_numpy(bool), TELLING, 1.0)
+    even = n.get(1, (0, 0))[1] / max(1, n.get(0, (0, 0))[1])
+    rf = np.log2(2 + words["toxic"].to_numpy(np.float64) / np.maximum(1.0, even * words["clean"].to_numpy(np.float64)))
+    idf = np.log((1 + n_docs) / np.maximum(df, 1)) * rf**relevance
     scorer = Scorer(terms, idf, np.zeros(0, np.int64), np.zeros(0), Index([], len(terms)), np.zeros(0), np.zeros(0), 0.0)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
@@ -298,7 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, least_
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "terms", "weights"])
 
     made = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toPandas()
-    return _fitted(scorer, made, share, {0: n0, 1: n1})
+    return _fitted(scorer, made, share, {k: x for k, (x, _) in n.items()})
 
 
 def _fitted(scorer: Scorer, made: pd.DataFrame, share: dict[int, int], n: dict[int, int]) -> Scorer:
@@ -311,6 +371,8 @@ def _fitted(scorer: Scorer, made: pd.DataFrame, share: dict[int, int], n: dict[i
     scorer.bare = float(((toxic * worth)[~have].sum() + 2 * prior) / (worth[~have].sum() + 2)) if len(made) else 0.0
     made, worth = made[have].reset_index(drop=True), worth[have]
     rows = [(np.asarray(t, np.int64), np.asarray(w, np.float64)) for t, w in zip(made["terms"], made["weights"], strict=True)]
+    order = in_blocks(rows, len(scorer.terms))
+    made, worth, rows = made.iloc[order].reset_index(drop=True), worth[order], [rows[i] for i in order]
     scorer.ids, scorer.toxic = made["doc_id"].to_numpy(np.int64), made["toxic"].to_numpy(np.float64)
     scorer.index = Index(rows, len(scorer.terms))
     votes, kept = [], []

@@ -61,26 +61,115 @@ def test_labels_of_held_out_rows_are_never_read(spark, sf_dir):
     assert a == b
 
 
+def test_blocks_that_are_passed_over_hold_no_neighbour():
+    draw = np.random.default_rng(6)
+    vectors = []
+    for i in range(1500):
+        terms = np.unique(np.concatenate([draw.choice(60, 6), 60 + 30 * (i % 20) + draw.choice(30, 5)]))
+        w = (draw.random(len(terms)) + 0.1) * np.where(terms < 60, 1, 6)
+        vectors.append((terms, w / np.sqrt((w**2).sum())))
+    vectors = [vectors[i] for i in toxicity.in_blocks(vectors, 660)]
+    index = toxicity.Index(vectors, 660)
+    dense = np.zeros((1500, 660))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    asked = list(range(0, 1500, 11))
+    rough = index._rough([vectors[i] for i in asked], 15, asked)
+    assert np.isinf(rough.reshape(len(asked), -1, toxicity.BLOCK)).all(axis=2).mean() > 0.2
+    for i, (near, similar) in zip(asked, index.nearest_of([vectors[i] for i in asked], 15, asked)):
+        sims = dense @ dense[i]
+        sims[i] = 0
+        want = sorted((j for j in range(1500) if sims[j] > 0), key=lambda j: (-round(sims[j], 12), j))[:15]
+        assert near.tolist() == want and np.allclose(similar, sims[want])
+
+
 def test_copies_count_as_one_example(spark):
     rows = [(i, "copied words of one text" if i < 30 else f"{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]} " + ("you awful vermin" if i % 2 else "nice day")) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     scorer = toxicity.train(docs, spark.createDataFrame([(i, int(i < 30 or i % 2)) for i in range(100)], "doc_id long, toxic int"))
-    assert scorer.vector("awful") and not scorer.vector("copied")
+    copied, awful = (scorer.idf[scorer.terms[w]] for w in ("copied", "awful"))
+    assert copied < np.log(101 / 30) * np.log2(3) ** 2 + 1e-9 < awful
+    assert sum(len(t) and (t == scorer.terms["copied"]).any() for t in np.split(scorer.index.terms, scorer.index.ends[1:-1])) == 1
 
 
 def test_every_text_with_words_has_neighbours(spark, sf_dir):
     """Words that say nothing about the label are compared too, and common ones weigh less, over all documents."""
     docs = table(spark, sf_dir, "documents")
-    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"), relevance=0.0)
     rows = [r.text for r in docs.select("text").collect()]
-    wordy = [t for t in rows if len(toxicity.counts_of(t)) >= 20]
-    bare = sum(not near for _, near in scorer.scores(wordy))
-    assert bare <= 0.002 * len(wordy)
+    for text, (_, near) in zip(rows, scorer.scores(rows)):
+        assert bool(near) == any(w in scorer.terms for w in toxicity.counts_of(text))
+    wordy = [t for t in rows if len(toxicity.counts_of(t)) >= 5]
+    assert all(near for _, near in scorer.scores(wordy))
     word, place = next((w, t) for w, t in scorer.terms.items() if w == "the")
     n = sum(word in toxicity.counts_of(t) for t in rows)
     assert np.isclose(scorer.idf[place], np.log((1 + len(rows)) / n))
 
 
+def test_scores_match_brute_force(spark, sf_dir):
+    """The whole query against dense vectors, all pairs and a sort."""
+    docs, labels = (pd.read_parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    away = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in docs["doc_id"]}
+    rows = docs.merge(labels, on="doc_id").sort_values("doc_id")
+    rows = rows[[not away[d] for d in rows["doc_id"]]]
+    share = rows["toxic"].value_counts().to_dict()
+    rows = rows.drop_duplicates(["text", "toxic"]).reset_index(drop=True)
+    words = [toxicity.counts_of(t) for t in rows["text"]]
+    toxic = rows["toxic"].to_numpy()
+    keys = [(y, (lambda s: s[0] if len(s) else d)(toxicity.shingle_set(t.encode(), 5)) >> 1) for t, y, d in zip(rows["text"], toxic, rows["doc_id"])]
+    first = [keys.index(k) == i for i, k in enumerate(keys)]
+    places = {w: i for i, w in enumerate(sorted(set().union(*words)))}
+    have = np.zeros((2, len(places)))
+    for c, y, f in zip(words, toxic, first):
+        have[y, [places[w] for w in c]] += f
+    kept = [sum(f for f, y in zip(first, toxic) if y == k) for k in (0, 1)]
+    every = [toxicity.counts_of(t) for t in docs["text"]]
+    df = np.zeros(len(places))
+    for c in every:
+        df[[places[w] for w in c if w in places]] += 1
+    rf = np.log2(2 + have[1] / np.maximum(1, have[0] * kept[1] / kept[0]))
+    weight = np.log((1 + len(docs)) / df) * rf**2
+
+    def dense(counts):
+        out = np.zeros((len(counts), len(places)))
+        for r, c in enumerate(counts):
+            for w, n in c.items():
+                if w in places:
+                    out[r, places[w]] = (1 + np.log(n)) * weight[places[w]]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+    own = dense(words)
+    usable = own.any(axis=1)
+    own, toxic = own[usable], toxic[usable]
+
+    def votes(similar):
+        out = np.full(len(similar), np.nan)
+        for i, s in enumerate(similar):
+            near = [j for j in np.argsort(-np.round(s, 12), kind="stable")[:15] if s[j] > 1e-12]
+            if near:
+                w = 1 / (1.05 - np.minimum(s[near], 1))
+                out[i] = (w * toxic[near]).sum() / w.sum()
+        return out
+
+    within = own @ own.T
+    np.fill_diagonal(within, 0)
+    seen = votes(within)
+    worth = np.array([share[y] / (rows["toxic"] == y).sum() for y in toxic])
+    ok = ~np.isnan(seen)
+    ends, values = toxicity.monotone(seen[ok], toxic[ok].astype(float), worth[ok])
+    found = votes(dense(every) @ own.T)
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, sf_dir).collect()}
+    differ = 0
+    for d, v in zip(docs["doc_id"], found):
+        if np.isnan(v):
+            assert not got[d].evidence
+        else:
+            assert got[d].evidence
+            # The order of equal similarities is each side's own.
+            differ += abs(got[d].score - values[min(np.searchsorted(ends, v - 1e-9), len(values) - 1)]) > 1e-9
+    assert differ <= 0.005 * len(docs)
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(i, f"{'abcdefghij'[i // 6]}{'klmnop'[i % 6]} {'nice day' if i % 3 else 'you awful vermin'}", "x") for i in range(60)]
     rows += [(61, None, "x"), (62, "", None), (None, "awful vermin", "x"), (0, "you awful vermin", "x")]
