@@ -4,9 +4,9 @@ A page becomes a tree of elements. Boilerplate that its markup names (menus, for
 cut off. Each node's composite text density is its characters per tag, lowered by the share of link text around it; a
 node's density sum is the sum of its children's densities. The node of the largest sum is the core; the least density
 on the path from the body to it is the threshold. From the body down, each subtree that passes the threshold gives its
-node of the largest sum, so that a text in several containers is kept, with the headings right before each. Where the page marks
-exactly one article (or main) with text and the core lies in it or around it, that subtree is the main text; a marked
-element beside the core, such as a teaser, isn't.
+node of the largest sum, so that a text in several containers is kept, with the headings right before each. Elements
+within a line of text (INLINE) are no containers: their characters and tags count for the node around them, but they have
+no part in sums and are never chosen by themselves. Densities alone choose; article and main elements have no privilege.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ NAMED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEPT_WHOLE = frozenset("html body article main".split())
 
@@ -153,10 +154,15 @@ def measure(body: Node) -> list[Node]:
             base = math.log(n.chars / plain * n.link_chars + ratio * n.chars + math.e)
             links = (n.chars / max(1, n.link_chars)) * (max(1, n.tags) / max(1, n.link_tags))
             n.density = n.chars / max(1, n.tags) * (math.log(max(links, 1.0)) + 1) / base
-        n.total = sum(c.density for c in n.children if not isinstance(c, str) and not c.dropped)
+        n.total = sum(c.density for c in containers(n))
     return nodes
 
 
+def containers(node: Node) -> list[Node]:
+    """A node's children that may hold a text by themselves."""
+    return [c for c in node.children if not isinstance(c, str) and not c.dropped and c.tag not in INLINE]
+
+
 def _path(node: Node, body: Node) -> list[Node]:
     out = [node]
     while out[-1] is not body:
@@ -171,19 +177,14 @@ def main_nodes(root: Node) -> list[Node]:
     nodes = measure(body)
     if not body.chars:
         return [body]
-    core = max(nodes, key=lambda n: (n.total, n.chars))
-    path = _path(core, body)
-    for wanted in ("article", "main"):
-        marked = [n for n in nodes if n.tag == wanted and n.chars]
-        if len(marked) == 1 and (marked[0] in path or core in _path(marked[0], body)):
-            return marked
+    every = [n for n in nodes if n is body or n.tag not in INLINE]
+    core = max(every, key=lambda n: (n.total, n.chars))
     if core is body:
         return [body]
-    threshold = min(n.density for n in path)
+    threshold = min(n.density for n in _path(core, body))
     best = {}
     for n in reversed(nodes):
-        below = [best[c] for c in n.children if not isinstance(c, str) and not c.dropped]
-        best[n] = max([n, *below], key=lambda x: (x.total, x.chars))
+        best[n] = max([n, *(best[c] for c in containers(n))], key=lambda x: (x.total, x.chars))
     out, todo = [], [body]
     chosen = {core}
     while todo:
@@ -196,7 +197,7 @@ def main_nodes(root: Node) -> list[Node]:
             if best[n] is n:
                 out.append(n)
                 continue
-        todo += [c for c in reversed(n.children) if not isinstance(c, str) and not c.dropped]
+        todo += reversed(containers(n))
     return _with_headings(out)
 
 

@@ -1,11 +1,12 @@
 import html
+import math
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm import queries
+from ledgerloom.llm import html_text, queries
 from ledgerloom.llm.html_text import extract, main_text
 
 
@@ -27,6 +28,48 @@ def test_pages_match_brute_force(spark, sf_dir):
         assert r.n_chars == len(r.text)
 
 
+def test_marks_have_no_privilege(spark, sf_dir):
+    """article and main renamed to div: the densities alone find the same texts."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        assert main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html)) == brute(r.html)
+
+
+def test_densities_by_definition(spark, sf_dir):
+    """The core by plain recursion: every figure counted anew for every node."""
+
+    def kids(n):
+        return [c for c in n.children if not isinstance(c, str) and not c.dropped]
+
+    def below(n):
+        return [x for c in kids(n) for x in [c, *below(c)]]
+
+    def chars(n):
+        return sum(len("".join(c.split())) for c in n.children if isinstance(c, str)) + sum(map(chars, kids(n)))
+
+    def linked(n):
+        return chars(n) if n.tag == "a" else sum(map(linked, kids(n)))
+
+    def density(n, body):
+        c, lc, t, lt = chars(n), linked(n), max(1, len(below(n))), max(1, sum(x.tag == "a" for x in below(n)))
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + linked(body) / max(1, chars(body)) * c + math.e)
+        return c / t * (math.log(max(1.0, c / max(1, lc) * t / lt)) + 1) / base
+
+    def total(n, body):
+        return sum(density(c, body) for c in kids(n) if c.tag not in html_text.INLINE)
+
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(40).collect():
+        page = re.sub(r"<(/?)(article|footer|nav)\b", r"<\1div", r.html)
+        root = html_text.parse(page)
+        body = next(n for n in below(root) if n.tag == "body")
+        nodes = html_text.measure(body)
+        for n in nodes:
+            assert math.isclose(n.density, density(n, body), abs_tol=1e-9) and math.isclose(n.total, total(n, body), abs_tol=1e-9)
+        core = max((n for n in [body, *below(body)] if n.tag not in html_text.INLINE), key=lambda n: (round(total(n, body), 9), chars(n)))
+        assert any(core is x or core in below(x) or x in below(core) for x in html_text.main_nodes(root))
+
+
 LONG = "This is a sentence of the article that says something about the matter at hand, and goes on for a while. "
 
 
