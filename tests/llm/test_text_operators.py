@@ -208,7 +208,18 @@ def test_rule_order_never_changes_the_verdict(spark, sf_dir):
     b = {r.doc_id: r.kept for r in quality.quality(docs, quality.RULES[::-1]).collect()}
     assert a == b
     order = quality.estimate(docs)
-    assert {e.rule for e in order} == set(quality.RULES) and order[0].rejected >= order[-1].rejected
+    assert {e.rule for e in order} == set(quality.RULES)
+    assert [e.gain for e in order] == sorted((e.gain for e in order), reverse=True)
+
+
+def test_cost_decides_among_rules_that_reject_nothing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dear = quality.Rule("a_dear", r"length(regexp_replace(lower(_text), '([a-z]+)([0-9]*)([a-z]*)', '$3$2$1')) < 0")
+    cheap = quality.Rule("z_cheap", "word_chars < 0")
+    some = quality.Rule("b_rejects", "n_words < 100")
+    found = {e.rule.name: e for e in quality.estimate(docs, [dear, cheap, some])}
+    assert list(found)[-1] == "a_dear" and found["a_dear"].seconds > 20 * found["z_cheap"].seconds
+    assert found["a_dear"].rejected == found["z_cheap"].rejected == 0 < found["b_rejects"].rejected
 
 
 # Decontamination.
