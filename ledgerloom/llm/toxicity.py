@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast, TaskContext
@@ -96,7 +95,7 @@ class Index:
             at = slice(self.first[t], self.first[t + 1])
             matrix[r, self.places[at]] = self.weights[at]
         self.tops = matrix.reshape(len(common), self.blocks, BLOCK).max(axis=2)
-        self.parts = [np.ascontiguousarray(matrix[:, b * BLOCK : (b + 1) * BLOCK]) for b in range(self.blocks)]
+        self.parts = matrix.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2)
         self.scratch = np.zeros(self.n_terms)
 
     def __getstate__(self):
@@ -168,9 +167,9 @@ class Index:
 def in_blocks(vectors: list[Vector], n_terms: int) -> np.ndarray:
     """An order of examples in which similar ones are near: halves along the main direction of the commonest terms' weights,
     down to single blocks."""
-    sizes = np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]), minlength=n_terms)
+    sizes = np.bincount(np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]), minlength=n_terms)
     row = np.full(n_terms, -1)
-    common = np.argsort(-sizes, kind="stable")[:ROWS]
+    common = np.argsort(-sizes, kind="stable")[: ROWS // 4]
     row[common] = np.arange(len(common))
     matrix = np.zeros((len(vectors), len(common)), np.float32)
     for i, (terms, weights) in enumerate(vectors):
@@ -342,11 +341,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, releva
 
     n = {r.toxic: (r.n, r.m) for r in examples.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("counts").alias("m")).collect()}
     spread = examples.select("text", "toxic", "counts").mapInArrow(distinct_terms, "term string, clean int, toxic int")
-    words = spread.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas().sort_values("term", ignore_index=True)
-    terms = {t: i for i, t in enumerate(words["term"])}
+    words = spread.groupBy("term").agg(F.sum("clean").cast("int").alias("clean"), F.sum("toxic").cast("int").alias("toxic")).toArrow().sort_by("term")
+    terms = dict(zip(words["term"].to_pylist(), range(words.num_rows), strict=True))
     df, n_docs = _document_counts(docs, terms) if terms else (np.zeros(0, np.int64), 0)
     even = n.get(1, (0, 0))[1] / max(1, n.get(0, (0, 0))[1])
-    rf = np.log2(2 + words["toxic"].to_numpy(np.float64) / np.maximum(1.0, even * words["clean"].to_numpy(np.float64)))
+    rf = np.log2(2 + words["toxic"].to_numpy() / np.maximum(1.0, even * words["clean"].to_numpy()))
     idf = np.log((1 + n_docs) / np.maximum(df, 1)) * rf**relevance
     scorer = Scorer(terms, idf, np.zeros(0, np.int64), np.zeros(0), Index([], len(terms)), np.zeros(0), np.zeros(0), 0.0)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -357,23 +356,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, releva
             arrays = [batch.column(0), batch.column(1), pa.array([t for t, _ in own], pa.list_(pa.int32())), pa.array([w for _, w in own], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "terms", "weights"])
 
-    made = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toPandas()
+    made = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow()
     return _fitted(scorer, made, share, {k: x for k, (x, _) in n.items()})
 
 
-def _fitted(scorer: Scorer, made: pd.DataFrame, share: dict[int, int], n: dict[int, int]) -> Scorer:
+def _fitted(scorer: Scorer, made: pa.Table, share: dict[int, int], n: dict[int, int]) -> Scorer:
     """Index and calibration from the examples' vectors; a label's examples count for all its labelled rows."""
-    made = made.sort_values(["toxic", "doc_id"], ignore_index=True)
-    worth = made["toxic"].map({k: share.get(k, 0) / max(1, v) for k, v in n.items()}).to_numpy(np.float64)
-    have = np.array([len(t) > 0 for t in made["terms"]], bool)
-    toxic = made["toxic"].to_numpy(np.float64)
+    made = made.sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    ids, toxic = made["doc_id"].to_numpy(), made["toxic"].to_numpy().astype(np.float64)
+    terms, weights = (made[c].combine_chunks() for c in ("terms", "weights"))
+    ends, terms, weights = terms.offsets.to_numpy(), terms.values.to_numpy(), weights.values.to_numpy()
+    worth = np.array([share.get(int(y), 0) / max(1, n[int(y)]) for y in toxic])
+    have = np.diff(ends) > 0
     prior = float((toxic * worth).sum() / max(1.0, worth.sum()))
-    scorer.bare = float(((toxic * worth)[~have].sum() + 2 * prior) / (worth[~have].sum() + 2)) if len(made) else 0.0
-    made, worth = made[have].reset_index(drop=True), worth[have]
-    rows = [(np.asarray(t, np.int64), np.asarray(w, np.float64)) for t, w in zip(made["terms"], made["weights"], strict=True)]
-    order = in_blocks(rows, len(scorer.terms))
-    made, worth, rows = made.iloc[order].reset_index(drop=True), worth[order], [rows[i] for i in order]
-    scorer.ids, scorer.toxic = made["doc_id"].to_numpy(np.int64), made["toxic"].to_numpy(np.float64)
+    scorer.bare = float(((toxic * worth)[~have].sum() + 2 * prior) / (worth[~have].sum() + 2)) if len(toxic) else 0.0
+    rows = [(terms[a:b], weights[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    place = np.flatnonzero(have)
+    place = place[in_blocks([rows[i] for i in place], len(scorer.terms))]
+    rows, worth = [rows[i] for i in place], worth[place]
+    scorer.ids, scorer.toxic = ids[place], toxic[place]
     scorer.index = Index(rows, len(scorer.terms))
     votes, kept = [], []
     for at in range(0, len(rows), 256):
