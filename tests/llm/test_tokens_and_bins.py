@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from ledgerloom.llm.common import WordEncoder, vocabulary
 from ledgerloom.llm.packing import best_fit_decreasing, best_fit_packing, bound, lower_bound
 from ledgerloom.llm.sharding import place, shard
-from ledgerloom.llm.token_output import EliasFano, export_segments, read_segment, read_tokens, token_output, write_tokens
+from ledgerloom.llm.token_output import SAMPLE, EliasFano, opened, ranges, read_tokens, token_output, write_tokens
 
 PATH = vocabulary("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -54,7 +54,7 @@ def test_known_words_are_bounded():
 def test_elias_fano_round_trip(values):
     values = sorted(values)
     code = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.uint64)).to_bytes())
-    assert code.decode().tolist() == values
+    assert [x for k in range(0, len(values), SAMPLE) for x in code.window(k).tolist()] == values
     assert [code[i] for i in range(len(values))] == values
 
 
@@ -78,19 +78,34 @@ def test_token_output_matches_brute_force(spark, sf_dir):
     assert got == brute_tokens([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_token_output_odd_rows(odd, spark, tmp_path):
+def test_token_output_odd_rows(odd):
     segments = write_tokens(odd, PATH, 2, 3, segment_ids=50)
     got = sorted(map(tuple, read_tokens(segments).collect()), key=lambda r: r[1])
     want = brute_tokens([(r[0], r[1]) for r in ODD])
     assert [r[0] for r in got] == [r[0] for r in want]
     assert Counter((r[0], r[2], r[3]) for r in got) == Counter((r[0], r[2], r[3]) for r in want)
     assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
-    files = export_segments(segments, str(tmp_path))
-    back = [x for f in files for x in read_segment(open(f, "rb").read()).doc_ids]
-    assert back == [r[0] for r in want]
+    files = [opened(r.file) for r in segments.orderBy("part", "segment").collect()]
+    assert len(files) > 2 and all(len(f.ends.high) + len(f.ends.low) < 8 * len(f) + 8 for f in files)
+    assert [f.doc_id(i) for f in files for i in range(len(f))] == [r[0] for r in want]
+    assert [zlib.crc32(f.ids(*f.bounds(i)).astype("<u4")) for f in files for i in range(len(f))] == [r[3] for r in got]
     assert token_output(odd.limit(0)).collect() == []
 
 
+def test_hot_ids_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i % 50}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt = ranges(docs, 12)
+    sizes = docs.groupBy(dealt.of(F.col("doc_id"), F.xxhash64("text", F.monotonically_increasing_id())).alias("k")).count().collect()
+    assert max(r["count"] for r in sizes) < 600 and {r.k for r in sizes} <= set(range(dealt.tasks))
+    got = sorted(map(tuple, token_output(docs, partitions=12).collect()), key=lambda r: r[1])
+    want = brute_tokens(rows)
+    assert [r[0] for r in got] == [r[0] for r in want] and Counter((r[0], *r[2:]) for r in got) == Counter((r[0], *r[2:]) for r in want)
+    assert got[0][1] == 0 and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_bins_hold_and_bound_holds(lengths):
