@@ -6,6 +6,8 @@ import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +23,16 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a driver that runs its tasks itself may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or "/tmp/checkpoints"
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/ledgerloom-shared"
+
+
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -31,9 +40,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever store Spark writes to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were stored within it; what was made of them has to be written by then."""
+    token = _made.set(made := [])
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            removed(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,8 +3,9 @@
 Documents become pieces of at most `capacity` tokens. Pieces are dealt by a hash of their row to partitions of about
 `per_partition` pieces; each is packed by best-fit decreasing. Lower bounds from dual feasible functions certify a
 partition's number of bins; partitions whose number lies above their bound have gaps: the pieces of their bins with
-free space go into a pool that is dealt anew, so that documents of different partitions meet, and packed again. A round
-is kept only if it saves bins. Only lengths move: ids are counted and hashed where the text is read.
+free space go into a pool that is dealt anew, so that documents of different partitions meet, and packed again, until the
+pool's own bound certifies it, no partition has a gap, or a round saves no bin. Only lengths move: ids are counted and
+hashed where the text is read.
 """
 
 from __future__ import annotations
@@ -26,11 +27,16 @@ PACKED = f"{PIECE}, sequence_id long, offset long, free long, gap boolean"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best of the dual feasible functions f_t (larger than capacity - t count as
-    whole bins, smaller than t not at all) and u_k (k + 1 parts to a bin, whole parts unchanged, others rounded down)."""
-    if not len(lengths):
+    """Bins that any packing of these lengths needs."""
+    return lower_bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def lower_bound_of(counts: np.ndarray, capacity: int) -> int:
+    """The same of the number of pieces of each length from 0 to capacity: the best of the dual feasible functions f_t
+    (larger than capacity - t count as whole bins, smaller than t not at all) and u_k (k + 1 parts to a bin, whole parts
+    unchanged, others rounded down)."""
+    if not counts.any():
         return 0
-    counts = np.bincount(lengths, minlength=capacity + 1)
     sizes = np.arange(capacity + 1)
     many, mass = np.cumsum(counts), np.cumsum(counts * sizes)
     t = np.arange(0, capacity // 2 + 1)
@@ -108,24 +114,32 @@ def _dealt(rows: DataFrame, n: int, per_partition: int, salt: int) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("row_no", F.lit(salt)), F.lit(parts)))
 
 
-def pack(found: DataFrame, capacity: int, per_partition: int = 50_000, exchanges: int = 2) -> DataFrame:
-    """found: pieces. Adds sequence_id and offset."""
+def pack(found: DataFrame, capacity: int, per_partition: int = 50_000) -> DataFrame:
+    """found: pieces. Adds sequence_id and offset. Each round saves a bin or is the last."""
     found = stored(found, "pieces")
-    n = found.count()
-    done = stored(_packed(_dealt(found, n, per_partition, 0), capacity, 0), "packed")
-    if n <= per_partition:
-        return done
-    for k in range(1, exchanges + 1):
+    done, pool, k = None, found, 0
+    n, before = found.count(), None
+    while True:
+        packed = stored(_packed(_dealt(pool.select(*found.columns), n, per_partition, k), capacity, k), "packed")
+        if before is not None and packed.where("offset = 0").count() >= before:
+            return done
+        done = packed if done is None else stored(kept.unionByName(packed), "packed")
+        if n <= per_partition:
+            return done
         loose = F.col("gap") & (F.col("free") > 0)
         pool, kept = done.where(loose), done.where(~loose)
-        before = pool.agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).first()
-        if not before.n:
-            break
-        again = stored(_packed(_dealt(pool.select(*found.columns), before.n, per_partition, k), capacity, k), "repacked")
-        if again.where("offset = 0").count() >= before.bins:
-            break
-        done = stored(kept.unionByName(again), "packed")
-    return done
+        counts, before = _counts(pool, capacity)
+        if before <= lower_bound_of(counts, capacity):
+            return done
+        n, k = int(counts.sum()), k + 1
+
+
+def _counts(packed: DataFrame, capacity: int) -> tuple[np.ndarray, int]:
+    """Pieces of each length, and sequences: a row for each length comes to the driver."""
+    out, bins = np.zeros(capacity + 1, np.int64), 0
+    for r in packed.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).collect():
+        out[r["length"]], bins = r["n"], bins + r["bins"]
+    return out, bins
 
 
 def best_fit_packing(
@@ -142,7 +156,6 @@ def best_fit_packing(
 
 
 def bound(packed: DataFrame, capacity: int = 4096) -> tuple[int, int]:
-    """Sequences used, and the least number that any packing of these pieces needs; a row per length comes to the driver."""
-    counts = {r["length"]: r["n"] for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    lengths = np.repeat(np.fromiter(counts, np.int64, len(counts)), list(counts.values()))
-    return packed.where("offset = 0").count(), lower_bound(lengths, capacity)
+    """Sequences used, and the least number that any packing of these pieces needs."""
+    counts, bins = _counts(packed, capacity)
+    return bins, lower_bound_of(counts, capacity)

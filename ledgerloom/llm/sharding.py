@@ -1,10 +1,12 @@
 """Sharding by vector bin packing.
 
 Groups (equal texts) are vectors of bytes, words and rows. Groups of under a small share of a shard are bundled by a
-hash of their text, so that what the driver packs is bounded; larger groups stand alone, and those above `split_share`
-of a shard are split by a hash of the rows, as no shard could hold them. Bundles are taken from the largest down and each goes to the shard where
-the dot product of its vector with the residual capacity is highest among shards that hold no more bytes than the
-emptiest one after placing it, which keeps sizes near equal (law `bytes`).
+hash of their text, so that what the driver packs is bounded; larger groups stand alone. A group above an even share of a
+shard in some dimension can't stay whole in balanced shards; it is split by a hash of its rows in parts of about
+1 / `parts_of_share` of a shard. Bundles are taken from the largest down and each goes, among the shards with room for it
+in all dimensions (among all where there is none), to the one where the dot product of its vector with the residual
+capacity is highest. Swaps between the shards of the most and the fewest bytes then even out all dimensions, bytes first
+(law `bytes`).
 """
 
 from __future__ import annotations
@@ -13,63 +15,60 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import WORD, stored
 
 DIMENSIONS = ("size", "tokens", "rows")
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each vector (bundles x dimensions), balancing all dimensions; the first dimension leads.
-
-    Capacity is an even share of each dimension. From the largest down a vector goes where its dot product with the
-    residual capacity is highest; after that, small moves from the fullest to the emptiest shard even out the first
-    dimension.
-    """
+    """The shard of each vector (bundles x dimensions); capacity is an even share of each dimension."""
     share = np.maximum(vectors.sum(axis=0) / shards, 1e-9)
     scaled = vectors / share
     order = np.lexsort((np.arange(len(vectors)), -scaled.max(axis=1)))
     residual, out = np.ones((shards, vectors.shape[1])), np.zeros(len(vectors), np.int64)
     for i in order:
-        fits = residual[:, 0] >= scaled[i, 0] - 1e-12
+        fits = (residual >= scaled[i] - 1e-12).all(axis=1)
         gain = residual @ scaled[i]
         if fits.any():
             gain[~fits] = -np.inf
-        else:
-            gain = residual[:, 0]
         out[i] = best = int(np.argmax(gain))
         residual[best] -= scaled[i]
-    return _evened(vectors[:, 0].astype(np.int64), out, shards)
+    return _evened(scaled, out, shards)
 
 
-def _evened(sizes: np.ndarray, at: np.ndarray, shards: int, rounds: int = 4000) -> np.ndarray:
-    """Moves or swaps single bundles between the fullest and the emptiest shard as long as their difference shrinks."""
-    total = np.bincount(at, sizes, shards).astype(np.int64)
-    for _ in range(rounds):
-        a, b = int(total.argmax()), int(total.argmin())
-        apart = int(total[a] - total[b])
-        if apart <= 1:
-            break
-        mine, theirs = np.flatnonzero(at == a), np.flatnonzero(at == b)
-        theirs = theirs[np.argsort(sizes[theirs], kind="stable")]
-        ours = np.concatenate([[0], sizes[theirs]])
-        wanted = sizes[mine] - apart // 2
-        k = np.clip(np.searchsorted(ours, wanted), 0, len(ours) - 1)
-        k = np.where((k > 0) & (np.abs(ours[np.maximum(k - 1, 0)] - wanted) < np.abs(ours[k] - wanted)), k - 1, k)
-        moved = sizes[mine] - ours[k]
-        after = np.where(moved > 0, np.abs(apart - 2 * moved), apart)
-        if not len(mine) or after.min() >= apart:
-            break
-        j = int(after.argmin())
-        at[mine[j]] = b
-        if k[j]:
-            at[theirs[k[j] - 1]] = a
-        total[a] -= moved[j]
-        total[b] += moved[j]
-    return at
+#: What a difference in bytes weighs beside one in words or rows.
+FIRST = 20.0
+NEAR = np.arange(-2, 3)
 
 
+def _evened(scaled: np.ndarray, at: np.ndarray, shards: int) -> np.ndarray:
+    """Moves or swaps bundles between the shards of the most and the fewest bytes as long as the weighted sum of their
+    differences in all dimensions shrinks; of a bundle's partners those of the nearest sizes are tried."""
+    weights = np.ones(scaled.shape[1])
+    weights[0] = FIRST
+    total = np.stack([np.bincount(at, scaled[:, d], shards) for d in range(scaled.shape[1])], axis=1)
+    scaled = np.vstack([scaled, np.zeros(scaled.shape[1])])
+    while True:
+        a, b = int(total[:, 0].argmax()), int(total[:, 0].argmin())
+        apart = total[a] - total[b]
+        mine, theirs = np.flatnonzero(at == a), np.flatnonzero(at == b)
+        # The last row of scaled is nothing: to swap with it is to move.
+        theirs = np.concatenate([[len(scaled) - 1], theirs[np.argsort(scaled[theirs, 0], kind="stable")]])
+        k = np.searchsorted(scaled[theirs, 0], scaled[mine, 0] - apart[0] / 2)
+        partner = theirs[np.clip(k[:, None] + NEAR, 0, len(theirs) - 1)]
+        moved = scaled[mine][:, None] - scaled[partner]
+        after = np.abs(apart - 2 * moved) @ weights
+        if not after.size or after.min() >= np.abs(apart) @ weights - 1e-9:
+            return at
+        i, j = np.unravel_index(after.argmin(), after.shape)
+        at[mine[i]] = b
+        if partner[i, j] < len(at):
+            at[partner[i, j]] = a
+        total[a] -= moved[i, j]
+        total[b] += moved[i, j]
+
 
-def shard(docs: DataFrame, shards: int = 16, bundles: int = 8192, split_share: float = 0.5) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, bundles: int = 8192, parts_of_share: int = 2) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Texts are read once, into a table of their sizes. Bundles, at most `bundles` of small groups and as many again of
@@ -87,7 +86,7 @@ def shard(docs: DataFrame, shards: int = 16, bundles: int = 8192, split_share: f
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("text_hash"),
-            F.size(F.split(F.trim(text), r"[\x20\x09-\x0D]+")).cast("long").alias("tokens"),
+            F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
         ).withColumn("row_no", F.monotonically_increasing_id()),
         "shard-rows",
     )
@@ -103,7 +102,7 @@ def shard(docs: DataFrame, shards: int = 16, bundles: int = 8192, split_share: f
     large = groups.select(
         "text_hash",
         "text_crc32",
-        F.ceil(shares / split_share).cast("long").alias("parts"),
+        F.when(shares > 1, F.ceil(shares * parts_of_share)).otherwise(F.lit(1)).cast("long").alias("parts"),
         F.ceil(shares * (bundles / shards)).cast("long").alias("pieces"),
     )
     # What is placed as one: a group, or a part of it. What is numbered as one: a piece of that, about 1 / bundles of all.
