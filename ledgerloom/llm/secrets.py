@@ -8,6 +8,8 @@ pair. Ratios are whole thousandths, so that sums don't depend on their order. Ev
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,29 +45,76 @@ WORDS = (
 THRESHOLD = 250
 
 
+SPANS = "array<struct<start:int,kind:string,end:int>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matched(text: Column, pattern: str, groups: int, value: int, kind: str, least: int) -> Column:
     """Leftmost non-overlapping matches of a pattern (with `groups` groups of its own) as an array of (start, kind,
     end), from 0, in code points; those whose group `value` is shorter than `least` are dropped.
 
-    The text is cut into gaps and matches; places are sums of the lengths before.
+    The text is cut into gaps and matches; places are sums of the lengths before. The n pieces are summed in some
+    sqrt(n) runs, first the runs' lengths and then within each run, so that no list of n spans grows one by one.
     """
     cutter = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
     cut = lambda group: F.regexp_extract_all(text, cutter, F.lit(group))
-    pieces = F.arrays_zip(cut(1).alias("gap"), cut(2).alias("hit"), cut(2 + value).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("found"))
+    cuts = F.arrays_zip(cut(1).alias("gap"), cut(2).alias("hit"), cut(2 + value).alias("value"))
+    sized = lambda pieces: F.transform(
+        pieces, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("hit"), (F.length(p["value"]) >= least).alias("kept"))
+    )
+
+    def in_runs(pieces: Column) -> Column:
+        run = F.ceil(F.sqrt(F.size(pieces).cast("double"))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / run).cast("int")), lambda k: F.slice(pieces, k * run + 1, run))
+
+    def with_starts(runs: Column) -> Column:
+        length = lambda run: F.aggregate(run, F.lit(0), lambda n, p: n + p["gap"] + p["hit"])
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
+        return F.arrays_zip(runs.alias("run"), F.aggregate(F.transform(runs, length), begin, step, lambda a: a["starts"]).alias("start"))
 
-    def step(a: Column, p: Column) -> Column:
-        begin = a["at"] + F.length(p["gap"])
-        end = begin + F.length(p["hit"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        kept = (p["hit"] != "") & (F.length(p["value"]) >= least)
-        return F.struct(end.alias("at"), F.when(kept, F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
+    def spans(run: Column) -> Column:
+        def step(a: Column, p: Column) -> Column:
+            begin = a["at"] + p["gap"]
+            end = begin + p["hit"]
+            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+            found = F.when((p["hit"] > 0) & p["kept"], F.concat(a["found"], F.array(span))).otherwise(a["found"])
+            return F.struct(end.alias("at"), found.alias("found"))
 
-    return F.aggregate(pieces, start, step, lambda a: a["found"])
+        start = F.struct(run["start"].alias("at"), F.array().cast(SPANS).alias("found"))
+        return F.aggregate(run["run"], start, step, lambda a: a["found"])
+
+    return _let(_let(sized(cuts), in_runs), lambda runs: F.flatten(F.transform(with_starts(runs), spans)))
+
+
+def _below(places: Column, value: Column) -> Column:
+    """How many of some sorted places lie below a value, by halving."""
+    start = F.struct(F.lit(0).alias("low"), F.size(places).alias("high"))
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        right = (a["low"] < a["high"]) & (F.get(places, middle) < value)
+        return F.struct(F.when(right, middle + 1).otherwise(a["low"]).alias("low"), F.when(right | (a["low"] >= a["high"]), a["high"]).otherwise(middle).alias("high"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(places) + F.lit(1.0))).cast("int"))
+    return F.aggregate(rounds, start, step, lambda a: a["low"])
+
+
+def _free(runs: Column, base: Column) -> Column:
+    """The runs that touch no base span: as many base spans begin before a run's end as end by its start."""
+    starts, ends = (F.array_sort(F.transform(base, lambda b: b[c])) for c in ("start", "end"))
+    free = lambda places: F.filter(
+        runs, lambda r: _below(places["starts"], r["end"]) == _below(places["ends"], r["start"] + 1)
+    )
+    return F.when(F.size(base) == 0, runs).otherwise(_let(F.struct(starts.alias("starts"), ends.alias("ends")), free))
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    return F.array().cast(SPANS)
 
 
 def _samples(spark: SparkSession, n: int = 3000) -> DataFrame:
@@ -85,12 +134,16 @@ def _samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return rows.select(F.explode(F.array(F.struct(F.lit(1).alias("secret"), shown.alias("s")), F.struct(F.lit(0).alias("secret"), numbered.alias("s")))).alias("x")).select("x.*")
 
 
-def train(spark: SparkSession) -> list[int]:
-    """Log-likelihood ratios, in thousandths, of each pair of ALPHABET's characters, row by row."""
+def train(spark: SparkSession, samples: DataFrame | None = None) -> list[int]:
+    """Log-likelihood ratios, in thousandths, of each pair of ALPHABET's characters, row by row, from labelled samples
+    (secret 0 or 1, s); other characters and nulls are passed over."""
+    samples = (_samples(spark) if samples is None else samples).select(F.col("secret").cast("int").alias("secret"), F.col("s").cast("string").alias("s"))
+    samples = samples.where(F.col("secret").isin(0, 1) & (F.length("s") > 1))
     size = len(ALPHABET)
     at = F.explode(F.sequence(F.lit(1), F.length("s") - 1))
-    pairs = _samples(spark).select("secret", "s", at.alias("i")).select("secret", F.substring("s", F.col("i"), F.lit(1)).alias("a"), F.substring("s", F.col("i") + 1, F.lit(1)).alias("b"))
-    counts = pairs.groupBy("secret", "a", "b").agg(F.count("*").alias("n")).collect()
+    pairs = samples.select("secret", "s", at.alias("i")).select("secret", F.substring("s", F.col("i"), F.lit(1)).alias("a"), F.substring("s", F.col("i") + 1, F.lit(1)).alias("b"))
+    known = F.instr(F.lit(ALPHABET), F.col("a")) * F.instr(F.lit(ALPHABET), F.col("b")) > 0
+    counts = pairs.where(known).groupBy("secret", "a", "b").agg(F.count("*").alias("n")).collect()
     table = np.zeros((2, size, size))
     for r in counts:
         table[r.secret, ALPHABET.index(r.a), ALPHABET.index(r.b)] = r.n
@@ -111,12 +164,12 @@ def scored(token: Column, ratios: list[int]) -> Column:
     return F.aggregate(F.filter(codes, lambda c: c >= 0), start, step, lambda a: a["sum"])
 
 
-def secret_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def secret_spans(docs: DataFrame, threshold: int = THRESHOLD, samples: DataFrame | None = None) -> DataFrame:
     """Per row: doc_id, base (spans of the patterns) and spans (all), arrays of (start, kind, end) by start, then kind.
 
     Each pattern first tests whether it matches at all; only texts in which it does are cut into spans.
     """
-    ratios = train(docs.sparkSession)
+    ratios = train(docs.sparkSession, samples)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"))
     t = F.col("_text")
@@ -131,9 +184,8 @@ def secret_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
     found = rows.select("doc_id", "_text", F.concat(assign, access, hexed).alias("_base"), runs.alias("_runs"))
     own = lambda s: F.substring(t, s["start"] + 1, s["end"] - s["start"])
-    free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     likely = lambda s: scored(own(s), ratios) > F.lit(threshold).cast("long") * (s["end"] - s["start"] - 1)
-    more = F.when(F.size("_runs") > 0, F.filter(F.filter("_runs", free), likely)).otherwise(_none())
+    more = F.when(F.size("_runs") > 0, F.filter(_free(F.col("_runs"), F.col("_base")), likely)).otherwise(_none())
     return found.withColumn("_more", more).select("doc_id", sorted_(F.col("_base")).alias("base"), sorted_(F.concat("_base", "_more")).alias("spans"))
 
 
@@ -141,14 +193,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+def secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans. samples: labelled strings (secret, s) to train from.
 
     Defined cases: a null text is empty and has no spans; repeated rows are answered each; a null doc_id stays null;
     other columns are ignored.
     """
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    found = secret_spans(docs)
+    found = secret_spans(docs, samples=samples)
     return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 

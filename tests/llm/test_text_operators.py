@@ -149,6 +149,27 @@ def test_secrets_odd_rows(odd):
     assert secrets.secrets(odd.limit(0)).collect() == []
 
 
+def test_texts_of_many_hits(spark):
+    import time
+
+    digests = [hashlib.sha256(str(i).encode()).hexdigest()[: 16 + i % 20] for i in range(16000)]
+    texts = [" ".join(digests[:n]) + " " + " ".join(f"Zq9xT7bLw2Rk8YpVn4Jd{i:06d}" for i in range(n // 4)) for n in (1, 2, 3, 5, 100, 16000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    assert time.perf_counter() - began < 30
+    check_secrets(list(enumerate(texts)), got.values())
+    for k, n in enumerate((1, 2, 3, 5, 100, 16000)):
+        spans = [x.split(":") for x in got[k].spans.split(",")]
+        assert sum(x[0] == "random" for x in spans) == n // 4 and [int(x[1]) for x in spans] == sorted(int(x[1]) for x in spans)
+
+
+def test_samples_of_the_caller(spark):
+    samples = spark.createDataFrame([(1, "zzzzzzzzzzzzzzzzzzzzzzz"), (0, "xyxyxyxyxyxyxyxyxyxy"), (None, "x"), (1, None), (0, "é")], "secret int, s string")
+    docs = spark.createDataFrame([(1, "zzzzzzzzzzzzzzzzzzzzzzzz xyxyxyxyxyxyxyxyxyxyxyxyxy")], "doc_id long, text string")
+    assert secrets.secrets(docs, samples).first().spans == "random:0:24"
+
+
 def test_markov_models_tell_random_from_names(spark):
     ratios = secrets.train(spark)
     names = ["getUserProfileRequest", "max_connection_pool_size", "DEFAULT_BUFFER_LENGTH", "session-token-lifetime", "unglichheitkeitberechnung"]
