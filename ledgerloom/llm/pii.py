@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns give the base spans. The field is trained from a small labelled table (labelled_rows) and reads the words
-around any digit or at sign; it adds the spans that the patterns drop or don't know: numbers that run into one another,
+within `around` words of any digit or at sign, as no span lies elsewhere; it adds the spans that the patterns drop or don't know: numbers that run into one another,
 card-like numbers with a wrong check digit, addresses with blanks. Base spans stay, added spans never overlap them.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -87,21 +89,28 @@ def joined(spans: list[Span]) -> str:
 # The field.
 
 
-@lru_cache(maxsize=100_000)
 def shape(word: str) -> str:
-    """Kinds of characters; runs of letters count once, runs of digits by their length up to 9 and 12 to 19 alike."""
+    """Kinds of characters of the whole word; runs of letters count once, runs of digits by their length up to 9 and 12 to
+    19 alike, any other character once for each run of it. Shapes of short words are kept."""
+    return _known_shape(word) if len(word) <= 64 else _shape(word)
+
+
+def _shape(word: str) -> str:
     out = []
-    for m in re.finditer(r"[A-Z]+|[a-z]+|[0-9]+|.", word[:64], re.S):
+    for m in re.finditer(r"[A-Z]+|[a-z]+|[0-9]+|(.)\1*", word, re.S):
         c = m[0]
         if c[0].isdigit() and c.isascii():
             out.append("9*" if 12 <= len(c) <= 19 else "9" * min(len(c), 9))
         elif c.isascii() and c.isalpha():
             out.append("A" if c[0].isupper() else "a")
         else:
-            out.append("a" if c.isalpha() else c)
+            out.append("a" if c.isalpha() else c[0])
     return re.sub("[Aa]+", "a", "".join(out))
 
 
+_known_shape = lru_cache(maxsize=100_000)(_shape)
+
+
 def core(word: str) -> str:
     return word.strip(".,;:!?\"'|&*#$%<>") or word
 
@@ -207,7 +216,8 @@ def all_spans(texts: list[str], model: LinearChainCRF) -> list[tuple[list[Span],
     out = []
     for text, more in zip(texts, field_spans(texts, model), strict=True):
         base = base_spans(text)
-        free = [s for s in more if not any(s[0] < b and a < s[2] for a, _, b in base)]
+        starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+        free = [s for s in more if not (k := bisect_left(starts, s[2])) or reach[k - 1] <= s[0]]
         out.append((base, in_order(base + free)))
     return out
 

@@ -95,6 +95,36 @@ def test_field_adds_what_patterns_drop():
     assert [(k, b - a) for a, k, b in every] == [("phone", 17), ("card", 16)]
 
 
+def test_field_reads_whole_words():
+    assert pii.shape("x" * 100 + "7" * 13 + "--" + "é" * 200) == "a9*-a"
+    assert pii.shape("+" + "1" * 70) == "+" + "9" * 9 and pii.shape("word" * 30 + "@" + "host" * 30 + ".org") == "a@a.a"
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = " ".join(f"a{i}@b.org +1 (269) 555-3296 4524132264652876" for i in range(6000))
+    began = time.perf_counter()
+    ((base, every),) = pii.all_spans([text], pii.trained())
+    assert time.perf_counter() - began < 20 and len(base) == 6000 and len(every) > len(base)
+    brute = [s for s in every if s not in base]
+    assert all(not (s[0] < b and a < s[2]) for s in brute[:200] for a, _, b in base)
+
+
+def test_words_far_from_marks_change_nothing(spark, sf_dir):
+    """The field over whole texts gives the spans that it gives around digits and at signs."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(400).collect()]
+    near = [pii.field_spans([t], pii.trained())[0] for t in texts]
+    real = pii.windows
+    try:
+        pii.windows = lambda text: [w] if (w := [m.span() for m in pii.WORD.finditer(text)]) and pii.MARK.search(text) else []
+        whole = [pii.field_spans([t], pii.trained())[0] for t in texts]
+    finally:
+        pii.windows = real
+    both = sum(len(set(a) & set(b)) for a, b in zip(near, whole))
+    assert both >= 0.99 * sum(len(set(a) | set(b)) for a, b in zip(near, whole)) and both
+
+
 def test_field_on_held_out_rows():
     rows = pii.labelled_rows(400)[240:]
     model = pii.trained()
