@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +64,25 @@ def releasing(spark: SparkSession) -> Iterator[None]:
             removed(spark, path)
 
 
+#: A key is hot if it holds over 1 / HOT of the rows; so fewer than HOT keys are.
+HOT = 1024
+
+
+def hot_keys(rows: DataFrame, on: str) -> list:
+    """The hot values of a column, fewer than HOT; rows should be a stored table, as they are read twice."""
+    least = max(1, rows.count() // HOT)
+    return [r[on] for r in rows.groupBy(on).agg(F.count("*").alias("n")).where((F.col("n") > least) & F.col(on).isNotNull()).select(on).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, hot: list, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each value once: rows of hot values stay where they are and meet a broadcast of
+    right's rows for them, fewer than HOT; the rest are dealt by the value."""
+    if not hot:
+        return left.join(right, on, how)
+    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), on, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

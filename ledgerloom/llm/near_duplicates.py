@@ -7,12 +7,14 @@ the pigeonhole principle, a chunk with at most d // chunks differing values; eac
 (13 chunks of 6 values, 1 error) two sets with a similarity of 0.8 fail to meet with a chance of 1e-6; all candidates
 are then confirmed on the full sets.
 
-Buckets are never expanded into pairs. Each member is held against its bucket's smallest, the hub (a star); linked
-documents form components. Two members of a bucket share its hub, so what is left to test are the members of a hub across
-components. They are dealt in blocks of bounded size; each pair of blocks that holds such members meets once, and a task
-tests its members on their full sets against all others that the triangle inequality doesn't rule out (1 - similarity is
-a metric, and the distance of both to the hub is known by then); it returns only links that join components. Pairs
-within a component need no test, so no link that could join two components is lost.
+Buckets are never expanded into pairs. Each member is held against its bucket's smallest, the hub (a star); a hub's members
+are dealt in blocks, and its set goes once to each block. Linked documents form components. Two members of a bucket share
+its hub, so what is left to test are the members of a hub across components. They are dealt in blocks of bounded size by
+their distance to the hub (1 - similarity is a metric, so members whose distances differ by more than the threshold can't
+be linked); each pair of blocks near enough that holds such members meets once, and a task tests its members on their full
+sets; it returns only links that join components. Pairs within a component need no test, so no link that could join two
+components is lost. No key is dealt to one task: rows of hot keys stay where they are and meet a broadcast of fewer than
+HOT rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, place_of, test_bits
-from .common import WORD_BYTES_RE, WORD_HASHES, bounded, stored
+from .common import HOT, WORD_BYTES_RE, WORD_HASHES, bounded, hot_keys, spread_join, stored
 
 CHUNKS, VALUES, ERRORS = 13, 6, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -134,23 +136,53 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, shingles array<long>")
 
 
+#: Members that a copy of their hub's set is sent for.
+HUB_BLOCK = 512
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) on their full sets: a, b, linked, apart (1 - similarity)."""
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b")).cast("long")
-    # The hub's side goes first, while rows are small; then rows with sets are dealt by the other member.
-    met = pairs.join(first, "a").join(second, "b").select("a", "b", (F.size("_a") + F.size("_b")).cast("long").alias("sizes"), both.alias("both"))
-    any_of = F.col("sizes") - F.col("both")
-    return met.select("a", "b", (F.lit(100) * F.col("both") >= F.lit(percent) * any_of).alias("linked"), (F.lit(1.0) - F.col("both") / any_of).alias("apart"))
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HUB_BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    dealt = spread_join(pairs, counts, "a", hot_keys(pairs, "a")).select("a", own.alias("block"), "b")
+    members = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "shingles")
+    hubs = counts.join(sets.withColumnRenamed("node", "a"), "a")
+    hubs = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "shingles")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, []
+        for batch in batches:
+            lists = batch.column(3)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            out = []
+            for k, (a, block, b) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                own = flat[ends[k] : ends[k + 1]]
+                if hub != (a, block):
+                    hub, held = (a, block), []
+                if b is None:
+                    held.append(own.copy())  # one, unless rows with other texts share its doc_id
+                for of in held if b is not None else ():
+                    at = np.searchsorted(of, own)
+                    at[at == len(of)] = 0
+                    both = int((of[at] == own).sum())
+                    either = len(of) + len(own) - both
+                    out.append((a, b, 100 * both >= percent * either, 1.0 - both / either))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("apart", pa.float64())])
+    # A hub's set comes right before its members'; a task holds one such set at a time.
+    met = hubs.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return met.select("a", "block", "b", "shingles").mapInArrow(test, "a long, b long, linked boolean, apart double")
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b): node, component (the smallest node reachable), by least labels of neighbours and label jumping."""
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    hot = hot_keys(both, "b")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "component"), "b", hot).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "m").alias("nearest"))
         roots = labels.select(F.col("node").alias("nearest"), F.col("component").alias("_of"))
         moved = step.join(roots, "nearest").select("node", F.least("nearest", "_of").alias("component"), (F.least("nearest", "_of") < F.col("component")).alias("changed"))
@@ -198,25 +230,33 @@ def joining_links(part: pa.Table, lo: int, hi: int, percent: int) -> list[tuple[
     return out
 
 
+#: Bands of distance to the hub that a block's members lie in.
+BANDS = 10
+
+
 def _left(tested: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components among the members of each hub: a, b."""
     named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-    rows = tested.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    hot = hot_keys(tested, "a")
+    rows = spread_join(tested, named("a"), "a", hot, "left").join(named("b"), "b", "left")
     rows = rows.select("a", "b", "apart", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b"))
     hubs = rows.groupBy("a").agg(F.count("*").alias("n"), F.min(F.least("_a", "_b")).alias("x"), F.max(F.greatest("_a", "_b")).alias("y"))
-    hubs = hubs.where("n > 1 and x < y").select("a")
-    members = rows.join(hubs, "a", "left_semi").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("_b").alias("component"), "apart", (F.col("_a") != F.col("_b")).alias("minor")).distinct()
-    met = stored(members.join(sets, "node"), "members")
-    # Members of the hub's own component, mostly nearly all, need no test among themselves: their blocks meet those of the
-    # others only. Blocks of the others come first in number.
+    hubs = stored(hubs.where("n > 1 and x < y").select("a"), "hubs")
+    members = spread_join(rows, hubs, "a", hot).select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("_b").alias("component"), "apart", (F.col("_a") != F.col("_b")).alias("minor")).distinct()
+    # A kind is a band and whether its members lie outside the hub's component (minor). Members of that component, mostly
+    # nearly all, need no test among themselves: their blocks meet those of minors only.
+    kind = (F.floor(F.col("apart") * BANDS).cast("int") * 2 + F.col("minor").cast("int")).alias("kind")
+    met = stored(members.join(sets, "node").withColumn("kind", kind), "members")
     size = F.size("shingles") * F.lit(8.0 / BLOCK_BYTES)
-    count = lambda of: F.ceil(F.coalesce(F.sum(F.when(of, size)), F.lit(0.0))).cast("int")
-    blocks = met.groupBy("hub").agg(count(F.col("minor")).alias("p"), count(~F.col("minor")).alias("q"))
-    dealt = met.join(blocks.where("p > 0"), "hub")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
-    dealt = dealt.withColumn("block", F.when(F.col("minor"), own(F.col("p"))).otherwise(F.col("p") + own(F.col("q"))))
-    last = F.when(F.col("minor"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    sized = met.groupBy("hub", "kind").agg(F.ceil(F.sum(size)).cast("int").alias("blocks"))
+    layout = sized.groupBy("hub").agg(F.collect_list(F.struct("kind", "blocks")).alias("kinds")).where(F.exists("kinds", lambda k: k["kind"] % 2 == 1))
+    reach = int(np.ceil((100 - percent) * BANDS / 100 + 1e-6))
+    near = lambda k: (F.abs(F.floor(k["kind"] / 2) - F.floor(F.col("kind") / 2)) <= reach) & ((F.col("kind") % 2 == 1) | (k["kind"] % 2 == 1))
+    number = lambda kind, k: kind.cast("long") * F.lit(1 << 32) + k
+    own = F.get(F.filter("kinds", lambda k: k["kind"] == F.col("kind")), F.lit(0))["blocks"]
+    others = F.flatten(F.transform(F.filter("kinds", near), lambda k: F.transform(F.sequence(F.lit(0), k["blocks"] - 1), lambda i: number(k["kind"], i))))
+    dealt = spread_join(met, layout, "hub", hot)
+    dealt = dealt.withColumn("block", number(F.col("kind"), F.pmod(F.xxhash64("node"), own))).withColumn("other", F.explode(others))
     pairs = dealt.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "apart", "shingles")
 
     def test(key: tuple, part: pa.Table) -> pa.Table:
@@ -241,7 +281,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = stored(sized.select("row_no", "doc_id", "signature").join(classes, "row_no", "left_semi").withColumnRenamed("doc_id", "node"), "classes")
     spread = _bucket_rows(reps)
     shared = spread.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1")
-    star = spread.join(shared, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    shared = stored(shared, "buckets")
+    hot = [r.key for r in shared.where(F.col("members") > max(1, reps.count() * CHUNKS * VALUES // HOT)).select("key").collect()]
+    star = spread_join(spread, shared.select("key", "hub"), "key", hot).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     star = stored(star, "stars")
     nodes = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
     sets = stored(_sets(docs, nodes, width), "sets")
@@ -253,8 +295,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         labels = components(links.unionByName(more))
 
     found = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("_component"))
+    sets_of = rows.where(F.col("set_hash").isNotNull())
+    answered = spread_join(sets_of, found, "set_hash", hot_keys(sets_of, "set_hash"), "left")
+    answered = answered.unionByName(rows.where(F.col("set_hash").isNull()).withColumn("_component", F.lit(None).cast("long")))
     whole = F.coalesce("_component", "doc_id")
-    return rows.join(found, "set_hash", "left").select("doc_id", "row_no", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"))
+    return answered.select("doc_id", "row_no", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"))
 
 
 #: Two-word sets in SQL: pairs by common shingles, components by reachability.

@@ -381,6 +381,27 @@ def test_near_duplicates_odd_rows(odd, spark):
     assert near_duplicates.near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_texts_that_share_an_id(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:58], "x"])), (3, " ".join([*b[:58], "y"])), (4, " ".join(c)), (None, " ".join(a)), (None, " ".join([*c[:58], "z"]))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_no_key_goes_to_one_task(spark):
+    """A third of the rows in one group of copies, a third without words: answered where they are."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm.common import hot_keys, spread_join
+
+    rows = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(0, 20000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert hot_keys(rows, "k") == [1]
+    got = spread_join(rows, right, "k", [1], "left")
+    assert got.count() == 9000 and got.where("k = 1 and v = 2").count() == 3000 and got.where("k is null and v is null").count() == 3000
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
 def test_signature_pairs_meet():
     import numpy as np
 
