@@ -20,9 +20,10 @@ def place_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << BITS)).cast("int")
 
 
-def bitmap(ids: DataFrame, name: str) -> Broadcast:
-    """Of a column of ids: at most 2**BITS / 32 words come to the driver, each made by partial aggregates."""
-    place = place_of(F.col(name))
+def bitmap(ids: DataFrame, name: str, place: Column | None = None) -> Broadcast:
+    """Of a column of ids: at most 2**BITS / 32 words come to the driver, each made by partial aggregates. place: of an id,
+    below 2**BITS, where it isn't place_of()."""
+    place = place_of(F.col(name)) if place is None else place
     words = (
         ids.select(F.shiftright(place, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32))).alias("bit"))
         .groupBy("word")

@@ -6,8 +6,10 @@ containment asked for. A document that contains an item lacks at most misses(q)
 k - misses(q) of those k: an inverted index over them finds every contained item, however long the document. Candidates
 are verified by counting the item's shingles in the document's text, word by word.
 
-Items come to the driver in blocks of bounded size, each broadcast as an index and searched against all documents; a
-larger benchmark takes more blocks. Documents are never moved.
+A benchmark of up to INDEX_BYTES of text is one broadcast index, and documents are never moved. A larger one stays a table:
+tasks look documents' shingle hashes up in a bitmap of fixed size, those that may be an item's meet the items' entries in
+a join (salted, as a passage may be in very many documents), and the candidates are verified where a document and its
+items come together. Either way documents are hashed in one scan, and what is broadcast has a bound.
 """
 
 from __future__ import annotations
@@ -22,11 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded
+from .bitmap import BITS, bitmap, test_bits
+from .common import WordHashes, bounded, slices, stored
 
 WORDS = re.compile(r"[^\W_]+")
 WIDTH, PERCENT = 5, 80
-BLOCK_BYTES = 8 << 20
+#: Text of the items that an index may be broadcast for; it takes some ten times as much memory.
+INDEX_BYTES = 16 << 20
+#: Parts that the documents with a shingle are dealt in.
+SALT = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,25 +62,31 @@ def shingles_of(words: list[str], width: int) -> set[tuple[str, ...]]:
     return set(zip(*(words[k:] for k in range(width)), strict=False))
 
 
+def least_hashes(words: list[str], width: int, percent: int) -> tuple[np.ndarray, int, int]:
+    """Of an item: the hashes that stand for it, how many of them any containing document holds, and its shingles' width."""
+    w = min(width, len(words))
+    misses = lambda q: q - -(-percent * q // 100)
+    hashes = np.unique(shingle_hashes(words, w))
+    q = len(hashes)
+    k = min(q, misses((2 << (q.bit_length() - 1)) - 1) + 1)
+    return hashes[:k], max(1, k - misses(q)), w
+
+
 class ItemIndex:
-    """The searched items of a block. An item with fewer words than `width` is one shingle of all its words."""
+    """The searched items. An item with fewer words than `width` is one shingle of all its words."""
 
     def __init__(self, items: list[tuple[int, str | None]], width: int = WIDTH, percent: int = PERCENT):
         self.percent = percent
         self.items: list[tuple[int, int, set[tuple[str, ...]]]] = []
-        misses = lambda q: q - -(-percent * q // 100)
         entries: dict[int, list[tuple[int, int]]] = defaultdict(list)
         needed: list[int] = []
         for item_id, text in items:
             if not (words := words_of(text)):
                 continue
-            w = min(width, len(words))
-            hashes = np.unique(shingle_hashes(words, w))
-            q = len(hashes)
-            k = min(q, misses((2 << (q.bit_length() - 1)) - 1) + 1)
-            for h in hashes[:k].tolist():
+            hashes, least, w = least_hashes(words, width, percent)
+            for h in hashes.tolist():
                 entries[w].append((h, len(self.items)))
-            needed.append(max(1, k - misses(q)))
+            needed.append(least)
             self.items.append((item_id, w, shingles_of(words, w)))
         self.needed = np.array(needed, np.int64)
         self.by_width = {}
@@ -106,60 +118,125 @@ class ItemIndex:
         return out
 
 
-def item_indexes(benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> Iterator[ItemIndex]:
-    """Indexes of blocks of about block_bytes of text; null texts are never contained."""
-    bounded(benchmark.sparkSession)
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
-    blocks = max(1, -(-size // block_bytes))
-    for k in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k)
-        yield ItemIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").toLocalIterator()], width, percent)
-
-
-def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+
+
+def item_index(benchmark: DataFrame, width: int, percent: int, index_bytes: int) -> ItemIndex | None:
+    """The index of all items, unless they have more text than index_bytes."""
+    rows = _items(benchmark)
+    if (rows.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0) > index_bytes:
+        return None
+    return ItemIndex([(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()], width, percent)
+
+
+FOUND = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, width: int, percent: int) -> DataFrame:
+    """docs: stored rows of row_no, doc_id, text. Per row and contained item: row_no and the columns of FOUND."""
+    items = stored(_items(benchmark).withColumn("item_no", F.monotonically_increasing_id()), "items")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item_no, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if words := words_of(text):
+                    hashes, least, _ = least_hashes(words, width, percent)
+                    out += [(h, item_no, least) for h in hashes.view(np.int64).tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["h", "item_no", "least"])
+
+    entries = stored(items.select("item_no", "text").mapInArrow(spread, "h long, item_no long, least int"), "entries")
+    known = bitmap(entries, "h", F.shiftrightunsigned("h", 64 - BITS).cast("int"))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, found = [], [np.zeros(0, np.uint64)]
+            for row_no, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                for w in range(1, width + 1):
+                    own = shingle_hashes(words, w)
+                    own = np.unique(own[test_bits(known.value, (own >> np.uint64(64 - BITS)).astype(np.int64))])
+                    found.append(own)
+                    rows += [row_no] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], ["row_no", "h"])
+
+    met = docs.select("row_no", "text").mapInArrow(hits, "row_no long, h long").withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(SALT)).cast("int"))
+    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    pairs = met.join(salted, ["h", "salt"]).groupBy("row_no", "item_no").agg(F.count("*").alias("n"), F.max("least").alias("least"))
+    pairs = stored(pairs.where("n >= least").select("row_no", "item_no"), "candidates")
+    asked = pairs.join(items, "item_no").select("row_no", "item_id", "text", F.lit(1).alias("kind"))
+    own = docs.join(pairs.select("row_no").distinct(), "row_no", "left_semi")
+    # A document comes right before its items; a task holds one document's shingles at a time.
+    rows = own.select("row_no", F.col("doc_id").alias("item_id"), "text", F.lit(0).alias("kind")).unionByName(asked)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc_id, words, held = None, [], {}
+        for batch in batches:
+            out = []
+            for row_no, item_id, text, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not kind:
+                    doc_id, words, held = item_id, words_of(text), {}
+                    continue
+                item = words_of(text)
+                w = min(width, len(item))
+                if w not in held:
+                    held[w] = shingles_of(words, w)
+                shingles = shingles_of(item, w)
+                both = len(shingles & held[w])
+                if 100 * both >= percent * len(shingles):
+                    out.append((row_no, doc_id, item_id, len(shingles), both, both / len(shingles)))
+            if out:
+                types = [*[pa.int64()] * 5, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["row_no", "doc_id", "item_id", "n_shingles", "n_found", "containment"])
+
+    sent = rows.repartition("row_no").sortWithinPartitions("row_no", "kind").select("row_no", "item_id", "text", "kind")
+    return sent.mapInArrow(verify, f"row_no long, {FOUND}")
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Per row of docs and benchmark item contained in its text: doc_id, item_id, n_shingles, n_found, containment.
 
     Defined cases: null, empty and wordless texts and items give no rows; repeated rows give their rows again; other
     columns are ignored.
     """
-
-    def searching(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    found += [(doc_id, *x, x[2] / x[1]) for x in index.value.search(text.as_py())]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
-
-        return run
+    bounded(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    index = item_index(benchmark, width, percent, index_bytes)
+    if index is None:
+        return _joined(stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "documents"), benchmark, width, percent).drop("row_no")
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found += [(doc_id, *x, x[2] / x[1]) for x in sent.value.search(text.as_py())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
     types = [*[pa.int64()] * 4, pa.float64()]
     names = ["doc_id", "item_id", "n_shingles", "n_found", "containment"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for index in item_indexes(benchmark, width, percent, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        part = rows.mapInArrow(searching(sent), "doc_id long, item_id long, n_shingles long, n_found long, containment double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rows.mapInArrow(run, FOUND)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs without the rows whose text contains an item; all columns stay as they are."""
-
-    def clean(index, at: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not index.value.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
-
-        return run
-
-    out = docs
-    for index in item_indexes(benchmark, width, percent):
-        out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
-    return out
+    bounded(docs.sparkSession)
+    index = item_index(benchmark, width, percent, index_bytes)
+    if index is None:
+        rows = stored(docs.withColumn("_row_no", F.monotonically_increasing_id()), "documents")
+        texts = rows.select(F.col("_row_no").alias("row_no"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        found = _joined(texts, benchmark, width, percent).select(F.col("row_no").alias("_row_no")).distinct()
+        return rows.join(found, "_row_no", "left_anti").select(*docs.columns)
+    sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not sent.value.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: The same in SQL, over all pairs of equal shingles.

@@ -282,19 +282,22 @@ def test_decontamination_matches_sql(spark, sf_dir):
     assert_same(df, decontamination.SQL, sf_dir)
 
 
-def test_decontamination_in_blocks(spark, sf_dir):
+def test_decontamination_by_join(spark, sf_dir):
+    """A benchmark too large to broadcast gives the same."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = decontamination.contained_items(docs, bench).collect()
-    assert sorted(whole) == sorted(decontamination.contained_items(docs, bench, block_bytes=2000).collect())
-    left = decontamination.without_contaminated(docs, bench)
-    assert left.columns == docs.columns
-    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - {r.doc_id for r in whole}
+    assert sorted(whole) == sorted(decontamination.contained_items(docs, bench, index_bytes=0).collect())
+    kept = {r.doc_id for r in docs.collect()} - {r.doc_id for r in whole}
+    for size in (0, decontamination.INDEX_BYTES):
+        left = decontamination.without_contaminated(docs, bench, index_bytes=size)
+        assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == kept
 
 
 def test_decontamination_odd_rows(odd, spark):
     items = [(1, None), (2, ""), (3, "wort wort wort wort wort wort"), (4, "c d"), (4, "c d"), (5, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = Counter(map(tuple, decontamination.contained_items(odd, bench).select("doc_id", "item_id", "n_shingles", "n_found").collect()))
+    got, joined = (Counter(map(tuple, decontamination.contained_items(odd, bench, index_bytes=n).select("doc_id", "item_id", "n_shingles", "n_found").collect())) for n in (1 << 20, 0))
+    assert got == joined
     want = Counter()
     for doc_id, text, _ in ODD:
         w = [x for x in re.findall(r"[^\W_]+", (text or "").lower())]
