@@ -40,6 +40,14 @@ def test_words_encode_as_whole_texts(text):
     assert OURS(text) == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = vocabulary("byte_bpe_50k.json")
+    ours, whole = WordEncoder(path), Tokenizer.from_file(path)
+    assert OURS.wordwise and not ours.wordwise
+    for text in ("It's a TEST  don't\tstop", "", "Größe  漢字\n\n x"):
+        assert ours(text) == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_known_words_are_bounded():
     e = WordEncoder(PATH)
     e.LIMIT = 10
