@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bitmap import without
-from ledgerloom.llm.common import shared_dir, stored, table
+from ledgerloom.llm.common import releasing, removed, shared_dir, stored, table
 from ledgerloom.llm.decontamination import without_contaminated
 from ledgerloom.llm.near_duplicates import near_duplicates
 from ledgerloom.llm.packing import best_fit_packing
@@ -65,10 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's own tables, and what the stage before it wrote, go once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     place = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{place}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        with releasing(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        if before is not None:
+            removed(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
