@@ -218,3 +218,30 @@ def test_pipeline_odd_rows(spark, sf_dir, n):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == list(corpus_pipeline.COLUMNS)
         assert len(docs.collect()) == (n and (6 if k else 8))
+
+
+@pytest.mark.parametrize("n", [0, 8])
+def test_whole_run(spark, sf_dir, tmp_path, n):
+    """run() over odd rows: the rows of all stages one after another, and nothing left but the last output."""
+    import os
+    import shutil
+
+    from .test_tokens_and_bins import ODD
+
+    home = spark.conf.get("spark.checkpoint.dir")
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{sf_dir}/{t}.parquet", tmp_path)
+    docs = spark.createDataFrame([(*r[:3], "s", r[3]) for r in ODD][:n], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(f"{home}/tables")) if os.path.exists(f"{home}/tables") else set()
+    others = {x for x in os.listdir(home) if x.startswith("pipeline-")}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert set(os.listdir(f"{home}/tables")) == before
+    (own,) = {x for x in os.listdir(home) if x.startswith("pipeline-")} - others
+    assert len(os.listdir(f"{home}/{own}")) == 1
+    want = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, want, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        want = spark.read.parquet(f"{tmp_path}/{k}")
+    check_packing([(r.doc_id, r.text) for r in want.collect()], got, 4096)
+    assert len({(r.doc_id, r.ids_crc32) for r in got}) >= (n and 6)
