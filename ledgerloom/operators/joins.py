@@ -9,20 +9,11 @@ from pyspark.sql import functions as F
 
 from .evidence import DEFAULTS, Thresholds, evidence, look_index
 
-#: Policies and factors are configuration. Beyond so many rows they are joined by shuffling instead of broadcasting.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def with_policy(requests: DataFrame, policies: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Each request with the policy of its tenant and route, else of any tenant ("*"), else the defaults."""
     own = policies.select("tenant_id", "route_id", F.struct(*defaults).alias("_own"))
     every = policies.where(F.col("tenant_id") == "*").select("route_id", F.struct(*defaults).alias("_every"))
-    met = requests.join(small(own), ["tenant_id", "route_id"], "left").join(small(every), "route_id", "left")
+    met = requests.join(own, ["tenant_id", "route_id"], "left").join(every, "route_id", "left")
     # A policy is taken whole; only its empty settings have defaults.
     found = F.coalesce("_own", "_every")
     return met.select(*requests.columns, *[F.coalesce(found[k], F.lit(v)).alias(k) for k, v in defaults.items()])
@@ -35,8 +26,8 @@ def with_factor(requests: DataFrame, factors: DataFrame) -> DataFrame:
     plain = factors.where(F.col("kind") == "").select("model", F.col("factor").alias("_plain"))
     models = requests.select("model").distinct()
     starts = models.select("model", F.explode(F.sequence(F.lit(0), F.length("model"))).alias("n")).select("model", F.substring("model", F.lit(1), F.col("n")).alias("start"), "n")
-    longest = starts.join(small(plain.withColumnRenamed("model", "start")), "start").groupBy("model").agg(F.max_by("_plain", "n").alias("_prefix"))
-    met = requests.join(small(exact), ["model", "kind"], "left").join(small(plain), "model", "left").join(longest, "model", "left")
+    longest = starts.join(plain.withColumnRenamed("model", "start"), "start").groupBy("model").agg(F.max_by("_plain", "n").alias("_prefix"))
+    met = requests.join(exact, ["model", "kind"], "left").join(plain, "model", "left").join(longest, "model", "left")
     return met.select(*requests.columns, F.coalesce("_exact", "_plain", "_prefix", F.lit(1.0)).alias("factor"))
 
 

@@ -26,15 +26,22 @@ class Policy:
     primer_tokens: int = (len(PRIMER) + 3) // 4
 
 
-def grouped_payloads(rows: DataFrame, key: str, order: str, values: dict[str, Column]) -> DataFrame:
+#: A payload is one cell; beyond this many bytes grouping fails instead of cutting it.
+MOST_BYTES = 256 << 20
+
+
+def grouped_payloads(rows: DataFrame, key: str, order: str, values: dict[str, Column], most_bytes: int = MOST_BYTES) -> DataFrame:
     """Per key: n_rows, json (an array of objects) and encoded (the tabular form) of its rows in order.
 
-    values: each column's JSON text. Columns go in byte order, as in canonical JSON.
+    values: each column's JSON text. Columns go in byte order, as in canonical JSON. A payload of more than most_bytes is
+    an error.
     """
     names = sorted(values, key=str.encode)
     flat = F.concat(F.lit("["), F.concat_ws(",", *[values[n] for n in names]), F.lit("]"))
     named = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(J.quoted(n) + ":"), values[n]) for n in names]), F.lit("}"))
-    lists = rows.select(key, F.struct(F.col(order).alias("o"), named.alias("j"), flat.alias("t")).alias("r")).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    lists = rows.select(key, F.struct(F.col(order).alias("o"), named.alias("j"), flat.alias("t")).alias("r")).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("r"), F.sum(F.octet_length("r.j")).alias("_bytes"))
+    too_long = F.raise_error(F.concat(F.lit(f"a payload has more than {most_bytes} bytes: "), F.col(key).cast("string")))
+    lists = lists.withColumn("r", F.when(F.col("_bytes") > most_bytes, too_long).otherwise(F.col("r")))
     head = J.write(names)
     return lists.select(
         key,
@@ -211,12 +218,13 @@ def url_prefixes(rows: DataFrame, key: str, url: str, least: int = 3) -> DataFra
     return ends.select(key, "n", cut.alias("prefix"))
 
 
-def vertical_parts(rows: DataFrame, order: str, columns: Sequence[str], width: int = 7) -> DataFrame:
-    """Long form of a wide table cut into parts of at most `width` columns: part, row number, the part's values."""
+def vertical_parts(rows: DataFrame, payload: str, order: str, columns: Sequence[str], width: int = 7) -> DataFrame:
+    """Long form of wide tables, one for each payload, cut into parts of at most `width` columns: payload, row number
+    (the same in all parts of a payload, so that they join on it), the part's name and its values."""
     parts = [columns[k : k + width] for k in range(0, len(columns), width)]
     cells = [F.struct(F.lit(f"part{k + 1}").alias("part"), F.concat_ws("|", *[F.col(c).cast("string") for c in p]).alias("cells")) for k, p in enumerate(parts)]
-    numbered = rows.withColumn("row_no", F.row_number().over(Window.partitionBy(F.col(order) % 8).orderBy(order)))
-    return numbered.select(order, "row_no", F.explode(F.array(*cells)).alias("p")).select(order, "row_no", "p.part", "p.cells")
+    numbered = rows.withColumn("row_no", F.row_number().over(Window.partitionBy(payload).orderBy(order)))
+    return numbered.select(payload, "row_no", F.explode(F.array(*cells)).alias("p")).select(payload, "row_no", "p.part", "p.cells")
 
 
 def coverage(blocks: DataFrame, group: str, policy: Policy = Policy()) -> DataFrame:

@@ -139,15 +139,12 @@ def url_prefix_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.url_prefixes(rows, "host", "url")
 
 
-WIDE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity", "l_tax")
-
-
 @query(
-    """WITH r AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) AS row_no, * EXCLUDE (p_partkey) FROM part)
-    SELECT p_partkey, row_no, 'part1' AS part, concat_ws('|', p_name, p_brand) AS cells FROM r UNION ALL SELECT p_partkey, row_no, 'part2', concat_ws('|', p_type, p_size) FROM r"""
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no FROM orders)
+    SELECT o_custkey, row_no, 'part1' AS part, concat_ws('|', o_orderkey, o_orderstatus) AS cells FROM r UNION ALL SELECT o_custkey, row_no, 'part2', o_orderpriority FROM r"""
 )
 def split_wide_part_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.vertical_parts(table(spark, sf_dir, "part"), "p_partkey", ("p_name", "p_brand", "p_type", "p_size"), width=2)
+    return P.vertical_parts(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ("o_orderkey", "o_orderstatus", "o_orderpriority"), width=2)
 
 
 @query("SELECT event_id, replace(props, ' ', '') AS canonical FROM events")
@@ -275,22 +272,21 @@ def max_amount_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", W.within_amount(F.col("o_totalprice").cast("decimal(38,18)"), "250000").alias("allowed"))
 
 
-@query(f"WITH {PAYLOADS}, l AS (SELECT *, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY strlen(json) DESC, o_custkey) AS rn FROM p WHERE strlen(json) <= 1200) SELECT o_custkey % 200 AS request_id, o_custkey, sha256(json) AS json_sha FROM l WHERE rn = 1")
+@query(f"WITH {PAYLOADS}, l AS (SELECT *, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY strlen(json) DESC, o_custkey) AS rn FROM p WHERE strlen(json) <= 1048576) SELECT o_custkey % 200 AS request_id, o_custkey, sha256(json) AS json_sha FROM l WHERE rn = 1")
 def calibration_largest_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = order_payloads(spark, sf_dir).withColumn("request_id", F.col("o_custkey") % 200)
-    return P.largest_blocks(blocks, "request_id", "json", "o_custkey", 1200).select("request_id", "o_custkey", F.sha2("json", 256).alias("json_sha"))
+    return P.largest_blocks(blocks, "request_id", "json", "o_custkey").select("request_id", "o_custkey", F.sha2("json", 256).alias("json_sha"))
 
 
 @query(
     """SELECT event_id, regexp_replace(CAST(CAST(event_id * 37 % 100000 AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2))::VARCHAR, '\\.?0+$', '') AS money, 'part' || lpad(CAST(event_id % 12 + 1 AS VARCHAR), 2, '0') AS part,
-    CASE WHEN event_id % 3 = 0 THEN 'json' ELSE 'toonx; est_savings=0.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') END AS representation FROM events WHERE event_id * 37 % 100000 % 100 <> 0"""
+    CASE WHEN event_id % 3 = 0 THEN 'json' ELSE 'toonx; est_savings=0.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') END AS representation FROM events"""
 )
 def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     cents = e * 37 % 100000
     codec = F.when(e % 3 != 0, F.lit("toonx"))
-    rows = table(spark, sf_dir, "events").where(cents % 100 != 0)
-    return rows.select("event_id", C.money(cents).alias("money"), C.part_name(e % 12 + 1, F.lit(12)).alias("part"), C.representation(codec, (e % 1000).cast("double") / 1000).alias("representation"))
+    return table(spark, sf_dir, "events").select("event_id", C.money(cents).alias("money"), C.part_name(e % 12 + 1, F.lit(12)).alias("part"), C.representation(codec, (e % 1000).cast("double") / 1000).alias("representation"))
 
 
 @query(r"SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) IN ('thther.example.org', 'm.ththth.example.net') AS allowed FROM pages")

@@ -79,21 +79,74 @@ def multi_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.multi_turn(R.paired_sums(toonx_pairs(spark, sf_dir), ["model"]), ["model"]).withColumn("net", F.round("net", 9))
 
 
-RESAMPLES = 200
-BOOTSTRAP = f"""{PAIRS}, x AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY question_id) - 1 AS j, cb::INT - ca::INT AS d, count(*) OVER (PARTITION BY model) AS n FROM pr),
-  dr AS (SELECT model, n, r, (r * 7919 + j * 104729 + r * j * 31 + j * j * 17) % n AS j FROM x, range(0, {RESAMPLES}) q(r)),
-  ms AS (SELECT dr.model, dr.n, r, sum(d)::BIGINT AS s FROM dr JOIN x USING (model, j) GROUP BY ALL), so AS (SELECT model, n, list_sort(list(s)) AS s FROM ms GROUP BY ALL),
-  ci AS (SELECT model, n, s[{int(0.025 * (RESAMPLES - 1) + 0.5) + 1}] / n::DOUBLE AS lo, s[{int(0.975 * (RESAMPLES - 1) + 0.5) + 1}] / n::DOUBLE AS hi FROM so)"""
+RESAMPLES = 2000
 
 
-@query(f"WITH {BOOTSTRAP} SELECT model, n, round(lo, 9) AS lo, round(hi, 9) AS hi FROM ci")
+def _resampled(rows: str, resamples: int = RESAMPLES) -> str:
+    """CTEs: a resample's sums over paired rows (model, question_id, ca, cb, ia, ib, oa, ob) by model and k."""
+    mixed = f"(question_id + 1) * 48271 % {R.DRAWS} * (r * 7919 + 104729) % {R.DRAWS}"
+    weight = " + ".join(f"(u >= {p})::INT" for p in R.POISSON)
+    return f"""{rows}_u AS (SELECT *, ({mixed} * ({mixed}) % {R.DRAWS} * 31 + question_id * 69621 + r * 16807) % {R.DRAWS} AS u FROM {rows}, range(0, {resamples}) q(r)),
+      {rows}_s AS (SELECT model, k, r, sum(w)::BIGINT AS n, sum(ca::INT * w)::BIGINT AS ok_a, sum(cb::INT * w)::BIGINT AS ok_b, sum(ia * w)::BIGINT AS ia, sum(ib * w)::BIGINT AS ib, sum(oa * w)::BIGINT AS oa, sum(ob * w)::BIGINT AS ob
+        FROM (SELECT *, {weight} AS w FROM {rows}_u) WHERE w > 0 GROUP BY ALL)"""
+
+
+METRIC_SQL = {
+    "change": "(ok_b - ok_a) / n::DOUBLE", "input_change": "ib / ia::DOUBLE - 1", "output_change": "ob / oa::DOUBLE - 1",
+    "net_saving": "1 - (ib + 4::DOUBLE * ob) / (ia + 4::DOUBLE * oa)", "cost": "(ib + 4::DOUBLE * ob) / (ia + 4::DOUBLE * oa) - 1",
+}
+
+
+def _bounds_sql(rows: str, metrics: tuple[str, ...]) -> str:
+    """CTE: bounds of metrics by model and k."""
+    lists = ", ".join(f"list_sort(list({METRIC_SQL[m]})) AS {m}" for m in metrics)
+    at = lambda m, p: f"{m}[floor({p}::DOUBLE * (len({m}) - 1) + 0.5::DOUBLE)::BIGINT + 1]"
+    bounds = ", ".join(f"{at(m, p)} AS {m}_{side}" for m in metrics for side, p in (("lo", 0.025), ("hi", 0.975)))
+    return f"{rows}_b AS (SELECT model, k, {bounds} FROM (SELECT model, k, {lists} FROM {rows}_s GROUP BY ALL))"
+
+
+def _arm_sql(arm: str, base: str = R.BASE) -> str:
+    return f"""SELECT a.model, a.question_id, a.correct AS ca, b.correct AS cb, a.input_tokens AS ia, b.input_tokens AS ib, a.output_tokens AS oa, b.output_tokens AS ob, a.latency_ms AS la, b.latency_ms AS lb, '{arm}' AS k
+      FROM k a JOIN k b ON a.model = b.model AND a.question_id = b.question_id AND a.format = '{base}' AND b.format = '{arm}'"""
+
+
+METRICS = tuple(R.METRICS)
+VERDICT_SQL = "CASE WHEN change_lo > -0.03 THEN 'non-inferior' WHEN change_hi < -0.03 THEN 'worse than JSON' ELSE 'inconclusive' END"
+BOOTSTRAP = f"{COUNTED}, ar AS ({_arm_sql('toonx')}), {_resampled('ar')}, {_bounds_sql('ar', METRICS)}"
+BOUNDS = [f"{m}_{side}" for m in METRICS for side in ("lo", "hi")]
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in names})
+
+
+@query(f"WITH {BOOTSTRAP} SELECT b.model, n, {', '.join(f'round({c}, 9) AS {c}' for c in BOUNDS)} FROM ar_b b JOIN (SELECT model, count(*) AS n FROM ar GROUP BY model) USING (model)")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bootstrap(toonx_pairs(spark, sf_dir), RESAMPLES).withColumns({c: F.round(c, 9) for c in ("lo", "hi")})
+    """Intervals of the changes of accuracy, input, output and cost."""
+    return rounded(R.bootstrap(toonx_pairs(spark, sf_dir), ["model"], RESAMPLES), *BOUNDS)
 
 
-@query(f"WITH {BOOTSTRAP} SELECT model, CASE WHEN lo > -0.03 THEN 'non-inferior' WHEN hi < -0.03 THEN 'worse than JSON' ELSE 'inconclusive' END AS verdict FROM ci")
+@query(f"WITH {BOOTSTRAP} SELECT model, {VERDICT_SQL} AS verdict FROM ar_b")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bootstrap(toonx_pairs(spark, sf_dir), RESAMPLES).select("model", R.verdict().alias("verdict"))
+    return R.bootstrap(toonx_pairs(spark, sf_dir), ["model"], RESAMPLES, {"change": R.accuracy_change}).select("model", R.verdict().alias("verdict"))
+
+
+ARMS = (R.AGAIN, "toonx", "tabular")
+
+
+@query(
+    f"""WITH {COUNTED}, ar AS ({' UNION ALL '.join(_arm_sql(a) for a in ARMS)}), {_resampled('ar')}, {_bounds_sql('ar', METRICS)},
+    sm AS (SELECT model, k, {SUMS}, median(CASE WHEN la > 0 THEN lb / la::DOUBLE END) AS latency_ratio FROM ar GROUP BY ALL),
+    fr AS (SELECT model, count_if(NOT ok) / count(*)::DOUBLE AS fail_rate FROM (SELECT model, question_id, format, bool_or(error IS NULL) AS ok FROM r WHERE coalesce(error, '') <> 'HTTP 410' GROUP BY ALL) GROUP BY model)
+    SELECT model, k AS format, n, round(ok_a / n::DOUBLE, 9) AS accuracy_a, round(ok_b / n::DOUBLE, 9) AS accuracy_b, round((lost + won) / n::DOUBLE, 9) AS flips,
+      {', '.join(f'round({METRIC_SQL[m]}, 9) AS {m}, round({m}_lo, 9) AS {m}_lo, round({m}_hi, 9) AS {m}_hi' for m in METRICS)},
+      CASE WHEN k = '{R.AGAIN}' THEN 'noise floor' WHEN fail_rate > 0.1 THEN 'no verdict' ELSE {VERDICT_SQL} END AS verdict, round(latency_ratio, 9) AS latency_ratio, round(fail_rate, 9) AS fail_rate
+    FROM sm JOIN ar_b USING (model, k) JOIN fr USING (model)"""
+)
+def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole comparison of each model's arms with the plain form."""
+    shown = R.verify_report(records(spark, sf_dir), ARMS, RESAMPLES)
+    return rounded(shown, "accuracy_a", "accuracy_b", "flips", *METRICS, *BOUNDS, "latency_ratio", "fail_rate")
 
 
 @query(
@@ -138,12 +191,13 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH r AS ({RECORDS}), q AS (SELECT DISTINCT question_id, kind FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY (question_id * 48271) % 1009, question_id) AS rn FROM q)
-    SELECT question_id, kind FROM n ORDER BY rn, kind LIMIT 50"""
+    f"""WITH r AS ({RECORDS}), q AS (SELECT question_id, kind, min(ordinal) AS seen FROM r GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY (question_id * 48271) % 1009, question_id) AS rn, min(seen) OVER (PARTITION BY kind) AS first FROM q)
+    SELECT question_id, kind FROM n ORDER BY rn, first LIMIT 50"""
 )
 def sample_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = records(spark, sf_dir).select("question_id", "kind").distinct()
-    return R.round_robin(questions, "kind", (F.col("question_id") * 48271) % 1009, 50, "question_id")
+    questions = records(spark, sf_dir).groupBy("question_id", "kind").agg(F.min("ordinal").alias("seen"))
+    return R.round_robin(questions, "kind", (F.col("question_id") * 48271) % 1009, 50, "question_id", "seen").select("question_id", "kind")
 
 
 TURNS = "SELECT u.conv_id, u.turn, u.text AS a, v.text AS b FROM conversations u JOIN conversations v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1"
@@ -208,13 +262,13 @@ def judge_same_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def questions_count_argmax_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold answers per customer of two to five orders: a count, the order of the unique greatest amount, the exact sum."""
-    price = F.col("o_totalprice").cast("decimal(18,2)")
-    rows = table(spark, sf_dir, "orders").withColumn("price", price).groupBy("o_custkey").agg(
-        F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("fulfilled"), F.max_by("o_orderkey", "price").alias("b"),
-        F.sum("price").alias("total"), F.array_sort(F.collect_list("price")).alias("p"),
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    sums = rows.groupBy("o_custkey").agg(
+        F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("fulfilled"), F.max_by("o_orderkey", "price").alias("b"), F.max("price").alias("top"), F.sum("price").alias("total")
     ).where(F.col("n").between(2, 5))
-    unique = F.element_at("p", -1) != F.element_at("p", -2)
-    return rows.select("o_custkey", "n", "fulfilled", F.when(unique, F.col("b")).alias("best"), F.col("total").cast("string").alias("total"))
+    # Counts and maxima first, so that no customer's amounts are gathered; those with few orders then meet their ties.
+    ties = rows.join(sums.select("o_custkey", F.col("top").alias("price")), ["o_custkey", "price"]).groupBy("o_custkey").agg(F.count("*").alias("ties"))
+    return sums.join(ties, "o_custkey").select("o_custkey", "n", "fulfilled", F.when(F.col("ties") == 1, F.col("b")).alias("best"), F.col("total").cast("string").alias("total"))
 
 
 @arrow_udf("boolean")
@@ -275,14 +329,18 @@ def generated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dataset", "rows", "seed", "id", cents.alias("cents"), status.alias("status"))
 
 
+RANK_SQL = "CASE WHEN change_lo > -0.03 THEN 3 WHEN change_hi < -0.03 THEN 1 ELSE 2 END"
+
+
 @query(
-    f"""WITH {PAIRS}, s AS (SELECT model, dataset, {SUMS} FROM pr GROUP BY ALL), m AS (SELECT dataset AS variant, (ib + 4::DOUBLE * ob) / (ia + 4::DOUBLE * oa) - 1 + 0.17::DOUBLE AS cost_hi, CASE WHEN ok_b < ok_a - 6 THEN 1 ELSE 0 END AS rank FROM s)
-    SELECT variant, count_if(cost_hi < 0) AS cheaper, count_if(rank > 0) AS worse, count_if(cost_hi < 0) >= 3 AND count_if(rank > 0) = 0 AS adopted FROM m GROUP BY variant"""
+    f"""WITH {COUNTED}, vt AS ({_arm_sql('tabular', 'toonx')}), vb AS ({_arm_sql('tabular')}), bb AS ({_arm_sql('toonx')}),
+    {_resampled('vt')}, {_bounds_sql('vt', ('cost',))}, {_resampled('vb')}, {_bounds_sql('vb', ('change',))}, {_resampled('bb')}, {_bounds_sql('bb', ('change',))},
+    m AS (SELECT vt_b.model, cost_hi < 0 AS cheaper, x.rank < y.rank AS worse FROM vt_b JOIN (SELECT model, {RANK_SQL} AS rank FROM vb_b) x USING (model) JOIN (SELECT model, {RANK_SQL} AS rank FROM bb_b) y USING (model))
+    SELECT 'tabular' AS variant, count_if(cheaper) AS cheaper, count_if(worse) AS worse, count_if(cheaper) >= 3 AND count_if(worse) = 0 AS adopted FROM m"""
 )
 def primer_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = R.paired_sums(toonx_pairs(spark, sf_dir), ["model", "dataset"])
-    rank = F.when(F.col("ok_b") < F.col("ok_a") - 6, 1).otherwise(0)
-    return R.primer_adopted(sums.select(F.col("dataset").alias("variant"), (0.17 - R.net_saving()).alias("cost_hi"), rank.alias("rank"), F.lit(0).alias("base_rank")))
+    """Is a variant adopted: cheaper on three models by the whole interval, ranked worse on none."""
+    return R.primer_adopted(R.primer_report(records(spark, sf_dir), "tabular", "toonx", RESAMPLES).withColumn("variant", F.lit("tabular")))
 
 
 @query(f"WITH {COUNTED} SELECT coalesce(dataset, 'all') AS dataset, " + ", ".join(f"sum(input_tokens) FILTER (format = '{f}')::BIGINT AS \"{f}\"" for f in FORMATS) + " FROM k GROUP BY ROLLUP (dataset)")

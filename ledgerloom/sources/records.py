@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,13 +49,31 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines in file order (column ordinal); a missing file is empty, lines that can't be read are left out."""
+    """JSON lines with their place (ordinal: file, block, row; files in order of their names); a missing file is empty,
+    lines that can't be read are left out."""
     if not exists(spark, path):
-        return spark.createDataFrame([], schema).withColumn("ordinal", F.lit(0).cast("long"))
+        return spark.createDataFrame([], schema).withColumn("ordinal", F.lit(None).cast(PLACE))
     fields = T._parse_datatype_string(schema).add("_bad", "string")
     rows = spark.read.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    # Positions rise within a file and with its blocks; the _bad column has to be read with others.
-    return rows.withColumn("ordinal", F.monotonically_increasing_id()).where(F.col("_bad").isNull()).drop("_bad")
+    # The _bad column has to be read with others.
+    return rows.withColumn("ordinal", place()).where(F.col("_bad").isNull()).drop("_bad")
+
+
+PLACE = "struct<file string, block bigint, row bigint>"
+
+
+def place() -> Column:
+    """Where a row of a file source stands: rows rise within a block, blocks within a file. Spark deals files to tasks by
+    their size, so a row's number alone says nothing about the order of files."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files, each a row: path, pos (from 0 within its file), line. Files are split in blocks like any table;
+    the window that numbers a file's lines spills."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), place().alias("p"), F.col("value").alias("line"))
+    pos = F.row_number().over(Window.partitionBy("path").orderBy("p")) - 1
+    return rows.select("path", pos.alias("pos"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 #: Settings of a route with their defaults.
@@ -110,14 +128,14 @@ def _typed(given: object, default: object) -> object:
 
 def read_sse(spark: SparkSession, path: str) -> DataFrame:
     """Payloads of `data:` lines of stream files, in order: path, pos, data."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    rows = read_lines(spark, path)
     return rows.where(F.startswith("line", F.lit("data:"))).select("path", "pos", F.trim(F.substr("line", F.lit(6))).alias("data"))
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
     """Escaped TSV tables, a row for each cell: path, row (0 is the header), col, cell; short rows are filled up."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("row", "line"))
-    cells = lines.withColumn("cells", F.split("line", "\t"))
+    cells = read_lines(spark, path).withColumnRenamed("pos", "row")
+    cells = cells.withColumn("cells", F.split("line", "\t"))
     width = F.max(F.size("cells")).over(Window.partitionBy("path"))
     wide = cells.withColumn("width", width).withColumn("cells", F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells"))))
     flat = wide.select("path", "row", F.posexplode("cells").alias("col", "cell"))

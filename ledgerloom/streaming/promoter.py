@@ -8,7 +8,7 @@ The number of samples seen since then is kept with the state, so a restarted que
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +27,7 @@ def _packed(r: dict) -> list[int]:
     return [int(r[f]) for f in FIELDS] + [-1 if pd.isna(r[f]) else int(r[f]) for f in ("ok_a", "ok_b")]
 
 
-def _unpacked(values: list[int]) -> dict:
+def _unpacked(values: Sequence[int]) -> dict:
     r = dict(zip((*FIELDS, "ok_a", "ok_b"), values, strict=True))
     return r | {f: None if r[f] < 0 else bool(r[f]) for f in ("ok_a", "ok_b")}
 
@@ -66,16 +66,38 @@ class Route:
         return out
 
 
-def promotions(samples: DataFrame, t: Thresholds = DEFAULTS, min_savings: float = 0.15) -> DataFrame:
-    """Transitions of each (tenant_id, route_id) of a stream of samples; append mode."""
+def _tuples(batch: pd.DataFrame) -> Iterator[tuple[int, ...]]:
+    """A batch's samples as packed integers; of a trigger's rows only these are held."""
+    flags = [batch[f].map(lambda v: -1 if pd.isna(v) else int(v)) for f in ("ok_a", "ok_b")]
+    return zip(*[batch[f].astype("int64") for f in FIELDS], *flags, strict=True)
+
+
+#: Where routes start that have no state yet: (tenant, route) to state and the time, in microseconds, since when samples count.
+Start = dict[tuple, tuple[str, int | None]]
+
+
+def starts(resumed: DataFrame) -> Start:
+    """From evidence.resumed(): a row for each route of a policy file."""
+    micros = F.unix_micros(F.col("since").cast("timestamp")).alias("us")
+    return {(r.tenant_id, r.route_id): (r.state, r.us) for r in resumed.select("tenant_id", "route_id", "state", micros).collect()}
+
+
+def promotions(samples: DataFrame, t: Thresholds = DEFAULTS, min_savings: float = 0.15, start: Start | None = None) -> DataFrame:
+    """Transitions of each (tenant_id, route_id) of a stream of samples; append mode.
+
+    A trigger's rows of a route are put in order in memory, a few numbers each, so give the source maxFilesPerTrigger.
+    start: states after a restart without a checkpoint; other routes begin in SHADOW."""
+
+    def first(*key) -> tuple | None:
+        found = (start or {}).get(key)
+        return found and (found[0], -1 if found[1] is None else found[1], 0, "[]", "[]")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        route, out = Route(state.get if state.exists else None), []
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        for r in rows.to_dict("records"):
-            at = r["ts"].value // 1000
-            if found := route.take(r, at, t, min_savings):
-                out.append((*key, r["ts"], r["id"], *found))
+        route, out = Route(state.get if state.exists else first(*key)), []
+        rows = sorted((ts.value // 1000, i, values) for batch in batches for ts, i, values in zip(batch["ts"], batch["id"], _tuples(batch), strict=True))
+        for at, i, values in rows:
+            if found := route.take(_unpacked(values), at, t, min_savings):
+                out.append((*key, pd.Timestamp(at * 1000), i, *found))
         state.update(route.saved())
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITION.split(", ")])
 
@@ -91,16 +113,18 @@ def trips(exchanges: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         enc_n, enc_fail, base_n, base_fail = state.get if state.exists else (0, 0, 0, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "id"]).to_dict("records"):
-            failed = bool(r["fell_back"]) or (not pd.isna(r["tier1_ok"]) and not r["tier1_ok"])
-            if not r["fell_back"] and r["sent"] != "encoded":
-                base_n, base_fail = base_n + 1, base_fail + failed
+        out, rows = [], []
+        for batch in batches:
+            fell, ok = batch["fell_back"].astype(bool), batch["tier1_ok"].map(lambda v: pd.isna(v) or bool(v))
+            rows += zip(batch["ts"], batch["id"], fell | (batch["sent"] == "encoded"), fell | ~ok, strict=True)
+        for ts, i, encoded, failed in sorted(rows):
+            if not encoded:
+                base_n, base_fail = base_n + 1, base_fail + bool(failed)
                 continue
-            enc_n, enc_fail = enc_n + 1, enc_fail + failed
+            enc_n, enc_fail = enc_n + 1, enc_fail + bool(failed)
             p0 = (base_fail + 1) / (base_n + 2)
             if enc_n >= t.prod_min and enc_fail / enc_n > p0 + t.epsilon and upper_tail(enc_fail, enc_n, p0) < t.alpha:
-                out.append((*key, r["ts"], r["id"], enc_n, enc_fail, p0))
+                out.append((*key, ts, i, enc_n, enc_fail, p0))
                 enc_n = enc_fail = 0
         state.update((enc_n, enc_fail, base_n, base_fail))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TRIP.split(", ")])
