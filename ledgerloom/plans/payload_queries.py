@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.codecs.toon import PRIMER as BASE
+from ..functions.codecs.toonx import SENTENCES
 from ..operators import payloads as P
 from ..operators import wire as W
 from .registry import derived, query, table
@@ -182,7 +184,21 @@ def json_leaves_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("user_id", F.round(C.jaccard(F.col("click"), F.col("view")), 9).alias("jaccard"))
 
 
-@query()
+#: The notation of flat tables whose cells need no quotes: all columns in each row, or those that all of three or more
+#: rows share once ahead of them, whichever takes fewer bytes.
+TOONX = """
+o AS (SELECT o_custkey, o_orderkey, [CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d'), CAST(o_orderkey AS VARCHAR), o_orderpriority, o_orderstatus] AS c FROM orders),
+f AS (SELECT o_custkey, count(*) AS n, [count(*) >= 3 AND count(DISTINCT c[1]) = 1, count(*) >= 3 AND count(DISTINCT c[2]) = 1, count(*) >= 3 AND count(DISTINCT c[3]) = 1, count(*) >= 3 AND count(DISTINCT c[4]) = 1, count(*) >= 3 AND count(DISTINCT c[5]) = 1] AS same, any_value(c) AS one FROM o GROUP BY 1),
+h AS (SELECT *, ['amount', 'day', 'id', 'priority', 'status'] AS names, list_filter([1, 2, 3, 4, 5], lambda i: NOT same[i]) AS kept, list_filter([1, 2, 3, 4, 5], lambda i: same[i]) AS told FROM f),
+x AS (SELECT o_custkey, any_value(n) AS n, any_value(len(told)) AS told, any_value(array_to_string(names, ',')) AS head, any_value(array_to_string(list_transform(kept, lambda i: names[i]), ',')) AS short_head,
+  any_value('all rows: ' || array_to_string(list_transform(told, lambda i: names[i] || '=' || one[i]), ',')) AS line,
+  string_agg(chr(10) || '  ' || array_to_string(c, ','), '' ORDER BY o_orderkey) AS whole, string_agg(chr(10) || '  ' || array_to_string(list_transform(kept, lambda i: c[i]), ','), '' ORDER BY o_orderkey) AS short FROM o JOIN h USING (o_custkey) GROUP BY o_custkey),
+y AS (SELECT *, told > 0 AND strlen(short_head) + strlen(line) + 1 + strlen(short) < strlen(head) + strlen(whole) AS factored FROM x),
+e AS (SELECT o_custkey, factored, '[' || n || ']{' || CASE WHEN factored THEN short_head || '}:' || chr(10) || '  ' || line || short ELSE head || '}:' || whole END AS encoded FROM y)
+"""
+
+
+@query(f"WITH {TOONX} SELECT o_custkey, TRUE AS ok, sha256(encoded) AS encoded_sha, strlen(encoded) AS bytes FROM e")
 def toonx_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_payloads(spark, sf_dir).select("o_custkey", P.encode_payload("toonx")("json").alias("e"))
     return rows.select("o_custkey", "e.ok", F.sha2("e.encoded", 256).alias("encoded_sha"), F.octet_length("e.encoded").alias("bytes"))
@@ -200,7 +216,11 @@ def tabular_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_payloads(spark, sf_dir).select("o_custkey", F.sha2(P.decode_payload("tabular")("encoded"), 256).alias("json_sha"))
 
 
-@query()
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"WITH {TOONX} SELECT o_custkey % 50 AS request_id, {_literal(BASE)} || CASE WHEN bool_or(factored) THEN {_literal(SENTENCES['consts'])} ELSE '' END AS primer FROM e GROUP BY 1")
 def toonx_features_primer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_payloads(spark, sf_dir).select((F.col("o_custkey") % 50).alias("request_id"), P.encode_payload("toonx")("json")["encoded"].alias("encoded"))
     return P.primers(rows, "request_id")
