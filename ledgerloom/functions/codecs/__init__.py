@@ -35,6 +35,19 @@ def register(codec: Codec) -> Codec:
     return codec
 
 
+def verified(codec: Codec, text: str, value: object) -> str:
+    """text, if it decodes to the very value."""
+    from .. import jsonlex as J
+
+    try:
+        back = J.write(codec.decode(text))
+    except ValueError:
+        back = None
+    if back != J.write(value):
+        raise Ineligible("round trip failed")
+    return text
+
+
 def names() -> list[str]:
     return sorted(CODECS)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from .. import jsonlex as J
 from . import Ineligible
@@ -14,6 +15,7 @@ SPECIAL = re.compile(r"[:\\\"\[\]{},\x00-\x1f]")
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
+@lru_cache(maxsize=1 << 14)
 def needs_quotes(s: str) -> bool:
     if s == "" or s != s.strip(WHITE) or s in ("true", "false", "null"):
         return True
@@ -42,13 +44,16 @@ def key(k: str, dots: bool = True) -> str:
 
 def read_scalar(text: str) -> object:
     """The value of a written cell that isn't empty."""
+    return J.parse(text) if text[:1] in ("[", "{") else _read(text)
+
+
+@lru_cache(maxsize=1 << 14)
+def _read(text: str) -> object:
     if text[:1] == '"':
         v = J.parse(text)
         if J.kind_of(v) != "string":
             raise Ineligible("not a string")
         return v
-    if text[:1] in ("[", "{"):
-        return J.parse(text)
     if text in ("true", "false", "null"):
         return {"true": True, "false": False, "null": None}[text]
     if J.NUMBER.fullmatch(text):
@@ -61,6 +66,10 @@ def read_scalar(text: str) -> object:
 STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 
 
+#: What may hold a comma begins a cell with one of these.
+OPENING = re.compile(r'["\[{]')
+
+
 def _json_end(text: str, at: int) -> int:
     depth = 0
     while at < len(text):
@@ -80,6 +89,8 @@ def _json_end(text: str, at: int) -> int:
 
 def cells_of(text: str) -> list[str]:
     """Cells between commas that are outside of strings and JSON."""
+    if not OPENING.search(text):
+        return text.split(",")
     out, at = [], 0
     while True:
         start = at

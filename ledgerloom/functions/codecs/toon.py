@@ -1,7 +1,8 @@
 """Token-Oriented Object Notation, as its public specification has it, with commas between cells.
 
-Written here: objects, arrays of primitives, and tables of rows that share their keys and hold primitives only. Other
-arrays have a list form in the notation that this codec doesn't write; such payloads are ineligible.
+Objects, arrays of primitives, tables of rows that share their keys and hold primitives only, and lists for all other
+arrays: an item to a dash, of an object the first field beside the dash and the rest below it. Fields that hold primitives
+come first, then arrays, then objects, each in byte order of their keys.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import cache
 
 from .. import jsonlex as J
-from . import Ineligible, register
-from .scalars import key, scalar
+from . import Ineligible, register, verified
+from .scalars import key, read_key, read_scalar, scalar
 
 #: Fixed text, sent ahead of encoded payloads.
 PRIMER = (
@@ -56,12 +58,32 @@ def _array(name: str, items: list, depth: int) -> Iterator[str]:
     names = J.in_key_order(items[0]) if isinstance(items[0], dict) else []
     flat = names and all(isinstance(r, dict) and r.keys() == items[0].keys() and not any(map(_rank, r.values())) for r in items)
     if not flat:
-        raise Ineligible("an array has only a list form")
+        yield f"{pad}{name}[{len(items)}]:"
+        for x in items:
+            yield from _item(x, depth + 1)
+        return
     yield f"{pad}{name}[{len(items)}]{{{','.join(key(k) for k in names)}}}:"
     for r in items:
         yield f"{pad}  " + ",".join(scalar(r[k]) for k in names)
 
 
+def _item(v: object, depth: int) -> Iterator[str]:
+    """An item of a list; what it holds stands as if the dash weren't there."""
+    pad = "  " * depth
+    if isinstance(v, dict):
+        if not v:
+            raise Ineligible("an item is an empty object")
+        first, *rest = _object(v, depth + 1)
+        yield f"{pad}- {first.lstrip(' ')}"
+        yield from rest
+    elif isinstance(v, list):
+        first, *rest = _array("", v, depth)
+        yield f"{pad}- {first.lstrip(' ')}"
+        yield from rest
+    else:
+        yield f"{pad}- {scalar(v)}"
+
+
 def _object(value: dict, depth: int) -> Iterator[str]:
     for k in sorted(value, key=lambda k: (_rank(value[k]), k.encode())):
         v, pad = value[k], "  " * depth
@@ -74,6 +96,45 @@ def _object(value: dict, depth: int) -> Iterator[str]:
             yield f"{pad}{key(k)}: {scalar(v)}"
 
 
+@cache
+def _reader() -> type:
+    from .toonx import Reader
+
+    class ListReader(Reader):
+        """Reads lists of anything, and objects without fields."""
+
+        def after_key(self, line: str, at: int, depth: int) -> object:
+            if line[at:] == ":" and self.peek(depth + 1) is None:
+                return {}
+            return super().after_key(line, at, depth)
+
+        def item(self, line: str, depth: int) -> object:
+            if not line.startswith("- "):
+                raise Ineligible("an item has no dash")
+            text = line[2:]
+            if text.startswith("["):
+                return self.after_key(text, 0, depth)
+            try:
+                name, end = read_key(text, 0, True)
+            except (Ineligible, J.JsonError):
+                return read_scalar(text)
+            if text[end : end + 1] not in (":", "["):
+                return read_scalar(text)
+            out = {name: self.after_key(text, end, depth + 1)}
+            more = self.object(depth + 1) if self.peek(depth + 1) is not None else {}
+            if name in more:
+                raise Ineligible(f"{name!r} is there twice")
+            return out | more
+
+        def document(self) -> object:
+            v = self.after_key(self.take(0), 0, 0) if self.lines[0].startswith("[") else self.object(0)
+            if self.at < len(self.lines):
+                raise Ineligible(f"line {self.at + 1} is left over")
+            return v
+
+    return ListReader
+
+
 class Toon:
     name, version, primer = "toon", "spec", PRIMER
 
@@ -89,18 +150,13 @@ class Toon:
 
     def encode(self, value: object, union: bool = False) -> str:
         self.check(value)
-        text = "\n".join(_object(value, 0) if isinstance(value, dict) else _array("", value, 0))
-        if J.write(self.decode(text)) != J.write(value):
-            raise Ineligible("round trip failed")
-        return text
+        return verified(self, "\n".join(_object(value, 0) if isinstance(value, dict) else _array("", value, 0)), value)
 
     def decode(self, text: str) -> object:
-        from .toonx import Reader
-
         if text == "":
             return {}
         try:
-            return Reader(re.sub(r"^( *)([^\s:\[\]{}]+|\"(?:[^\"\\]|\\.)*\"):$(?!\n\1  )", r"\1\2: {}", text, flags=re.M)).document()
+            return _reader()(text).document()
         except J.JsonError as e:
             raise Ineligible(str(e)) from None
 

@@ -9,12 +9,13 @@ tables part1, part2, … of the same rows. Every encoding is decoded again and m
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
 from .. import jsonlex as J
-from . import Ineligible, register
+from . import Ineligible, register, verified
 from .scalars import bare, cell, cells_of, key, read_key, read_scalar, scalar
 from .toon import PRIMER
 
@@ -63,7 +64,10 @@ def shared(rows: list[dict[Path, object]], p: Path) -> bool:
     """Every row, of three or more, has the same value at p."""
     if len(rows) < MIN_FACTOR_ROWS or p not in rows[0]:
         return False
-    want = J.write(rows[0][p])
+    first = rows[0][p]
+    if not isinstance(first, (list, dict)):
+        return all(p in r and type(r[p]) is type(first) and r[p] == first for r in rows)
+    want = J.write(first)
     return all(p in r and J.write(r[p]) == want for r in rows)
 
 
@@ -73,16 +77,13 @@ def url_start(rows: list[dict[Path, object]], p: Path) -> str:
     texts = [r[p].encode() for r in rows if J.kind_of(r.get(p)) == "string"]
     if len(rows) < MIN_FACTOR_ROWS or not kinds <= {"string", "null"} or len(texts) < 2:
         return ""
-    low, high = min(texts), max(texts)
-    n = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    start = low[:n]
-    scheme = start.find(b"://")
-    if not start.startswith(b"http") or scheme < 0:
+    # What the least and the greatest share, all share. A start ends in one of its slashes beyond the scheme's.
+    start = os.path.commonprefix([min(texts), max(texts)])
+    if not re.match(rb"http[^:]*://", start):
         return ""
-    cut = start.rfind(b"/") + 1
-    while cut > scheme + 3 and any(re.fullmatch(rb"[0-9]+", t[cut:]) for t in texts):
-        cut = start.rfind(b"/", 0, cut - 1) + 1
-    return start[:cut].decode() if cut > scheme + 3 else ""
+    ends = [m.end() for m in re.finditer(rb"/", start) if m.end() > start.index(b"://") + 3]
+    fit = [e for e in ends if not any(t[e:].isdigit() for t in texts)]
+    return start[: max(fit)].decode() if fit else ""
 
 
 def column(p: Path) -> str:
@@ -110,8 +111,7 @@ class Layout:
         return len(self.header.encode()) + sum(len(x.encode()) + 1 for x in self.lines)
 
 
-def layout(rows: list[dict], flatten: bool, factor: bool) -> Layout:
-    cells = [dict(flat(r, flatten)) for r in rows]
+def layout(cells: list[dict[Path, object]], factor: bool) -> Layout:
     columns = sorted({p for r in cells for p in r}, key=path_order)
     consts = [p for p in columns if factor and shared(cells, p)]
     if len(consts) == len(columns):
@@ -125,14 +125,22 @@ def layout(rows: list[dict], flatten: bool, factor: bool) -> Layout:
         v = row[p]
         return cell(v.removeprefix(starts[p]) if p in starts and J.kind_of(v) == "string" else v)
 
-    lines = [",".join(shown(r, p) for p in columns) for r in cells]
+    lines = [",".join([shown(r, p) for p in columns]) for r in cells]
     return Layout(columns, lines, [(p, cell(cells[0][p])) for p in consts], [(p, scalar(s)) for p, s in starts.items()])
 
 
 def table_of(rows: list) -> Layout | None:
+    """The smallest of the four layouts, the first among equals; those that can't differ from another aren't made."""
     if not all(isinstance(r, dict) and r for r in rows):
         return None
-    return min((layout(rows, flatten, factor) for flatten in (False, True) for factor in (False, True)), key=lambda t: t.size)
+    nested = any(isinstance(v, dict) and v for r in rows for v in r.values())
+    made = []
+    for flatten in (False, True) if nested else (False,):
+        cells = [dict(flat(r, flatten)) for r in rows]
+        made.append(layout(cells, False))
+        if any(shared(cells, p) or url_start(cells, p) for p in made[-1].columns):
+            made.append(layout(cells, True))
+    return min(made, key=lambda t: t.size)
 
 
 def array_lines(name: str, items: list, depth: int) -> Iterator[str]:
@@ -193,7 +201,7 @@ def put(row: dict, p: Path, v: object) -> None:
 
 def split_wide(v: object) -> object:
     if isinstance(v, dict):
-        return {k: split_wide(x) for k, x in v.items()}
+        return {k: split_wide(x) if isinstance(x, (list, dict)) else x for k, x in v.items()}
     if not isinstance(v, list):
         return v
     if len(v) < 2 or not all(isinstance(r, dict) and r and ROW_NUMBER not in r for r in v):
@@ -273,7 +281,8 @@ class Reader:
         v = self.after_key(self.take(0), 0, 0) if self.lines[0].startswith("[") else self.object(0)
         if self.at < len(self.lines):
             raise Ineligible(f"line {self.at + 1} is left over")
-        return join_parts(v, self.used)
+        # Without the word there is no part to join.
+        return join_parts(v, self.used) if any("part" in line for line in self.lines) else v
 
     def object(self, depth: int) -> dict:
         out: dict = {}
@@ -305,7 +314,7 @@ class Reader:
             return []
         if n and rest == ":":
             self.used.list = True
-            return [self.item(self.take(depth + 1)) for _ in range(n)]
+            return [self.item(self.take(depth + 1), depth + 1) for _ in range(n)]
         if n and rest.startswith(": "):
             cells = cells_of(rest[2:])
             if len(cells) != n or any(c[:1] in ("[", "{") for c in cells):
@@ -315,7 +324,7 @@ class Reader:
             return self.table(rest[1:-2], n, depth + 1)
         raise Ineligible(f"{line!r} is no array")
 
-    def item(self, line: str) -> object:
+    def item(self, line: str, depth: int) -> object:
         if not line.startswith("- "):
             raise Ineligible("an item has no dash")
         if line[2:3] in ("[", "{"):
@@ -410,14 +419,7 @@ class Toonx:
     def encode(self, value: object, union: bool = False) -> str:
         self.check(value)
         cut = split_wide(value)
-        text = "\n".join(object_lines(cut) if isinstance(cut, dict) else array_lines("", cut, 0))
-        try:
-            back = J.write(self.decode(text))
-        except ValueError:
-            back = None
-        if back != J.write(value):
-            raise Ineligible("round trip failed")
-        return text
+        return verified(self, "\n".join(object_lines(cut) if isinstance(cut, dict) else array_lines("", cut, 0)), value)
 
     def read(self, text: str) -> tuple[object, Features]:
         reader = Reader(text)
@@ -439,9 +441,9 @@ class Toonx:
         except ValueError:
             return Features(*[True] * len(fields(Features)))
 
-    def primer_for(self, blocks: list[str]) -> str:
+    def primer_for(self, blocks: list[str], base: str = PRIMER) -> str:
         found = [self.features(b) for b in blocks]
-        return PRIMER + "".join(s for name, s in SENTENCES.items() if any(getattr(f, name) for f in found))
+        return base + "".join(s for name, s in SENTENCES.items() if any(getattr(f, name) for f in found))
 
 
 TOONX = register(Toonx())

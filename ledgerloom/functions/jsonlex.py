@@ -90,37 +90,55 @@ def in_key_order(d: dict) -> list[str]:
 
 
 def quoted(s: str) -> str:
+    if not _ESCAPED.search(s):
+        return f'"{s}"'
     return '"' + _ESCAPED.sub(lambda m: _SHORT.get(m[0]) or f"\\u{ord(m[0]):04x}", s) + '"'
 
 
-def _parts(v: object) -> Iterator[str]:
-    if v is None:
-        yield "null"
-    elif v is True or v is False:
-        yield "true" if v else "false"
-    elif isinstance(v, Num):
-        if not NUMBER.fullmatch(v):
-            raise JsonError(f"{v!r} is no number")
-        yield v
-    elif isinstance(v, str):
-        yield quoted(v)
+def _write(v: object, put) -> None:
+    if isinstance(v, str):
+        if isinstance(v, Num):
+            if not NUMBER.fullmatch(v):
+                raise JsonError(f"{v!r} is no number")
+            put(v)
+        else:
+            put(quoted(v))
+    elif isinstance(v, dict):
+        mark = "{"
+        for k in in_key_order(v):
+            put(mark + quoted(k) + ":")
+            _write(v[k], put)
+            mark = ","
+        put("}" if v else "{}")
     elif isinstance(v, list):
-        yield "["
-        for i, x in enumerate(v):
-            if i:
-                yield ","
-            yield from _parts(x)
-        yield "]"
+        mark = "["
+        for x in v:
+            put(mark)
+            _write(x, put)
+            mark = ","
+        put("]" if v else "[]")
     else:
-        yield "{"
-        for i, k in enumerate(in_key_order(v)):
-            yield "," * bool(i) + quoted(k) + ":"
-            yield from _parts(v[k])
-        yield "}"
+        put({None: "null", True: "true", False: "false"}[v])
 
 
 def write(v: object) -> str:
-    return "".join(_parts(v))
+    out: list[str] = []
+    _write(v, out.append)
+    return "".join(out)
+
+
+#: Strings of a JSON text.
+STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"')
+
+
+def pretty(v: object, pad: str = "") -> str:
+    """With two blanks a level; empty containers stay on their line."""
+    if isinstance(v, (list, dict)) and v:
+        inner = pad + "  "
+        parts = [f"{quoted(k)}: {pretty(v[k], inner)}" for k in in_key_order(v)] if isinstance(v, dict) else [pretty(x, inner) for x in v]
+        first, last = "{}" if isinstance(v, dict) else "[]"
+        return f"{first}\n{inner}" + f",\n{inner}".join(parts) + f"\n{pad}{last}"
+    return write(v)
 
 
 def canonical(text: str | bytes) -> str:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import extensions
 from ..functions import jsonlex as J
 from ..functions.codecs import CODECS, Ineligible
 from ..functions.codecs.tabular import PRIMER, as_table
@@ -51,9 +52,22 @@ def grouped_payloads(rows: DataFrame, key: str, order: str, values: dict[str, Co
     )
 
 
-def gated(blocks: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def counted(text: Column, counter: str = "heuristic") -> Column:
+    """A text's tokens by a registered counter: the heuristic is an expression, others are Arrow UDFs."""
+    if counter == "heuristic":
+        return tokens(text)
+    count = extensions.COUNTERS[counter]
+
+    @arrow_udf("bigint")
+    def counts(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else count(t) for t in texts], dtype="Int64")
+
+    return counts(text)
+
+
+def gated(blocks: DataFrame, policy: Policy = Policy(), counter: str = "heuristic") -> DataFrame:
     """blocks with json_tokens, enc_tokens and the gate that stops each block, if any."""
-    rows = blocks.withColumns({"json_tokens": tokens(F.col("json")), "enc_tokens": tokens(F.col("encoded"))})
+    rows = blocks.withColumns({"json_tokens": counted(F.col("json"), counter), "enc_tokens": counted(F.col("encoded"), counter)})
     gate = (
         F.when(F.col("encoded").isNull(), "structural")
         .when(F.lit(policy.state) == "OFF", "opt-in")
@@ -135,6 +149,62 @@ def decode_payload(name: str):
     return decode
 
 
+def render_payload(name: str, keeps_order: bool = False):
+    """A UDF: a payload's text in a benchmark's format and its primer; nulls where the format can't hold it."""
+    from ..functions.rendering import render
+
+    def one(text: str | None):
+        try:
+            return (None, None) if text is None else render(name, text, keeps_order)
+        except ValueError:
+            return None, None
+
+    @arrow_udf("struct<text string, primer string>")
+    def rendered(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["text", "primer"])
+
+    return rendered
+
+
+def evaluated(payloads: DataFrame, codec: str, policy: Policy = Policy(), counter: str = "heuristic") -> DataFrame:
+    """Each payload (json) by itself through all gates of a codec: eligible, failed_gate, reason, json_tokens, enc_tokens,
+    primer_tokens, pretty_tokens and savings (null if nothing was encoded)."""
+    count = lambda c: counted(c, counter)
+    rows = payloads.withColumn("_e", encode_payload(codec)("json"))
+    gone = policy.__class__(policy.state, policy.min_tokens, policy.min_savings, 0)
+    blocks = gated(rows.withColumns({"json": F.coalesce("_e.canonical", "json"), "encoded": F.col("_e.encoded")}), gone, counter)
+    primer = F.when(F.col("encoded").isNotNull(), count(render_payload(codec)("json")["primer"])).otherwise(F.lit(0).cast("long"))
+    blocks = blocks.withColumn("primer_tokens", primer).withColumn("pretty_tokens", F.coalesce(count(render_payload("json-pretty")("json")["text"]), F.lit(0).cast("long")))
+    j, e = F.col("json_tokens"), F.col("enc_tokens") + F.col("primer_tokens")
+    savings = F.when((j > 0) & (F.col("enc_tokens") > 0), (j - e).cast("double") / j.cast("double"))
+    gate = F.when(F.col("failed_gate").isNotNull(), F.col("failed_gate")).when(savings < policy.min_savings, F.lit("net-savings"))
+    return blocks.withColumns({"failed_gate": gate, "savings": savings, "eligible": gate.isNull(), "reason": F.col("_e.reason")}).drop("_e")
+
+
+def payload_report(evaluated_: DataFrame, api: str, name: str) -> dict[str, DataFrame]:
+    """The three parts of a report on evaluated payloads: overall, by API, and each payload."""
+    j, e = F.col("json_tokens").cast("double"), (F.col("enc_tokens") + F.col("primer_tokens")).cast("double")
+    fine = F.col("eligible")
+    own = lambda c: F.sum(F.when(fine, c))
+    parts = [
+        F.count("*").alias("payloads"), F.count_if(fine).alias("eligible"), F.median(F.when(fine, F.col("savings"))).alias("median_savings"), F.avg(F.when(fine, F.col("savings"))).alias("mean_savings"),
+        (1.0 - own(e) / own(j)).alias("weighted_eligible"), (1.0 - F.sum(F.when(fine, e).otherwise(j)) / F.sum(j)).alias("weighted_all"),
+    ]
+    each = evaluated_.select(api, name, "json_tokens", "enc_tokens", "pretty_tokens", "savings", "failed_gate", "reason")
+    return {"overall": evaluated_.agg(*parts), "by_api": evaluated_.groupBy(api).agg(*parts), "payloads": each}
+
+
+def token_report(payloads: DataFrame, dataset: str, formats: Sequence[str], counter: str = "heuristic", base: str = "json-compact") -> DataFrame:
+    """Per data set, and for all, the tokens of its payloads (json) in each format with its primer, and each format's
+    change against the base in percent; a payload that a format can't hold makes that format's sum null."""
+    sent = lambda f: render_payload(f)("json")
+    rows = payloads.select(dataset, *[(counted(sent(f)["text"], counter) + counted(sent(f)["primer"], counter)).alias(f) for f in formats])
+    whole = lambda f: F.when(F.count(f"`{f}`") == F.count("*"), F.sum(f"`{f}`")).alias(f)
+    sums = rows.rollup(dataset).agg(*[whole(f) for f in formats]).withColumn(dataset, F.coalesce(dataset, F.lit("all")))
+    change = lambda f: (100.0 * (F.col(f"`{f}`").cast("double") / F.col(f"`{base}`").cast("double") - 1.0)).alias(f"{f}_percent")
+    return sums.select("*", *[change(f) for f in formats if f != base])
+
+
 def _safe(f):
     def one(text):
         try:

@@ -226,6 +226,68 @@ def toonx_features_primer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.primers(rows, "request_id")
 
 
+_ROW = """chr(10) || '  {' || chr(10) || '    "id": ' || n_nationkey || ',' || chr(10) || '    "name": "' || n_name || '"' || chr(10) || '  }'"""
+
+
+@query(
+    f"""SELECT n_regionkey, '[' || string_agg({_ROW}, ',' ORDER BY n_nationkey) || chr(10) || ']' AS pretty, '[' || string_agg('{{"name":"' || n_name || '","id":' || n_nationkey || '}}', ',' ORDER BY n_nationkey) || ']' AS as_sent,
+    '[' || string_agg('{{"id":' || n_nationkey || ',"name":"' || n_name || '"}}', ',' ORDER BY n_nationkey) || ']' AS compact FROM nation GROUP BY 1"""
+)
+def render_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload pretty-printed, as its source sent it, and in canonical form."""
+    row = F.concat(F.lit('{"name": "'), F.col("n_name"), F.lit('",\n "id": '), F.col("n_nationkey").cast("string"), F.lit("}"))
+    lists = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("j")))).alias("r"))
+    text = F.concat(F.lit("[ "), F.array_join(F.transform("r", lambda r: r["j"]), " , "), F.lit("]"))
+    made = lambda name, order=False: P.render_payload(name, order)(text)["text"]
+    return lists.select("n_regionkey", made("json-pretty").alias("pretty"), made("gateway", True).alias("as_sent"), made("json-compact").alias("compact"))
+
+
+@query(
+    """SELECT n_regionkey, 'items[' || count(*) || ']:' || string_agg(chr(10) || '  - id: ' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || '    name: ' || n_name ELSE '' END, '' ORDER BY n_nationkey) AS encoded
+    FROM nation GROUP BY 1 HAVING count(DISTINCT n_nationkey % 2) = 2"""
+)
+def toon_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of different keys, which the public notation writes as a list."""
+    row = F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("name")))
+    lists = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("j")))).alias("r"), F.count_distinct(F.col("n_nationkey") % 2).alias("k")).where("k = 2")
+    text = F.concat(F.lit('{"items":['), F.array_join(F.transform("r", lambda r: r["j"]), ","), F.lit("]}"))
+    return lists.select("n_regionkey", P.encode_payload("toon")(text)["encoded"].alias("encoded"))
+
+
+EVALUATED = f"""{PAYLOADS}, {TOONX.strip()},
+ev AS (SELECT o_custkey, json_tokens, (strlen(e.encoded) + 3) // 4 AS enc, (strlen({_literal(BASE)} || CASE WHEN factored THEN {_literal(SENTENCES['consts'])} ELSE '' END) + 3) // 4 AS pr, strlen(json) AS size FROM g JOIN e USING (o_custkey)),
+ew AS (SELECT *, (json_tokens - enc - pr)::DOUBLE / json_tokens AS savings FROM ev),
+ex AS (SELECT *, CASE WHEN size < 200 OR json_tokens < 200 THEN 'min-size' WHEN enc >= json_tokens OR savings < 0.15 THEN 'net-savings' END AS gate FROM ew)"""
+
+
+@query(f"WITH {EVALUATED} SELECT o_custkey, json_tokens, enc AS enc_tokens, pr AS primer_tokens, gate AS failed_gate, gate IS NULL AS eligible, round(savings, 9) AS savings FROM ex")
+def payload_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each payload by itself through the gates of the indented codec, its own primer counted."""
+    rows = P.evaluated(order_payloads(spark, sf_dir).select("o_custkey", "json"), "toonx")
+    return rows.select("o_custkey", "json_tokens", "enc_tokens", "primer_tokens", "failed_gate", "eligible", F.round("savings", 9).alias("savings"))
+
+
+@query(
+    f"""WITH {EVALUATED} SELECT o_custkey % 7 AS api, count(*) AS payloads, count_if(gate IS NULL) AS eligible, round(median(CASE WHEN gate IS NULL THEN savings END), 9) AS median_savings, round(avg(CASE WHEN gate IS NULL THEN savings END), 9) AS mean_savings,
+    round(1 - sum(CASE WHEN gate IS NULL THEN enc + pr END)::DOUBLE / sum(CASE WHEN gate IS NULL THEN json_tokens END)::DOUBLE, 9) AS weighted_eligible, round(1 - sum(CASE WHEN gate IS NULL THEN enc + pr ELSE json_tokens END)::DOUBLE / sum(json_tokens)::DOUBLE, 9) AS weighted_all FROM ex GROUP BY 1"""
+)
+def payload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.evaluated(order_payloads(spark, sf_dir).select((F.col("o_custkey") % 7).alias("api"), F.col("o_custkey").alias("name"), "json"), "toonx")
+    rows = P.payload_report(found, "api", "name")["by_api"]
+    return rows.withColumns({c: F.round(c, 9) for c in ("median_savings", "mean_savings", "weighted_eligible", "weighted_all")})
+
+
+@query(
+    f"""WITH {EVALUATED}, t AS (SELECT o_custkey, json_tokens, enc + pr AS toonx, enc_tokens + {PRIMER} AS tabular FROM ex JOIN g USING (o_custkey, json_tokens))
+    SELECT CASE WHEN grouping(o_custkey % 5) = 1 THEN 'all' ELSE 'set' || (o_custkey % 5) END AS dataset, sum(json_tokens)::BIGINT AS compact, sum(toonx)::BIGINT AS toonx, sum(tabular)::BIGINT AS tabular,
+    round(100 * (sum(toonx)::DOUBLE / sum(json_tokens)::DOUBLE - 1), 9) AS toonx_percent, round(100 * (sum(tabular)::DOUBLE / sum(json_tokens)::DOUBLE - 1), 9) AS tabular_percent FROM t GROUP BY ROLLUP (o_custkey % 5)"""
+)
+def token_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each data set in the plain form, the indented one and the table, primers counted, with changes in percent."""
+    rows = P.token_report(order_payloads(spark, sf_dir).withColumn("dataset", F.concat(F.lit("set"), (F.col("o_custkey") % 5).cast("string"))), "dataset", ("json-compact", "toonx", "tabular"))
+    return rows.select("dataset", F.col("json-compact").alias("compact"), "toonx", "tabular", F.round("toonx_percent", 9).alias("toonx_percent"), F.round("tabular_percent", 9).alias("tabular_percent"))
+
+
 # Wire data.
 
 
