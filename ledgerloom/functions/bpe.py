@@ -25,6 +25,10 @@ PIECE = regex.compile(
 )
 
 
+#: Halves of surrogate pairs, which no UTF-8 text holds.
+HALVES = regex.compile("[\ud800-\udfff]")
+
+
 def heuristic(text: str) -> int:
     return (len(text.encode("utf-8", "replace")) + 3) // 4
 
@@ -52,7 +56,7 @@ class BytePairCounter:
 
     def __call__(self, text: str) -> int:
         count = _counter(self.path)
-        return heuristic(text) if count is None else sum(count(p) for p in pieces(text.encode("utf-8", "replace").decode("utf-8")))
+        return heuristic(text) if count is None else sum(count(p) for p in pieces(HALVES.sub("\ufffd", text)))
 
 
 @lru_cache(maxsize=4)
@@ -66,7 +70,7 @@ def _counter(path: str):
         import tiktoken
 
         library = tiktoken.Encoding("own", pat_str=PIECE.pattern, mergeable_ranks=ranks, special_tokens={})
-        one = lambda piece: len(library.encode_single_piece(piece)) if hasattr(library, "encode_single_piece") else len(library._encode_single_piece(piece))
+        one = lambda piece: len(library._encode_single_piece(piece))
     except (ImportError, ValueError):
         one = lambda piece: merged(piece, ranks)
     return lru_cache(maxsize=1 << 16)(lambda piece: one(piece.encode()))

@@ -43,6 +43,40 @@ def ewma(seen: DataFrame, keys: Sequence[str], order: Sequence[str], alpha: floa
     return rows.groupBy(*keys).agg(F.sum(weight * F.col("ratio")).alias("factor"), F.count("*").alias("n"))
 
 
+DUE = "model string, ts timestamp, id long"
+
+
+def due(observed: DataFrame, interval_seconds: int = 900) -> DataFrame:
+    """Which observations (model, ts, id) are calibrated: a model's first, then each that comes `interval_seconds` or more
+    after the last one taken. What is taken depends on what was, so a model's rows are read in order, one at a time."""
+    import pyarrow as pa
+
+    def take(batches):
+        model, last = None, None
+        for batch in batches:
+            keep = []
+            for name, us in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist(), strict=True):
+                taken = name != model or us - last >= interval_seconds * 1_000_000
+                model, last = (name, us) if taken else (model, last)
+                keep.append(taken)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = observed.select("model", F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"))
+    return rows.repartition("model").sortWithinPartitions("model", "ts", "id").mapInArrow(take, DUE)
+
+
+def observed_ratios(counts: DataFrame) -> DataFrame:
+    """What calibration learns from logged counts (model, codec, order columns, one_token: a message of one token, json and
+    enc: messages of a payload's two forms, raw_json and raw_enc: the estimates): the model's overhead is that of its first
+    count, and each count gives three ratios, of the model and json, of the model and the codec, and of the model alone."""
+    first = F.first("one_token").over(Window.partitionBy("model").orderBy("ts", "id")) - 1
+    rows = counts.withColumn("_base", first)
+    ratio = lambda n, raw: (F.col(n) - F.col("_base")).cast("double") / F.nullif(F.col(raw), F.lit(0)).cast("double")
+    made = [("json", ratio("json", "raw_json")), (F.col("codec"), ratio("enc", "raw_enc")), ("", ratio("json", "raw_json"))]
+    each = F.explode(F.array(*[F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), r.alias("ratio")) for k, r in made]))
+    return rows.select("model", "ts", "id", each.alias("x")).select("model", "x.kind", "ts", "id", "x.ratio")
+
+
 def last_before(rows: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
     """As-of: each row with the value of its key's last event strictly before it, or null. One window over both."""
     both = rows.withColumn("_v", F.lit(None).cast(dict(events.dtypes)[value])).withColumn("_row", F.lit(True))

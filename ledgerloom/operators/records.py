@@ -210,10 +210,24 @@ def runs_together(*runs: DataFrame) -> DataFrame:
     return out
 
 
-def sample_by_id(items: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n items drawn by a hash of the seed and the id (all if n is 0), in order of the id."""
-    drawn = items if n <= 0 else items.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
-    return drawn.orderBy(key)
+def sample_by_id(items: DataFrame, key: str, n: int, drawn: Column) -> DataFrame:
+    """The n items that are drawn first (all if n is 0), in order of the id. drawn: a number made of the id and a seed."""
+    return (items if n <= 0 else items.orderBy(drawn, key).limit(n)).orderBy(key)
+
+
+def arms_together(records: DataFrame, arms: Sequence[str], keys: Sequence[str] = ("model", "question_id")) -> DataFrame:
+    """A row for each question of a model that all arms answered, the arms' outcomes side by side (x_0, x_1, …)."""
+    rows = counted(records).where(F.col("format").isin(*arms))
+    side = [F.max(F.when(F.col("format") == f, F.col(c))).alias(f"{c}_{k}") for k, f in enumerate(arms) for c in ARM]
+    wide = rows.groupBy(*keys).agg(F.count_distinct("format").alias("_n"), *side)
+    return wide.where(F.col("_n") == len(set(arms))).drop("_n")
+
+
+def judged_with_arms(judged: DataFrame, records: DataFrame, arms: Sequence[str], keys: Sequence[str] = ("model", "question_id")) -> DataFrame:
+    """Each judgement with what its arms answered; arms that are gone are null."""
+    rows = counted(records).where(F.col("format").isin(*arms))
+    side = [F.max(F.when(F.col("format") == f, F.col(c))).alias(f"{c}_{k}") for k, f in enumerate(arms) for c in ARM]
+    return judged.join(rows.groupBy(*keys).agg(*side), list(keys), "left")
 
 
 def judge_jobs(records: DataFrame, judged: DataFrame, arms: Sequence[str], keys: Sequence[str] = ("provider", "model", "question_id")) -> DataFrame:
@@ -234,11 +248,12 @@ def failed_calls(records: DataFrame, longest: int = 120) -> DataFrame:
 FREE_FORM_MARGIN = 0.15
 
 
-def free_form_report(judged: DataFrame, records: DataFrame, arms: Sequence[str] = (BASE, AGAIN, "toonx"), resamples: int = 2000) -> DataFrame:
+def free_form_report(judged: DataFrame, records: DataFrame, arms: Sequence[str] = (BASE, AGAIN, "toonx"), resamples: int = 2000, item: Column | None = None) -> DataFrame:
     """Per model and for all: tasks, each arm's share of answers with an error and its completeness, the interval of the
     last arm's share less the first's, whether it keeps the margin, and the arms' mean tokens and failed calls.
 
-    judged: a row for each model, question and format with errors and complete."""
+    judged: a row for each model, question and format with errors and complete. item: a task's number in the draws, by
+    default a hash of model and question."""
     base, arm = arms[0], arms[-1]
     side = lambda f, c: F.max(F.when(F.col("format") == f, c))
     wrong = (F.col("errors") > 0).cast("int")
@@ -246,7 +261,7 @@ def free_form_report(judged: DataFrame, records: DataFrame, arms: Sequence[str]
     every = tasks.withColumn("scope", F.explode(F.array(F.col("model"), F.lit("all models"))))
     last = len(arms) - 1
     own = every.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    item = F.pmod(F.hash("model", F.col("question_id").cast("string")), F.lit(DRAWS)).cast("long")
+    item = F.pmod(F.hash("model", F.col("question_id").cast("string")), F.lit(DRAWS)).cast("long") if item is None else item
     own = own.withColumn("w", draw(item, F.col("r"))).where("w > 0").groupBy("scope", "r").agg((F.sum((F.col(f"wrong_{last}") - F.col("wrong_0")) * F.col("w")) / F.sum("w")).alias("d"))
     bounds = own.groupBy("scope").agg(F.array_sort(F.collect_list("d")).alias("d"))
     at = lambda p: F.get("d", F.floor(F.lit(p) * (F.size("d") - 1) + 0.5).cast("int"))

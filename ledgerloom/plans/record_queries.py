@@ -314,21 +314,6 @@ def question_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", "q.kind", "q.text", "q.answer")
 
 
-GENERATED = "SELECT n AS dataset, r AS rows, s AS seed, i AS id FROM (VALUES ('orders'), ('logs')) a(n), (VALUES (30), (120)) b(r), (VALUES (1), (2), (3)) c(s), range(0, 120) d(i) WHERE i < r"
-
-
-@query(
-    f"WITH g AS ({GENERATED}) SELECT dataset, rows, seed, id, (id * 7919 + seed * 104729 + length(dataset) * 31) % 100000 AS cents, list_extract(['open', 'paid', 'sent'], (id * 31 + seed) % 3 + 1) AS status FROM g"
-)
-def generated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded synthetic tables of every name, size and seed, by arithmetic on the row's number."""
-    cases = [(n, r, s) for n in ("orders", "logs") for r in (30, 120) for s in (1, 2, 3)]
-    rows = spark.createDataFrame(cases, "dataset string, rows int, seed int").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("id"))
-    cents = (F.col("id") * 7919 + F.col("seed") * 104729 + F.length("dataset") * 31) % 100000
-    status = F.element_at(F.array(*[F.lit(x) for x in ("open", "paid", "sent")]), ((F.col("id") * 31 + F.col("seed")) % 3 + 1).cast("int"))
-    return rows.select("dataset", "rows", "seed", "id", cents.alias("cents"), status.alias("status"))
-
-
 RANK_SQL = "CASE WHEN change_lo > -0.03 THEN 3 WHEN change_hi < -0.03 THEN 1 ELSE 2 END"
 
 

@@ -139,8 +139,12 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     width = F.max(F.size("cells")).over(Window.partitionBy("path"))
     wide = cells.withColumn("width", width).withColumn("cells", F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells"))))
     flat = wide.select("path", "row", F.posexplode("cells").alias("col", "cell"))
-    plain = F.replace(F.replace(F.replace(F.replace("cell", F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\\p"), F.lit("|")), F.lit("\x00"), F.lit("\\"))
-    return flat.withColumn("cell", plain)
+    return flat.withColumn("cell", unescaped(F.col("cell")))
+
+
+def unescaped(text: Column) -> Column:
+    """Escapes of line breaks, bars and backslashes undone."""
+    return F.replace(F.replace(F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\\p"), F.lit("|")), F.lit("\x00"), F.lit("\\"))
 
 
 def read_manifest(spark: SparkSession, path: str, items: str, schema: str) -> DataFrame:
@@ -176,3 +180,121 @@ def markdown(rows: DataFrame, limit: int = 1000) -> str:
     shown = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [rows.columns, ["---"] * len(rows.columns), *([shown(v) for v in r] for r in found)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def table_json(cells: DataFrame) -> DataFrame:
+    """Tables read by read_tables() as tools return them: path, rows, json (an array of objects, keys in the order of the
+    columns, every cell a string). Column names that repeat are numbered."""
+    from ..functions.columns import json_string
+
+    seen = F.row_number().over(Window.partitionBy("path", "cell").orderBy("col"))
+    heads = cells.where("row = 0").withColumn("_n", seen)
+    heads = heads.select("path", "col", json_string(F.when(F.col("_n") > 1, F.concat_ws("_", "cell", F.col("_n").cast("string"))).otherwise(F.col("cell"))).alias("_key"))
+    named = cells.where("row > 0").join(heads, ["path", "col"]).select("path", "row", "col", F.concat("_key", F.lit(":"), json_string(F.col("cell"))).alias("_cell"))
+    lines = named.groupBy("path", "row").agg(F.array_sort(F.collect_list(F.struct("col", "_cell"))).alias("c"))
+    lines = lines.select("path", "row", F.concat(F.lit("{"), F.array_join(F.transform("c", lambda x: x["_cell"]), ","), F.lit("}")).alias("line"))
+    whole = lines.groupBy("path").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct("row", "line"))).alias("r"))
+    return whole.select("path", "rows", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["line"]), ","), F.lit("]")).alias("json"))
+
+
+def load_questions(spark: SparkSession, folder: str, split: str, n: int = 0, min_rows: int = 0, seed: int = 0) -> DataFrame:
+    """Questions of a split with their tables: id, question, answers, canon, table, rows, json, in order of id.
+
+    The question file is tab-separated with a header; a question names its table as a .csv whose escaped form lies beside
+    it as .tsv. Tables of fewer than min_rows rows are left out; n > 0 draws a sample by a hash of the seed and the id."""
+    from ..operators.records import sample_by_id
+
+    lines = read_lines(spark, f"{folder.rstrip('/')}/tagged/data/{split}.tagged")
+    head = lines.where("pos = 0").select(F.split("line", "\t").alias("h")).first()
+    columns = {c: i for i, c in enumerate(head.h)} if head else {}
+    if lacking := [c for c in ("id", "utterance", "context", "targetValue", "targetCanon") if c not in columns]:
+        raise ValueError(f"the question file has no column {', '.join(lacking)}")
+    fields = lines.where("pos > 0").select(F.split("line", "\t").alias("f")).where(F.size("f") >= len(columns))
+    field = lambda c: F.get("f", F.lit(columns[c]))
+    listed = lambda c: F.transform(F.split(field(c), "\\|"), unescaped)
+    asked = fields.select(
+        field("id").alias("id"), field("utterance").alias("question"), listed("targetValue").alias("answers"), listed("targetCanon").alias("canon"),
+        F.concat(F.regexp_replace(field("context"), "\\.csv$", ""), F.lit(".tsv")).alias("table"),
+    )
+    tables = table_json(read_tables(spark, f"{folder.rstrip('/')}/csv/*")).withColumn("table", F.regexp_extract("path", "(csv/[^/]+/[^/]+|csv/[^/]+)$", 1))
+    met = asked.join(tables.where(F.col("rows") >= min_rows).select("table", "rows", "json"), "table")
+    return sample_by_id(met, "id", n, F.xxhash64(F.lit(seed), "id"))
+
+
+def question_sets(items: DataFrame) -> DataFrame:
+    """Loaded questions as data sets of one table and one question each."""
+    return items.select(
+        F.concat(F.lit("wtq-"), "id").alias("dataset_id"), F.lit("wtq").alias("dataset"), "rows", F.lit("lookup_table").alias("tool"), F.lit("{}").alias("tool_args"), F.col("json").alias("raw"),
+        F.col("id").alias("question_id"), F.lit("wtq").alias("kind"), "question", F.array_join("answers", " | ").alias("answer"), "answers", "canon",
+    )
+
+
+def payload_sets(payloads: DataFrame, manifest: DataFrame | None = None, seed: str = "1") -> DataFrame:
+    """Questions over payloads (set, api, name, url, body): those a manifest registers, by its checksums, or where there is
+    none those that the gates would encode. A row for each question: dataset_id, question_id, kind, question, answer."""
+    import pandas as pd
+
+    from ..functions.lazy import arrow_udf
+    from ..functions.questions import payload_questions
+    from ..operators.payloads import evaluated
+
+    @arrow_udf("array<struct<kind string, text string, answer string>>")
+    def asked(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([payload_questions(t, s) for t, s in zip(texts, seeds, strict=True)])
+
+    keys = ["set", "api", "name"]
+    if manifest is not None:
+        kept = registered(payloads, manifest, keys)
+    else:
+        kept = evaluated(payloads.withColumnRenamed("body", "json"), "toonx").where("eligible").withColumnRenamed("json", "body")
+    name = F.concat_ws("-", F.lit("payload"), "api", "name")
+    rows = kept.select(*keys, name.alias("dataset_id"), F.posexplode(asked("body", F.concat_ws("/", F.lit(seed), *keys))).alias("_k", "q"))
+    return rows.select(*keys, "dataset_id", F.concat("dataset_id", F.lit("-q"), (F.col("_k") + 1).cast("string")).alias("question_id"), F.col("q.kind").alias("kind"), F.col("q.text").alias("question"), F.col("q.answer").alias("answer"))
+
+
+class TableStore:
+    """Samples as a table of JSON lines that grows."""
+
+    def __init__(self, path: str, schema: str = PAIR):
+        self.path, self.schema = path, schema
+
+    def add(self, rows: DataFrame) -> None:
+        append_lines(rows, self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return read_tolerant(spark, self.path, self.schema)
+
+
+def log_sink(path: str):
+    """A sink for a stream's batches (foreachBatch): appends them as JSON lines, a batch that comes again only once."""
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").json(f"{path.rstrip('/')}/batch={number}")
+
+    return put
+
+
+def report_json(sections: dict[str, DataFrame], limit: int = 1000) -> str:
+    """A report's sections, each an aggregate of a few rows, as one JSON document."""
+    import json
+
+    return json.dumps({name: [json.loads(x) for x in rows.limit(limit).toJSON().collect()] for name, rows in sections.items()}, ensure_ascii=False, sort_keys=True)
+
+
+#: Reports by name: their sections in order, with the title of each.
+REPORTS = {
+    "tokens": {"token_report": "Tokens by data set"},
+    "format_tokens": {"format_token_report": "Input tokens by format"},
+    "live": {"live_go_nogo": "Go or no-go"},
+    "verify": {"verify_report": "Accuracy and tokens", "multi_turn": "Multi-turn projection", "savings_by_dataset": "Input savings by data set", "primer_rule": "Primer variant", "calls_table": "Calls"},
+    "promotion": {"promotion_replay_first_change": "Promotion replay"},
+    "datapoints": {"datapoints_pivot_flag": "Questions", "failed_calls": "Failed calls"},
+    "free_form": {"free_form_report": "Quality, agreement and tokens"},
+    "payloads": {"overall": "All payloads", "by_api": "By API", "payloads": "Payloads"},
+}
+
+
+def report_text(name: str, sections: dict[str, DataFrame], limit: int = 1000) -> str:
+    """A report as text: the sections that are given, in the report's order, each a titled table."""
+    titles = REPORTS[name]
+    return "\n\n".join(f"### {titles[k]}\n\n{markdown(sections[k], limit)}" for k in titles if k in sections) + "\n"

@@ -93,7 +93,7 @@ CONTEXT = {"scopes": ["payments:*"], "tenant_id": "7", "resource_constraints": {
         ('{"amount":1,"to":"b"}', "schema"),
         ('{"amount":1,"n":1.5}', "schema"),
         ('{"amount":1,"n":2.0}', None),
-        ('{"amount":1,"amount":2}', "contract"),
+        ('{"amount":1,"amount":2}', "schema"),
         ('{"amount":1,"sub":{"Tenant_ID":"8"}}', "authz"),
         ('{"amount":1,"account":"z"}', "authz"),
         ('{"amount":1,"account":"y"}', None),
