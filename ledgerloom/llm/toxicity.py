@@ -19,12 +19,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, slices, stored
@@ -77,9 +78,10 @@ class Index:
         self.ends = np.cumsum([0, *(len(t) for t, _ in pairs)])
         self.terms = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in pairs)])
         self.own = np.concatenate([np.zeros(0), *(w for _, w in pairs)])
-        self._by_term()
 
-    def _by_term(self) -> None:
+    @cached_property
+    def by_term(self) -> bool:
+        """Lays the weights out by term, where something is searched: on the driver nothing is."""
         order = np.argsort(self.terms, kind="stable")
         self.places = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))[order]
         self.weights = self.own[order].astype(np.float32)
@@ -97,16 +99,18 @@ class Index:
         self.tops = matrix.reshape(len(common), self.blocks, BLOCK).max(axis=2)
         self.parts = matrix.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2)
         self.scratch = np.zeros(self.n_terms)
+        return True
 
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("n", "n_terms", "ends", "terms", "own")}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._by_term()
+    def example(self, i: int) -> Vector:
+        at = slice(self.ends[i], self.ends[i + 1])
+        return self.terms[at], self.own[at]
 
     def _rough(self, vectors: list[Vector], k: int, but: list[int] | None) -> np.ndarray:
         """Similarities of vectors x examples in single precision; minus infinity in blocks that can't hold the k nearest."""
+        assert self.by_term
         asked = np.zeros((len(vectors), len(self.tops)), np.float32)
         rare = np.zeros((len(vectors), self.blocks * BLOCK), np.float32)
         for i, (terms, weights) in enumerate(vectors):
@@ -141,8 +145,8 @@ class Index:
 
     def nearest_of(self, vectors: list[Vector], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector the k nearest examples with a similarity above 0, the nearest first, ties by number."""
-        if not vectors:
-            return []
+        if not vectors or not self.n or not self.by_term:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in vectors]
         rough, out = self._rough(vectors, k, but), []
         least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(vectors), -np.inf)
         for i, (terms, weights) in enumerate(vectors):
@@ -203,11 +207,15 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
+def numbered(words: pa.Array) -> dict[str, int]:
+    return dict(zip(words.to_pylist(), range(len(words)), strict=True))
+
+
 @dataclass
 class Scorer:
-    """What tasks need to score texts; its size is bounded by the words of 2 * PER_CLASS examples."""
+    """What tasks need to score texts; its size is bounded by the words of 2 * PER_CLASS examples (sorted, as an array)."""
 
-    terms: dict[str, int]
+    words: pa.Array
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
@@ -221,12 +229,17 @@ class Scorer:
         self.done: dict[bytes, tuple[float, list[int]]] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "done"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("done", "terms")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
+    @cached_property
+    def terms(self) -> dict[str, int]:
+        """A word's number; made where texts are read."""
+        return numbered(self.words)
+
     def pair(self, text: str | None) -> Vector:
         """Terms and weights (1 + ln count) * idf, of length 1."""
         found = Counter(map(self.terms.get, words_of(text)))
@@ -280,17 +293,18 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, key long")
 
 
-def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+def _document_counts(docs: DataFrame, words: pa.Array) -> tuple[np.ndarray, int]:
     """In how many of all documents each term is, and the number of documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
-    pieces = len(terms) // PIECE + 1
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    n_terms = len(words)
+    pieces = n_terms // PIECE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, total = sent.value.get, np.zeros(pieces * PIECE, np.int64)
+        get, total = numbered(sent.value).get, np.zeros(pieces * PIECE, np.int64)
         for batch in slices(batches):
             found = [t for text in batch.column(0).to_pylist() for t in set(map(get, words_of(text))) if t is not None]
             total += np.bincount(np.array(found, np.int64), minlength=len(total))
-            total[len(sent.value)] += batch.num_rows
+            total[n_terms] += batch.num_rows
         salt = TaskContext.get().partitionId() % SALTS
         arrays = [pa.array(range(pieces), pa.int32()), pa.array([salt] * pieces, pa.int32()), pa.array([x.tobytes() for x in total.reshape(-1, PIECE)], pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, ["piece", "salt", "counts"])
@@ -305,7 +319,8 @@ def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray
     total = np.zeros(pieces * PIECE, np.int64)
     for r in rows:
         total[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.counts, np.int64)
-    return total[: len(terms)], int(total[len(terms)])
+    sent.destroy()
+    return total[:n_terms], int(total[n_terms])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, relevance: float = RELEVANCE) -> Scorer:
@@ -342,8 +357,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, releva
     n = {r.toxic: (r.n, r.m) for r in examples.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("counts").alias("m")).collect()}
     spread = examples.select("text", "toxic", "counts").mapInArrow(distinct_terms, "term string, clean int, toxic int")
     words = spread.groupBy("term").agg(F.sum("clean").cast("int").alias("clean"), F.sum("toxic").cast("int").alias("toxic")).toArrow().sort_by("term")
-    terms = dict(zip(words["term"].to_pylist(), range(words.num_rows), strict=True))
-    df, n_docs = _document_counts(docs, terms) if terms else (np.zeros(0, np.int64), 0)
+    terms = words["term"].combine_chunks()
+    df, n_docs = _document_counts(docs, terms) if len(terms) else (np.zeros(0, np.int64), 0)
     even = n.get(1, (0, 0))[1] / max(1, n.get(0, (0, 0))[1])
     rf = np.log2(2 + words["toxic"].to_numpy() / np.maximum(1.0, even * words["clean"].to_numpy()))
     idf = np.log((1 + n_docs) / np.maximum(df, 1)) * rf**relevance
@@ -357,10 +372,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, releva
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "terms", "weights"])
 
     made = examples.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow()
-    return _fitted(scorer, made, share, {k: x for k, (x, _) in n.items()})
+    sent.destroy()
+    return _fitted(docs.sparkSession, scorer, made, share, {k: x for k, (x, _) in n.items()})
 
 
-def _fitted(scorer: Scorer, made: pa.Table, share: dict[int, int], n: dict[int, int]) -> Scorer:
+def _fitted(spark: SparkSession, scorer: Scorer, made: pa.Table, share: dict[int, int], n: dict[int, int]) -> Scorer:
     """Index and calibration from the examples' vectors; a label's examples count for all its labelled rows."""
     made = made.sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     ids, toxic = made["doc_id"].to_numpy(), made["toxic"].to_numpy().astype(np.float64)
@@ -372,19 +388,29 @@ def _fitted(scorer: Scorer, made: pa.Table, share: dict[int, int], n: dict[int,
     scorer.bare = float(((toxic * worth)[~have].sum() + 2 * prior) / (worth[~have].sum() + 2)) if len(toxic) else 0.0
     rows = [(terms[a:b], weights[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     place = np.flatnonzero(have)
-    place = place[in_blocks([rows[i] for i in place], len(scorer.terms))]
+    place = place[in_blocks([rows[i] for i in place], len(scorer.words))]
     rows, worth = [rows[i] for i in place], worth[place]
     scorer.ids, scorer.toxic = ids[place], toxic[place]
-    scorer.index = Index(rows, len(scorer.terms))
-    votes, kept = [], []
-    for at in range(0, len(rows), 256):
-        own = range(at, min(at + 256, len(rows)))
-        for i, (near, similar) in zip(own, scorer.index.nearest_of(rows[at : at + 256], scorer.k, but=list(own)), strict=True):
-            if len(near):
-                votes.append(scorer.vote(near, similar))
-                kept.append(i)
-    if votes:
-        scorer.ends, scorer.values = monotone(np.array(votes), scorer.toxic[kept], worth[kept])
+    scorer.index = Index(rows, len(scorer.words))
+    if not len(rows):
+        return scorer
+    sent = spark.sparkContext.broadcast(scorer)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value.index
+        for batch in slices(batches):
+            own = batch.column(0).to_pylist()
+            near = index.nearest_of([index.example(i) for i in own], sent.value.k, but=own)
+            found = [(i, sent.value.vote(*pair)) for i, pair in zip(own, near, strict=True) if len(pair[0])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.float64()), strict=True)], ["i", "vote"])
+
+    parts = max(1, min(len(rows) // 512, spark.sparkContext.defaultParallelism))
+    found = spark.range(0, len(rows), 1, parts).mapInArrow(votes, "i long, vote double").toArrow().sort_by("i")
+    sent.destroy()
+    kept = found["i"].to_numpy()
+    if len(kept):
+        scorer.ends, scorer.values = monotone(found["vote"].to_numpy(), scorer.toxic[kept], worth[kept])
     return scorer
 
 
