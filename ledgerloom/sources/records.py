@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,8 +233,6 @@ def question_sets(items: DataFrame) -> DataFrame:
 def payload_sets(payloads: DataFrame, manifest: DataFrame | None = None, seed: str = "1") -> DataFrame:
     """Questions over payloads (set, api, name, url, body): those a manifest registers, by its checksums, or where there is
     none those that the gates would encode. A row for each question: dataset_id, question_id, kind, question, answer."""
-    import pandas as pd
-
     from ..functions.lazy import arrow_udf
     from ..functions.questions import payload_questions
     from ..operators.payloads import evaluated
