@@ -140,6 +140,20 @@ def free_form_task(kind: str, table: list[dict], where: str, seed: str) -> str |
     return TASKS[kind].format(where=where, name=name, a=shown(rows[a][name]), b=shown(rows[b][name]))
 
 
+def task_of(text: str, name: str, place: int, seed: str) -> dict[str, str] | None:
+    """The open task of a payload that comes at a place among all: kinds in turn, a summary where the kind doesn't fit."""
+    document = J.parse(text)
+    path = J.largest_table(document)
+    if path is None:
+        return None
+    where = f'the "{".".join(path)}" list' if path else "the result"
+    kind = list(TASKS)[place % len(TASKS)]
+    asked = free_form_task(kind, J.at_path(document, path), where, seed)
+    if asked is None:
+        kind, asked = "summary", TASKS["summary"]
+    return {"id": f"freeform-{name}-{kind}", "kind": f"freeform-{kind}", "text": asked}
+
+
 def judge_input(answers: dict[str, str], seed: str) -> list[tuple[str, str, str]]:
     """Answers under shuffled labels A, B, …: label, format, answer."""
     draw = chooser(seed)

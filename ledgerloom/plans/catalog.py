@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence_queries, payload_queries, record_queries, stream_queries, wire_queries  # noqa: F401
+from . import evidence_queries, payload_queries, record_queries, source_queries, stream_queries, wire_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.codecs.toon import PRIMER as BASE
 from ..functions.codecs.toonx import SENTENCES
+from ..functions.rendering import CSV_PRIMER
 from ..operators import payloads as P
 from ..operators import wire as W
 from .registry import derived, query, table
@@ -278,14 +279,15 @@ def payload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EVALUATED}, t AS (SELECT o_custkey, json_tokens, enc + pr AS toonx, enc_tokens + {PRIMER} AS tabular FROM ex JOIN g USING (o_custkey, json_tokens))
-    SELECT CASE WHEN grouping(o_custkey % 5) = 1 THEN 'all' ELSE 'set' || (o_custkey % 5) END AS dataset, sum(json_tokens)::BIGINT AS compact, sum(toonx)::BIGINT AS toonx, sum(tabular)::BIGINT AS tabular,
+    f"""WITH {EVALUATED}, t AS (SELECT o_custkey, ex.json_tokens, enc + pr AS toonx, enc_tokens + {PRIMER} AS tabular, (strlen(json) + 36 * n_rows + 4) // 4 AS pretty, (strlen(head) + strlen(whole) - 2 * n + 3) // 4 + {(len(CSV_PRIMER) + 3) // 4} AS csv FROM ex JOIN g USING (o_custkey) JOIN x USING (o_custkey))
+    SELECT CASE WHEN grouping(o_custkey % 5) = 1 THEN 'all' ELSE 'set' || (o_custkey % 5) END AS dataset, sum(pretty)::BIGINT AS pretty, sum(json_tokens)::BIGINT AS compact, sum(toonx)::BIGINT AS toonx, sum(tabular)::BIGINT AS tabular, sum(csv)::BIGINT AS csv, round(100 * (sum(pretty)::DOUBLE / sum(json_tokens)::DOUBLE - 1), 9) AS pretty_percent, round(100 * (sum(csv)::DOUBLE / sum(json_tokens)::DOUBLE - 1), 9) AS csv_percent,
     round(100 * (sum(toonx)::DOUBLE / sum(json_tokens)::DOUBLE - 1), 9) AS toonx_percent, round(100 * (sum(tabular)::DOUBLE / sum(json_tokens)::DOUBLE - 1), 9) AS tabular_percent FROM t GROUP BY ROLLUP (o_custkey % 5)"""
 )
 def token_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each data set in the plain form, the indented one and the table, primers counted, with changes in percent."""
-    rows = P.token_report(order_payloads(spark, sf_dir).withColumn("dataset", F.concat(F.lit("set"), (F.col("o_custkey") % 5).cast("string"))), "dataset", ("json-compact", "toonx", "tabular"))
-    return rows.select("dataset", F.col("json-compact").alias("compact"), "toonx", "tabular", F.round("toonx_percent", 9).alias("toonx_percent"), F.round("tabular_percent", 9).alias("tabular_percent"))
+    """Tokens of each data set in five forms, primers counted, with changes against the plain one in percent."""
+    rows = P.token_report(order_payloads(spark, sf_dir).withColumn("dataset", F.concat(F.lit("set"), (F.col("o_custkey") % 5).cast("string"))), "dataset", ("json-pretty", "json-compact", "toonx", "tabular", "csv"))
+    rows = rows.withColumnsRenamed({"json-compact": "compact", "json-pretty": "pretty", "json-pretty_percent": "pretty_percent"})
+    return rows.withColumns({c: F.round(c, 9) for c in ("pretty_percent", "toonx_percent", "tabular_percent", "csv_percent")})
 
 
 # Wire data.

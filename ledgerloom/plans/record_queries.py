@@ -22,6 +22,7 @@ SELECT event_id AS ordinal, concat('m', CAST(user_id % 3 AS VARCHAR(4))) AS mode
        100 + event_id % 900 AS latency_ms, event_id % 97 = 5 AS empty, CASE WHEN event_id % 23 = 2 THEN 'timeout' WHEN event_id % 101 = 3 THEN 'HTTP 410' END AS error
 FROM events
 """
+GRADED_SQL = f"WITH j AS (SELECT model, question_id, CASE WHEN question_id % 5 = 0 THEN 'timeout' END AS error, question_id % 7 + 1 AS errors, question_id % 5 + 1 AS complete FROM ({RECORDS}) WHERE ordinal % 4 = 1 GROUP BY ALL)"
 COUNTED = f"r AS ({RECORDS}), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, question_id, format ORDER BY ordinal DESC) AS rn FROM r WHERE error IS NULL) WHERE rn = 1)"
 PAIRS = f"""{COUNTED}, pr AS (SELECT a.model, a.question_id, a.dataset, a.kind, a.correct AS ca, b.correct AS cb, a.input_tokens AS ia, b.input_tokens AS ib, a.output_tokens AS oa, b.output_tokens AS ob
   FROM k a JOIN k b ON a.model = b.model AND a.question_id = b.question_id AND a.format = 'json-compact' AND b.format = 'toonx')"""
@@ -276,6 +277,11 @@ def is_correct(replies: pd.Series, answers: pd.Series, numeric: pd.Series) -> pd
     return pd.Series([scoring.correct(r, a, n) for r, a, n in zip(replies, answers, numeric, strict=True)])
 
 
+@arrow_udf("boolean")
+def answered(replies: pd.Series, answers: pd.Series) -> pd.Series:
+    return pd.Series([scoring.answers_met(r, scoring.listed(a)) for r, a in zip(replies, answers, strict=True)])
+
+
 @arrow_udf("boolean")
 def same_values(replies: pd.Series, answers: pd.Series) -> pd.Series:
     return pd.Series([scoring.same_values(scoring.listed(r), scoring.listed(a)) for r, a in zip(replies, answers, strict=True)])

@@ -19,13 +19,18 @@ def _stream(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("FROM events", "FROM {events}"), events=events)
 
 
-def _finished(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; only a driver that runs its tasks itself may leave it unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "/tmp/ledgerloom-shared"
-    place = f"{shared.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def _finished(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    place = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     run = out.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{place}/rows")

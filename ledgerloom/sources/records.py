@@ -251,6 +251,23 @@ def payload_sets(payloads: DataFrame, manifest: DataFrame | None = None, seed: s
     return rows.select(*keys, "dataset_id", F.concat("dataset_id", F.lit("-q"), (F.col("_k") + 1).cast("string")).alias("question_id"), F.col("q.kind").alias("kind"), F.col("q.text").alias("question"), F.col("q.answer").alias("answer"))
 
 
+def free_form_sets(payloads: DataFrame, seed: str = "1") -> DataFrame:
+    """One open task for each payload (set, api, name, body): payloads in the order of a hash take the kinds in turn."""
+    from ..functions.lazy import arrow_udf
+    from ..functions.questions import task_of
+
+    @arrow_udf("struct<id string, kind string, text string>")
+    def asked(texts: pd.Series, names: pd.Series, places: pd.Series) -> pd.DataFrame:
+        found = [task_of(t, n, int(p), f"{seed}/{n}") or {} for t, n, p in zip(texts, names, places, strict=True)]
+        return pd.DataFrame([[q.get(c) for c in ("id", "kind", "text")] for q in found], columns=["id", "kind", "text"])
+
+    # Payload sets are benchmarks of some dozens; the window numbers them.
+    order = Window.orderBy(F.xxhash64(F.lit(seed), "set", "api", "name"), "set", "api", "name")
+    rows = payloads.withColumn("_k", F.row_number().over(order) - 1)
+    found = rows.select("set", "api", "name", asked("body", F.concat_ws("-", "api", "name"), "_k").alias("q"))
+    return found.where(F.col("q.id").isNotNull()).select("set", "api", "name", F.col("q.id").alias("question_id"), F.col("q.kind").alias("kind"), F.col("q.text").alias("question"))
+
+
 class TableStore:
     """Samples as a table of JSON lines that grows."""
 

@@ -283,3 +283,43 @@ def test_draws_have_mean_one(spark):
     rows = spark.range(0, 300).crossJoin(spark.range(0, 300).withColumnRenamed("id", "r"))
     m = rows.select(R.draw(F.col("id"), F.col("r")).alias("w")).agg(F.avg("w").alias("a"), F.var_pop("w").alias("v"), F.max("w").alias("m")).first()
     assert abs(m.a - 1) < 0.02 and abs(m.v - 1) < 0.05 and m.m <= 7
+
+
+# Scoring.
+
+
+@pytest.mark.parametrize(
+    ("reply", "answers", "canon", "want"),
+    [
+        ("Answer: Hull", ["Hull"], None, True),
+        ("<think>Cork?</think>The answer follows.\nAnswer: *Hull*.", ["Hull"], None, True),
+        ("It was in Hull, surely", ["Hull"], None, True),
+        ("It was in Hullavia", ["Hull"], None, False),
+        ("x" * 40 + " Hull", ["Hull"], None, False),
+        ("Cork, Hull", ["Hull", "Cork"], None, True),
+        ("Cork|Hull|Oban", ["Hull", "Cork"], None, False),
+        ("Hull", ["Hull", "Cork"], None, False),
+        ("Hull\nCork", ["Hull", "Cork", "hull"], None, True),
+        ("about 1,204.0 ships", ["1204"], None, True),
+        ("1204 of 1300", ["1204"], None, False),
+        ("3", ["three"], ["3"], True),
+        ("1876-01-05", ["January 5, 1876"], ["1876-01-05"], True),
+        ('5h 29\' 10"', ['5h 29\' 10"'], None, True),
+        ('"Hull"', ["Hull"], None, True),
+        ("", ["Hull"], None, False),
+    ],
+)
+def test_answers(reply, answers, canon, want):
+    from ledgerloom.functions.scoring import answers_met
+
+    assert answers_met(reply, answers, canon) is want
+
+
+def test_free_form_sets(spark):
+    body = J.write([{"id": J.Num(i), "crew": J.Num(i % 3)} for i in range(6)])
+    rows = spark.createDataFrame([("s", "fleet", f"p{i}", body if i else "[[1]]") for i in range(9)], "set string, api string, name string, body string")
+    got = S.free_form_sets(rows).collect()
+    assert {r.name for r in got} == {f"p{i}" for i in range(1, 9)} and all(r.question_id == f"freeform-fleet-{r.name}-{r.kind.removeprefix('freeform-')}" for r in got)
+    kinds = [r.kind for r in got]
+    assert max(map(kinds.count, set(kinds))) <= 3 and len(set(kinds)) == 4
+    assert got == S.free_form_sets(rows).collect()
