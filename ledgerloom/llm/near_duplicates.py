@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, place_of, test_bits
-from .common import HOT, WORD_BYTES_RE, WORD_HASHES, bounded, hot_keys, spread_join, stored
+from .common import HOT, WORD_BYTES_RE, WORD_HASHES, bounded, hot_keys, spread_join, stored, trimmed
 
 CHUNKS, VALUES, ERRORS = 13, 6, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +89,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     """Per row: doc_id, n_shingles, set_hash (null for an empty set), signature, row_no."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in batches:
             sizes, hashes, signatures = [], [], []
             for text in batch.column(1):

@@ -37,7 +37,9 @@ RELEVANCE = 2.0
 #: Examples of a block; blocks that are compared before any bound is used.
 BLOCK, OPENED = 64, 4
 #: Terms of so many examples at least, and up to so many of them, have their weights in a row of a matrix; others in lists.
-COMMON, ROWS = 32, 1024
+COMMON, ROWS = 32, 512
+#: Texts that are searched together.
+SEARCHED = 128
 #: Document frequencies are added up in pieces of so many terms, first among SALTS groups of tasks.
 PIECE, SALTS = 1024, 64
 
@@ -173,7 +175,7 @@ def in_blocks(vectors: list[Vector], n_terms: int) -> np.ndarray:
     down to single blocks."""
     sizes = np.bincount(np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]), minlength=n_terms)
     row = np.full(n_terms, -1)
-    common = np.argsort(-sizes, kind="stable")[: ROWS // 4]
+    common = np.argsort(-sizes, kind="stable")[: ROWS // 2]
     row[common] = np.arange(len(common))
     matrix = np.zeros((len(vectors), len(common)), np.float32)
     for i, (terms, weights) in enumerate(vectors):
@@ -416,7 +418,7 @@ def _fitted(spark: SparkSession, scorer: Scorer, made: pa.Table, share: dict[int
 
 def _scored(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SEARCHED):
             found = sent.value.scores(batch.column(2).to_pylist())
             scores = [s for s, _ in found]
             arrays = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
@@ -443,7 +445,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SEARCHED):
             yield batch.filter(pa.array([s < 0.5 for s, _ in sent.value.scores(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
