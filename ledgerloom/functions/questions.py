@@ -70,7 +70,7 @@ def questions(table: list[dict], where: str, seed: str) -> list[dict[str, str]]:
     def lookup(kind: str, c: str, i: int) -> Iterator[dict[str, str]]:
         v = rows[i].get(c)
         if v is None or usable(v):
-            text = f'In {where}, what is "{c}" for the item whose "{name}" is {shown(rows[i][name])}? If that item has no "{c}" value, answer none.'
+            text = f'Look at {where}: which value of "{c}" belongs to the entry with "{name}" {shown(rows[i][name])}? Say none where it has no "{c}".'
             yield {"kind": kind, "text": text, "answer": "none" if v is None else shown(v)}
 
     def lookups() -> Iterator[dict[str, str]]:
@@ -90,13 +90,13 @@ def questions(table: list[dict], where: str, seed: str) -> list[dict[str, str]]:
             c = fit[draw("count", len(fit))]
             v = shown(rows[have[c][draw("value", len(have[c]))]][c])
             n = sum(shown(rows[i][c]) == v for i in have[c])
-            yield {"kind": "count-where", "text": f'How many items in {where} have "{c}" equal to {v}?', "answer": str(n)}
+            yield {"kind": "count-where", "text": f'Count the entries of {where} with the value {v} for "{c}".', "answer": str(n)}
 
     def largest() -> Iterator[dict[str, str]]:
         for c in sorted((c for c in whole if all(isinstance(r[c], J.Num) for r in rows)), key=lambda c: draw(f"largest {c}", 1 << 32)):
             values = [Fraction(str(r[c])) for r in rows]
             if values.count(max(values)) == 1:
-                yield {"kind": "argmax", "text": f'Which item in {where} has the largest "{c}"? Answer with its "{name}".', "answer": shown(rows[values.index(max(values))][name])}
+                yield {"kind": "argmax", "text": f'Give the "{name}" of the entry of {where} with the greatest "{c}".', "answer": shown(rows[values.index(max(values))][name])}
                 return
 
     more = lookups()

@@ -119,7 +119,7 @@ def counters(entries: DataFrame, tags: Sequence[str], measure: str, width: int,
 
 
 def route_report(policies: DataFrame, transitions: DataFrame, samples: DataFrame, entries: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """A row for each route that any source names."""
+    """A row for each route that any source names, by tenant and route."""
     keys = ["tenant_id", "route_id"]
     sources = [df.select(*keys) for df in (policies, transitions, samples, entries)]
     named = sources[0].unionByName(sources[1]).unionByName(sources[2]).unionByName(sources[3]).distinct()
@@ -134,4 +134,4 @@ def route_report(policies: DataFrame, transitions: DataFrame, samples: DataFrame
     return rows.select(
         *keys, F.coalesce("state", F.lit("not in policy file")).alias("state"), none("samples"), "n", "lo", "hi",
         F.when(F.col("state") == "SHADOW", look).alias("next_look"), none("transitions"), none("requests"), none("errors"),
-    )
+    ).orderBy(*keys)

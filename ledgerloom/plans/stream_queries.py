@@ -15,7 +15,7 @@ from .samples import SAMPLES, VALID_CTE
 def _stream(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     # As a pattern, as a stream's plain path has to be a folder; the table may be a file.
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/event[s].parquet")
     return spark.sql(sql.replace("FROM events", "FROM {events}"), events=events)
 
 

@@ -16,3 +16,35 @@ def test_query_matches_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).limit(5).collect()
+
+
+def test_questions_against_the_tables(spark, sf_dir):
+    """Each answer of question_synthesis, worked out anew from the orders and the question's words."""
+    import re
+
+    import pandas as pd
+
+    orders = pd.read_parquet(f"{sf_dir}/orders.parquet").sort_values("o_orderkey")
+    tables = {}
+    for customer, g in orders.groupby("o_custkey"):
+        rows = [
+            {"amount": f"{r.o_totalprice:.2f}", "day": f"{r.o_orderdate:%Y-%m-%d}", "id": str(r.o_orderkey), "priority": r.o_orderpriority, "status": r.o_orderstatus} for r in g.itertuples()
+        ]
+        tables[customer] = rows[:20]
+    seen = set()
+    for r in QUERIES["question_synthesis"](spark, sf_dir).collect():
+        rows = tables[r.o_custkey]
+        if r.kind == "count-where":
+            value, column = re.search(r'with the value (.*) for "(.*)"\.', r.text).groups()
+            want = str(sum(x[column] == value for x in rows))
+        elif r.kind == "argmax":
+            name, column = re.search(r'Give the "(.*?)" of .* with the greatest "(.*)"\.', r.text).groups()
+            best = sorted(rows, key=lambda x: float(x[column]))
+            assert len(rows) == 1 or float(best[-1][column]) > float(best[-2][column])
+            want = best[-1][name]
+        else:
+            column, name, value = re.search(r'which value of "(.*?)" belongs to the entry with "(.*?)" (.*)\? Say', r.text).groups()
+            (want,) = [x[column] for x in rows if x[name] == value]
+        assert r.answer == want, r
+        seen.add(r.kind)
+    assert {"count-where", "argmax", "lookup"} <= seen
