@@ -32,14 +32,25 @@ def calls(records: DataFrame) -> DataFrame:
     )
 
 
+def _last(name: str, columns: Sequence[str]) -> Column:
+    """Of a format's rows the last one's columns, as a struct; null without any."""
+    return F.max_by(F.struct(*columns), F.when(F.col("format") == name, F.col("ordinal")))
+
+
+def arm_pairs(records: DataFrame, arms: Sequence[str], base: str = BASE) -> DataFrame:
+    """Per model, question and arm (format) with both sides: a_… of the base and b_… of the arm, each from the last success.
+
+    A question's records meet once, already reduced to one for each format by every task: one shuffle, no join, no window."""
+    rows = records.where(succeeded() & F.col("format").isin(base, *arms))
+    sides = F.array(*[F.struct(F.lit(f).alias("format"), _last(f, ARM).alias("b")) for f in arms])
+    whole = rows.groupBy("model", "question_id").agg(F.min("dataset").alias("dataset"), F.min("kind").alias("kind"), _last(base, ARM).alias("a"), sides.alias("s"))
+    met = whole.select("model", "question_id", "dataset", "kind", "a", F.explode("s").alias("s")).where(F.col("a").isNotNull() & F.col("s.b").isNotNull())
+    return met.select("model", "question_id", "dataset", "kind", "s.format", *[F.col(f"a.{c}").alias(f"a_{c}") for c in ARM], *[F.col(f"s.b.{c}").alias(f"b_{c}") for c in ARM])
+
+
 def pairs(records: DataFrame, arm: str, base: str = BASE) -> DataFrame:
-    """Per model and question with both arms: a_… of the base and b_… of the arm. One shuffle, no join."""
-    rows = counted(records).where(F.col("format").isin(base, arm))
-    side = lambda f, c: F.max(F.when(F.col("format") == f, F.col(c)))
-    both = rows.groupBy("model", "question_id").agg(
-        F.min("dataset").alias("dataset"), F.min("kind").alias("kind"), *[side(base, c).alias(f"a_{c}") for c in ARM], *[side(arm, c).alias(f"b_{c}") for c in ARM]
-    )
-    return both.where(F.col("a_correct").isNotNull() & F.col("b_correct").isNotNull())
+    """arm_pairs() of one arm."""
+    return arm_pairs(records, [arm], base).drop("format")
 
 
 def paired_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -139,10 +150,7 @@ def fail_rate(records: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame
 def verify_report(records: DataFrame, arms: Sequence[str], resamples: int = 2000, most_failed: float = 0.1) -> DataFrame:
     """Per model and arm against the plain form: accuracy, flips, interval and verdict (none where too many calls failed;
     the second plain arm is the noise floor), changes of tokens with intervals, and the median ratio of latencies."""
-    sides = [pairs(records, arm).withColumn("format", F.lit(arm)) for arm in arms]
-    rows = sides[0]
-    for s in sides[1:]:
-        rows = rows.unionByName(s)
+    rows = arm_pairs(records, arms)
     keys = ["model", "format"]
     ratio = F.when(F.col("a_latency_ms") > 0, F.col("b_latency_ms").cast("double") / F.col("a_latency_ms").cast("double"))
     sums = paired_sums(rows, keys).join(rows.groupBy(*keys).agg(F.median(ratio).alias("latency_ratio")), keys)
@@ -217,17 +225,18 @@ def sample_by_id(items: DataFrame, key: str, n: int, drawn: Column) -> DataFrame
 
 def arms_together(records: DataFrame, arms: Sequence[str], keys: Sequence[str] = ("model", "question_id")) -> DataFrame:
     """A row for each question of a model that all arms answered, the arms' outcomes side by side (x_0, x_1, …)."""
-    rows = counted(records).where(F.col("format").isin(*arms))
-    side = [F.max(F.when(F.col("format") == f, F.col(c))).alias(f"{c}_{k}") for k, f in enumerate(arms) for c in ARM]
-    wide = rows.groupBy(*keys).agg(F.count_distinct("format").alias("_n"), *side)
-    return wide.where(F.col("_n") == len(set(arms))).drop("_n")
+    wide = _side_by_side(records, arms, keys)
+    return wide.dropna(subset=[f"correct_{k}" for k in range(len(arms))])
+
+
+def _side_by_side(records: DataFrame, arms: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    rows = records.where(succeeded() & F.col("format").isin(*arms)).groupBy(*keys).agg(*[_last(f, ARM).alias(f"_{k}") for k, f in enumerate(arms)])
+    return rows.select(*keys, *[F.col(f"_{k}.{c}").alias(f"{c}_{k}") for k in range(len(arms)) for c in ARM])
 
 
 def judged_with_arms(judged: DataFrame, records: DataFrame, arms: Sequence[str], keys: Sequence[str] = ("model", "question_id")) -> DataFrame:
     """Each judgement with what its arms answered; arms that are gone are null."""
-    rows = counted(records).where(F.col("format").isin(*arms))
-    side = [F.max(F.when(F.col("format") == f, F.col(c))).alias(f"{c}_{k}") for k, f in enumerate(arms) for c in ARM]
-    return judged.join(rows.groupBy(*keys).agg(*side), list(keys), "left")
+    return judged.join(_side_by_side(records, arms, keys), list(keys), "left")
 
 
 def judge_jobs(records: DataFrame, judged: DataFrame, arms: Sequence[str], keys: Sequence[str] = ("provider", "model", "question_id")) -> DataFrame:
