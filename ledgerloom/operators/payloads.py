@@ -259,8 +259,34 @@ def primers(blocks: DataFrame, request: str) -> DataFrame:
     return used.select(request, F.concat(F.lit(BASE), *[F.when(F.col(x), F.lit(SENTENCES[x])).otherwise(F.lit("")) for x in FEATURES]).alias("primer"))
 
 
+class LeafRows:
+    """Rows of a payload's primitive values, for LATERAL json_leaf_rows(text): path and value."""
+
+    def eval(self, text: str | None):
+        for leaf in _safe(lambda t: J.leaves(J.parse(t), "out"))(text) or []:
+            path, _, value = leaf.partition("=")
+            yield path, value
+
+
+class QuestionRows:
+    """Rows of questions about a payload, for LATERAL payload_questions(text, seed): kind, text and answer."""
+
+    def eval(self, text: str | None, seed: str):
+        from ..functions.questions import payload_questions
+
+        for q in _safe(lambda t: payload_questions(t, seed))(text) or []:
+            yield q["kind"], q["text"], q["answer"]
+
+
 def register_sql(spark) -> None:
-    """canonical_json, json_leaves, table_check, and encode_x, decode_x for each codec x, for use in SQL text."""
+    """canonical_json, json_leaves, table_check, encode_x, decode_x for each codec x and render_payload_f for each format f
+    (dashes as underscores), and the table functions json_leaf_rows and payload_questions, for use in SQL text."""
+    from ..functions.rendering import FORMATS
+
+    spark.udtf.register("json_leaf_rows", F.udtf(LeafRows, returnType="path string, value string"))
+    spark.udtf.register("payload_questions", F.udtf(QuestionRows, returnType="kind string, text string, answer string"))
+    for name in FORMATS:
+        spark.udf.register(f"render_payload_{name.replace('-', '_')}", render_payload(name).udf())
     for name, f in {"canonical_json": canonical_json, "json_leaves": json_leaves, "table_check": table_check}.items():
         spark.udf.register(name, f.udf())
     for name in CODECS:

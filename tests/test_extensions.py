@@ -323,3 +323,38 @@ def test_free_form_sets(spark):
     kinds = [r.kind for r in got]
     assert max(map(kinds.count, set(kinds))) <= 3 and len(set(kinds)) == 4
     assert got == S.free_form_sets(rows).collect()
+
+
+# Streams and SQL text.
+
+
+def test_streams_start_where_routes_were(spark, tmp_path):
+    """Given the states after a restart, samples up to a route's last transition are no evidence, and routes go on in
+    their state; one that is OFF stays so."""
+    from ledgerloom.streaming import promoter
+
+    rows = []
+    for k in range(700):
+        agree = k % 10 > 0
+        for route in ("fresh", "off", "on"):
+            rows.append((k, k, 1, route, "PAIRED", agree, agree, agree, 400, 280, 400, 60, 60, 60, 5, 5, 5, True, True, None, None, None))
+    names = "id long, s long, tenant_id long, route_id string, kind string, ab boolean, cb boolean, ac boolean, in_a long, in_b long, in_c long, out_a long, out_b long, out_c long, lat_a long, lat_b long, lat_c long, ok_a boolean, ok_b boolean, err_a string, err_b string, err_c string"
+    samples = spark.createDataFrame(rows, names).selectExpr("*", "timestamp_seconds(s) AS ts").drop("s")
+    samples.repartition(3).write.parquet(f"{tmp_path}/samples")
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 16).parquet(f"{tmp_path}/samples")
+    start = {(1, "off"): ("OFF", 0), (1, "on"): ("SHADOW", 99_000_000)}
+    out = promoter.promotions(stream, start=start).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    got = {(r.route_id, r.id, r.n, r.from_state, r.to_state) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("fresh", 199, 200, "SHADOW", "ENABLED"), ("on", 299, 200, "SHADOW", "ENABLED")}
+
+
+def test_functions_in_sql_text(spark):
+    P.register_sql(spark)
+    leaves = spark.sql("""SELECT path, value FROM VALUES ('{"a":[1,{"b":"x"}]}'), ('[') AS t(j), LATERAL json_leaf_rows(j)""").collect()
+    assert sorted(map(tuple, leaves)) == [("out/a/0", "1"), ("out/a/1/b", '"x"')]
+    body = J.write([{"id": J.Num(i), "port": "Hull" if i % 2 else "Cork"} for i in range(6)])
+    asked = spark.sql("SELECT q.kind FROM VALUES (:body) AS t(j), LATERAL payload_questions(j, 's') q", {"body": body}).collect()
+    assert {r.kind for r in asked} >= {"count-where", "lookup"}
+    assert spark.sql("SELECT render_payload_json_pretty('[1]').text AS t").first().t == "[\n  1\n]"
+    assert spark.sql("SELECT decode_toonx(encode_toonx('{\"a\":[1,2]}').encoded) AS t").first().t == '{"a":[1,2]}'
