@@ -182,6 +182,8 @@ def main_nodes(root: Node) -> list[Node]:
     if core is body:
         return [body]
     threshold = min(n.density for n in _path(core, body))
+    # A single block beside the core, as an advert or a notice is, has to be as dense as the core's blocks are on average.
+    usual = max(threshold, core.total / max(1, sum(c.chars > 0 for c in containers(core))))
     best = {}
     for n in reversed(nodes):
         best[n] = max([n, *(best[c] for c in containers(n))], key=lambda x: (x.total, x.chars))
@@ -192,7 +194,7 @@ def main_nodes(root: Node) -> list[Node]:
         if n in chosen:
             out.append(n)
             continue
-        if n.density >= threshold and n.chars:
+        if n.density >= (threshold if n.total else usual) and n.chars:
             chosen.add(best[n])
             if best[n] is n:
                 out.append(n)
