@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +229,21 @@ def bounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
 
+#: How numpy's builds of OpenBLAS name the call.
+SET_THREADS = ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads")
+
+
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Matrix products of this worker on one thread: a task has one core, and more threads only wait for one another."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in SET_THREADS:
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return
+
+
 def trimmed() -> None:
     """Gives the system back what earlier tasks of this worker have freed, as models of theirs; a no-op but on glibc."""
     try:

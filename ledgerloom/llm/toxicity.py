@@ -28,7 +28,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, stored
+from .common import bounded, one_thread, slices, stored
 from .near_duplicates import shingle_set
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -84,6 +84,7 @@ class Index:
     @cached_property
     def by_term(self) -> bool:
         """Lays the weights out by term, where something is searched: on the driver nothing is."""
+        one_thread()
         order = np.argsort(self.terms, kind="stable")
         self.places = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))[order]
         self.weights = self.own[order].astype(np.float32)
