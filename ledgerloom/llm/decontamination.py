@@ -29,8 +29,8 @@ from .common import WordHashes, bounded, slices, stored
 
 WORDS = re.compile(r"[^\W_]+")
 WIDTH, PERCENT = 5, 80
-#: Text of the items that an index may be broadcast for; it takes some ten times as much memory.
-INDEX_BYTES = 16 << 20
+#: Text of the items that an index may be broadcast for; it takes some thirty times as much memory.
+INDEX_BYTES = 4 << 20
 #: Parts that the documents with a shingle are dealt in.
 SALT = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
