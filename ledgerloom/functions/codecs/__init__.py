@@ -18,6 +18,9 @@ class Codec(Protocol):
 
     def encode(self, value: object, union: bool = False) -> str: ...
 
+    def both(self, value: object, canonical: str, union: bool = False) -> tuple[str, str | None]:
+        """The encoding, and the canonical text that it was decoded to if the codec checks that it is the same."""
+
     def decode(self, text: str) -> object: ...
 
     def lossless(self, union: bool) -> bool: ...
@@ -35,17 +38,17 @@ def register(codec: Codec) -> Codec:
     return codec
 
 
-def verified(codec: Codec, text: str, value: object) -> str:
-    """text, if it decodes to the very value."""
+def verified(codec: Codec, text: str, canonical: str) -> tuple[str, str]:
+    """text and what it decodes to, if that is the very document."""
     from .. import jsonlex as J
 
     try:
         back = J.write(codec.decode(text))
     except ValueError:
         back = None
-    if back != J.write(value):
+    if back != canonical:
         raise Ineligible("round trip failed")
-    return text
+    return text, back
 
 
 def names() -> list[str]:

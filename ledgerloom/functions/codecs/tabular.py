@@ -58,6 +58,9 @@ class Tabular:
         columns, rows = as_table(value, union, True)
         return "\n".join([J.write(columns), *(J.write([row.get(c) for c in columns]) for row in rows)])
 
+    def both(self, value: object, canonical: str, union: bool = False) -> tuple[str, None]:
+        return self.encode(value, union), None
+
     def decode(self, text: str) -> object:
         lines = [x.removesuffix("\r") for x in text.split("\n")]
         try:

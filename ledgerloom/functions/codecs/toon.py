@@ -149,8 +149,11 @@ class Toon:
                 raise Ineligible(f"string contains control character U+{ord(m[0]):04X}")
 
     def encode(self, value: object, union: bool = False) -> str:
+        return self.both(value, J.write(value))[0]
+
+    def both(self, value: object, canonical: str, union: bool = False) -> tuple[str, str]:
         self.check(value)
-        return verified(self, "\n".join(_object(value, 0) if isinstance(value, dict) else _array("", value, 0)), value)
+        return verified(self, "\n".join(_object(value, 0) if isinstance(value, dict) else _array("", value, 0)), canonical)
 
     def decode(self, text: str) -> object:
         if text == "":

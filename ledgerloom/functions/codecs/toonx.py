@@ -73,6 +73,9 @@ def shared(rows: list[dict[Path, object]], p: Path) -> bool:
 
 def url_start(rows: list[dict[Path, object]], p: Path) -> str:
     """The URL that all strings at p begin with, up to a slash; a rest of digits only would read as a number."""
+    first = next((v for r in rows if (v := r.get(p)) is not None), None)
+    if not isinstance(first, str) or not first.startswith("http"):
+        return ""
     kinds = {J.kind_of(r.get(p)) for r in rows}
     texts = [r[p].encode() for r in rows if J.kind_of(r.get(p)) == "string"]
     if len(rows) < MIN_FACTOR_ROWS or not kinds <= {"string", "null"} or len(texts) < 2:
@@ -417,9 +420,12 @@ class Toonx:
             raise Ineligible("empty array" if isinstance(value, list) else "empty object")
 
     def encode(self, value: object, union: bool = False) -> str:
+        return self.both(value, J.write(value))[0]
+
+    def both(self, value: object, canonical: str, union: bool = False) -> tuple[str, str]:
         self.check(value)
         cut = split_wide(value)
-        return verified(self, "\n".join(object_lines(cut) if isinstance(cut, dict) else array_lines("", cut, 0)), value)
+        return verified(self, "\n".join(object_lines(cut) if isinstance(cut, dict) else array_lines("", cut, 0)), canonical)
 
     def read(self, text: str) -> tuple[object, Features]:
         reader = Reader(text)

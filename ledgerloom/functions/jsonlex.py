@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 MAX_DEPTH = 512
 NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
@@ -77,10 +78,13 @@ def parse(text: str | bytes) -> object:
     try:
         if isinstance(text, bytes):
             text = text.decode("utf-8")
-        v = _clean(_DECODER.decode(text))
+        v = _DECODER.decode(text)
+        # Halves of surrogate pairs come from escapes or stand in the text themselves.
+        if "\\u" in text or _SURROGATE.search(text):
+            v = _clean(v)
     except (ValueError, RecursionError) as e:
         raise e if isinstance(e, JsonError) else JsonError(str(e)) from None
-    if depth_of(v) > MAX_DEPTH:
+    if text.count("[") + text.count("{") > MAX_DEPTH and depth_of(v) > MAX_DEPTH:
         raise JsonError("too deep")
     return v
 
@@ -95,6 +99,12 @@ def quoted(s: str) -> str:
     return '"' + _ESCAPED.sub(lambda m: _SHORT.get(m[0]) or f"\\u{ord(m[0]):04x}", s) + '"'
 
 
+@lru_cache(maxsize=1 << 12)
+def _heads(keys: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Keys in order, each with its JSON text and a colon; rows of a table share them."""
+    return [(k, quoted(k) + ":") for k in sorted(keys, key=lambda k: k.encode())]
+
+
 def _write(v: object, put) -> None:
     if isinstance(v, str):
         if isinstance(v, Num):
@@ -105,8 +115,8 @@ def _write(v: object, put) -> None:
             put(quoted(v))
     elif isinstance(v, dict):
         mark = "{"
-        for k in in_key_order(v):
-            put(mark + quoted(k) + ":")
+        for k, head in _heads(tuple(v)):
+            put(mark + head)
             _write(v[k], put)
             mark = ","
         put("}" if v else "{}")

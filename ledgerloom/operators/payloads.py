@@ -121,7 +121,7 @@ def encode_payload(name: str, union: bool = False):
         whole = J.write(value)
         try:
             codec.check(value, union)
-            return True, None, whole, codec.encode(value, union)
+            return True, None, whole, codec.both(value, whole, union)[0]
         except Ineligible as e:
             return False, str(e), whole, None
 
@@ -132,6 +132,25 @@ def encode_payload(name: str, union: bool = False):
     return encode
 
 
+def round_trip(name: str):
+    """A UDF: a payload's encoding and the canonical JSON that it was decoded to, in one pass; nulls if it doesn't fit."""
+    codec = CODECS[name]
+
+    def one(text: str | None):
+        try:
+            value = J.parse(text) if text is not None else None
+            made, back = codec.both(value, J.write(value)) if text is not None else (None, None)
+        except ValueError:
+            return None, None
+        return made, J.write(codec.decode(made)) if back is None and made is not None else back
+
+    @arrow_udf("struct<encoded string, decoded string>")
+    def trip(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["encoded", "decoded"])
+
+    return trip
+
+
 def decode_payload(name: str):
     """A UDF: canonical JSON of an encoded text; null if it doesn't decode."""
     codec = CODECS[name]
