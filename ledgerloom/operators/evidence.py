@@ -87,18 +87,31 @@ def sums(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in terms().items()])
 
 
-def running(samples: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+def by_day(ts: str = "ts") -> Column:
+    """The day of a sample; those without a time come first."""
+    return F.coalesce(F.date_trunc("day", F.col(ts)), F.lit("0001-01-01").cast("timestamp"))
+
+
+def running(samples: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, piece: Column | None = None) -> DataFrame:
     """Each sample with the sums up to it, or over the last `rows` samples: the sums up to it less those up to `rows` before.
 
-    A sample is added once, however wide the window; both frames share one sort."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    A sample is added once, however wide the window. piece: a column that rises with the order (by_day() unless given); a
+    key is summed piece by piece, and each piece begins with the sums of those before it, so that a key of very many
+    samples is no single task. The sums `rows` before are met by the sample's number."""
+    piece = by_day(order[0]) if piece is None else piece
     names = ["n", *terms()]
-    summed = samples.select("*", F.count("*").over(upto).alias("n"), *[F.sum(c).over(upto).alias(name) for name, c in terms().items()])
+    dealt = samples.select("*", *[c.alias(f"_{name}") for name, c in terms().items()], F.lit(1).cast("long").alias("_n"), piece.alias("_piece"))
+    upto = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = dealt.select(*samples.columns, "_piece", *[F.sum(f"_{c}").over(upto).alias(f"_{c}") for c in names])
+    totals = dealt.groupBy(*keys, "_piece").agg(*[F.sum(f"_{c}").alias(c) for c in names])
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    start = totals.select(*keys, "_piece", *[F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long")).alias(f"_{c}_before") for c in names])
+    summed = within.join(start, [*keys, "_piece"]).select(*samples.columns, *[(F.col(f"_{c}") + F.col(f"_{c}_before")).alias(c) for c in names])
     if rows is None:
         return summed
-    before = lambda c: F.coalesce(F.lag(c, rows).over(w), F.lit(0).cast("long"))
-    return summed.select(*samples.columns, *[(F.col(c) - before(c)).alias(c) for c in names])
+    gone = summed.select(*keys, (F.col("n") + rows).alias("n"), *[F.col(c).alias(f"_{c}") for c in names[1:]])
+    met = summed.join(gone, [*keys, "n"], "left")
+    return met.select(*samples.columns, F.least("n", F.lit(rows).cast("long")).alias("n"), *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0).cast("long"))).alias(c) for c in names[1:]])
 
 
 def stats(price_ratio: float = 4.0, z: float = DEFAULTS.z) -> list[Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,16 +32,25 @@ def with_factor(requests: DataFrame, factors: DataFrame) -> DataFrame:
     return met.select(*requests.columns, F.coalesce("_exact", "_plain", "_prefix", F.lit(1.0)).alias("factor"))
 
 
+#: What is left of a ratio's weight is nothing beside a sum in double precision.
+FADED = 1e-20
+
+
 def ewma(seen: DataFrame, keys: Sequence[str], order: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """Per key the running estimate after all ratios above 0 in order; the first replaces the initial value.
 
     The last of n ratios weighs alpha, each one before it 1 - alpha as much, and the first the rest, so a sum of weighted
-    ratios by their place from the end does for the fold."""
-    w = Window.partitionBy(*keys)
-    rows = seen.where(F.col("ratio") > 0).select(*keys, "ratio", F.row_number().over(w.orderBy(*[F.desc(c) for c in order])).alias("_k"), F.count("*").over(w).alias("_n"))
+    ratios by their place from the end does for the fold. Places whose weight has faded below a double's precision add
+    nothing, so tasks pass on only the last ones."""
+    rows = seen.where(F.col("ratio") > 0)
+    last = int(math.log(FADED) / math.log1p(-alpha)) + 1 if 0 < alpha < 1 else 1
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    kept = rows.withColumn("_k", place).where(F.col("_k") <= last).select(*keys, "ratio", "_k")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     fade = F.pow(F.lit(1 - alpha), (F.col("_k") - 1).cast("double"))
-    weight = F.when(F.col("_k") == F.col("_n"), fade).otherwise(F.lit(alpha) * fade)
-    return rows.groupBy(*keys).agg(F.sum(weight * F.col("ratio")).alias("factor"), F.count("*").alias("n"))
+    weight = F.when(F.col("_k") == F.col("n"), fade).otherwise(F.lit(alpha) * fade)
+    met = kept.join(counts, list(keys))
+    return met.groupBy(*keys).agg(F.sum(weight * F.col("ratio")).alias("factor"), F.first("n").alias("n"))
 
 
 DUE = "model string, ts timestamp, id long"

@@ -187,8 +187,8 @@ def unfinished(jobs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFra
 def round_robin(questions: DataFrame, kind: str, order: Column, limit: int, tie: str, seen: str) -> DataFrame:
     """A sample that takes kinds in turn, as first seen: first each kind's first question in order, then the second ones."""
     w = Window.partitionBy(kind).orderBy(order, tie)
-    first = F.min(seen).over(Window.partitionBy(kind))
-    placed = questions.withColumn("_rn", F.row_number().over(w)).withColumn("_first", first).where(F.col("_rn") <= limit)
+    firsts = questions.groupBy(kind).agg(F.min(seen).alias("_first"))
+    placed = questions.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).join(firsts, kind)
     return placed.orderBy("_rn", "_first").limit(limit).drop("_rn", "_first")
 
 

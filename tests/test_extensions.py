@@ -358,3 +358,33 @@ def test_functions_in_sql_text(spark):
     assert {r.kind for r in asked} >= {"count-where", "lookup"}
     assert spark.sql("SELECT render_payload_json_pretty('[1]').text AS t").first().t == "[\n  1\n]"
     assert spark.sql("SELECT decode_toonx(encode_toonx('{\"a\":[1,2]}').encoded) AS t").first().t == '{"a":[1,2]}'
+
+
+def test_running_sums_across_pieces(spark):
+    """Sums up to each sample and over the last ones, for samples without a time, on one day and over several."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, draw.choice([None, 10, 86_400 * 2 + 5, 86_400 * 2 + 5, 86_400 * 9]), i % 2, *(draw.random() < 0.5 for _ in range(3)), *(draw.randrange(50) for _ in range(6)), None, True) for i in range(120)]
+    names = "id long, s long, k long, ab boolean, cb boolean, ac boolean, in_a long, in_b long, in_c long, out_a long, out_b long, out_c long, ok_a boolean, ok_b boolean"
+    df = spark.createDataFrame(rows, names).selectExpr("*", "timestamp_seconds(s) AS ts")
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    for last in (None, 7):
+        want = {}
+        for k in (0, 1):
+            own = [r for r in ordered if r[2] == k]
+            for i, r in enumerate(own):
+                part = own[: i + 1] if last is None else own[max(0, i + 1 - last) : i + 1]
+                want[r[0]] = (len(part), sum(int(p[3]) + int(p[4]) - 2 * int(p[5]) for p in part), sum(p[7] for p in part))
+        got = {r.id: (r.n, r.d2, r.in_enc) for r in E.running(df, ["k"], ["ts", "id"], last).collect()}
+        assert got == want
+
+
+def test_ewma_of_many(spark):
+    values = [(i * 37 % 101 + 50) / 100 for i in range(3000)]
+    want = values[0]
+    for v in values[1:]:
+        want = 0.9 * want + 0.1 * v
+    rows = spark.createDataFrame([("m", i, v) for i, v in enumerate(values)] + [("m", 9999, 0.0), ("one", 1, 2.5)], "model string, id long, ratio double")
+    got = {r.model: (r.factor, r.n) for r in joins.ewma(rows, ["model"], ["id"]).collect()}
+    assert abs(got["m"][0] - want) < 1e-12 and got["m"][1] == 3000 and got["one"] == (2.5, 1)
