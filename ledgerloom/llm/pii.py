@@ -125,6 +125,23 @@ def features(words: list[str]) -> list[list[str]]:
     return out
 
 
+LABELS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
+#: Rows that a field may be trained from, on the driver.
+MOST_ROWS = 5000
+
+
+def rows_of(labelled: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """The caller's labelled table: words and labels (arrays of equal length; labels of LABELS). Rows without words are
+    left out; more than MOST_ROWS rows, or a label that isn't known, are an error."""
+    found = labelled.select("words", "labels").where(F.size("words") > 0).limit(MOST_ROWS + 1).collect()
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"a field is trained from at most {MOST_ROWS} rows")
+    for r in found:
+        if len(r.words) != len(r.labels) or not set(r.labels) <= set(LABELS):
+            raise ValueError(f"labels {r.labels} don't fit {r.words}")
+    return [(list(r.words), list(r.labels)) for r in found]
+
+
 def labelled_rows(n: int = 240) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: sentences of ordinary words with values made by rule, a label to each word.
 
@@ -164,10 +181,14 @@ def labelled_rows(n: int = 240) -> list[tuple[list[str], list[str]]]:
     return rows
 
 
+def fitted(rows: list[tuple[list[str], list[str]]]) -> LinearChainCRF:
+    return LinearChainCRF(LABELS, features).fit(rows)
+
+
 @lru_cache(maxsize=1)
 def trained() -> LinearChainCRF:
-    labels = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
-    return LinearChainCRF(labels, features).fit(labelled_rows())
+    """The field of the table made by rule."""
+    return fitted(labelled_rows())
 
 
 def windows(text: str, around: int = 2) -> list[list[tuple[int, int]]]:
@@ -225,18 +246,18 @@ def all_spans(texts: list[str], model: LinearChainCRF) -> list[tuple[list[Span],
 CHUNK = 512
 
 
-def _found(docs: DataFrame):
+def _found(docs: DataFrame, labelled: DataFrame | None):
     bounded(docs.sparkSession)
-    return docs.sparkSession.sparkContext.broadcast(trained())
+    return docs.sparkSession.sparkContext.broadcast(trained() if labelled is None else fitted(rows_of(labelled)))
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+def personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. labelled: a table to train the field from.
 
     Defined cases: a null text is empty and has no spans; repeated rows are answered each; a null doc_id stays null;
     other columns are ignored.
     """
-    model = _found(docs)
+    model = _found(docs, labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -263,9 +284,9 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def without_personal_data(docs: DataFrame) -> DataFrame:
+def without_personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """docs with all spans masked in text, and n_chars following it where that column exists."""
-    model = _found(docs)
+    model = _found(docs, labelled)
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

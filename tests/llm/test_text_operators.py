@@ -125,6 +125,17 @@ def test_words_far_from_marks_change_nothing(spark, sf_dir):
     assert both >= 0.99 * sum(len(set(a) | set(b)) for a, b in zip(near, whole)) and both
 
 
+def test_field_of_the_callers_table(spark):
+    plain = "the boat lay at anchor off the quay until noon".split()
+    rows = [([*plain[: k % 6], f"berth{k % 10}-{k % 7}", *plain[k % 5 :]], ["O"] * (k % 6) + ["B-card"] + ["O"] * (len(plain) - k % 5)) for k in range(60)]
+    labelled = spark.createDataFrame([*rows, ([], [])], "words array<string>, labels array<string>")
+    docs = spark.createDataFrame([(1, "we saw berth4-3 there, and 17 gulls")], "doc_id long, text string")
+    assert pii.personal_data(docs, labelled).first().spans == "card:7:15" and pii.personal_data(docs).first().spans == ""
+    for bad in ([(["a"], ["O", "O"])], [(["a"], ["B-name"])]):
+        with pytest.raises(ValueError):
+            pii.personal_data(docs, spark.createDataFrame(bad, "words array<string>, labels array<string>"))
+
+
 def test_field_on_held_out_rows():
     rows = pii.labelled_rows(400)[240:]
     model = pii.trained()
