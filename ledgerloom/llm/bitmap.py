@@ -28,7 +28,7 @@ def bitmap(ids: DataFrame, name: str, place: Column | None = None) -> Broadcast:
         ids.select(F.shiftright(place, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32))).alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(1 << (BITS - 5), np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)

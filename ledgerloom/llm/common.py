@@ -72,19 +72,28 @@ def releasing(spark: SparkSession) -> Iterator[None]:
 HOT = 1024
 
 
-def hot_keys(rows: DataFrame, on: str) -> list:
-    """The hot values of a column, fewer than HOT; rows should be a stored table, as they are read twice."""
-    least = max(1, rows.count() // HOT)
-    return [r[on] for r in rows.groupBy(on).agg(F.count("*").alias("n")).where((F.col("n") > least) & F.col(on).isNotNull()).select(on).collect()]
+def hot_keys(rows: DataFrame, on: str, least: int | None = None) -> DataFrame | None:
+    """The hot values of a column, fewer than HOT rows, or None without any; rows should be a stored table, as they are
+    read twice. The values are a table and no literals, so that plans stay small."""
+    least = max(1, rows.count() // HOT) if least is None else least
+    counts = rows.groupBy(on).agg(F.count("*").alias("n")).where((F.col("n") > least) & F.col(on).isNotNull())
+    return hot_table(counts, on)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, hot: list, how: str = "inner") -> DataFrame:
+def hot_table(values: DataFrame, on: str) -> DataFrame | None:
+    """Fewer than HOT values as a table of their own."""
+    found = values.select(on).toArrow()
+    return values.sparkSession.createDataFrame(found).withColumn("_hot", F.lit(True)) if found.num_rows else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """left joined with right, which has each value once: rows of hot values stay where they are and meet a broadcast of
     right's rows for them, fewer than HOT; the rest are dealt by the value."""
-    if not hot:
+    if hot is None:
         return left.join(right, on, how)
-    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
-    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), on, how))
+    marked = left.join(F.broadcast(hot), on, "left")
+    warm = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(right.join(F.broadcast(hot.select(on)), on, "left_semi")), on, how)
+    return warm.unionByName(marked.where(F.col("_hot").isNull()).drop("_hot").join(right, on, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -245,7 +254,8 @@ def one_thread() -> None:
 
 
 def trimmed() -> None:
-    """Gives the system back what earlier tasks of this worker have freed, as models of theirs; a no-op but on glibc."""
+    """Gives the system back what this process has freed, as models of earlier tasks or steps; glibc's part only there."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, place_of, test_bits
-from .common import HOT, WORD_BYTES_RE, WORD_HASHES, bounded, hot_keys, spread_join, stored, trimmed
+from .common import HOT, WORD_BYTES_RE, WORD_HASHES, bounded, hot_keys, hot_table, spread_join, stored, trimmed
 
 CHUNKS, VALUES, ERRORS = 13, 6, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -256,7 +256,7 @@ def _left(tested: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     number = lambda kind, k: kind.cast("long") * F.lit(1 << 32) + k
     own = F.get(F.filter("kinds", lambda k: k["kind"] == F.col("kind")), F.lit(0))["blocks"]
     others = F.flatten(F.transform(F.filter("kinds", near), lambda k: F.transform(F.sequence(F.lit(0), k["blocks"] - 1), lambda i: number(k["kind"], i))))
-    dealt = spread_join(met, layout, "hub", hot)
+    dealt = spread_join(met, layout, "hub", hot and hot.withColumnRenamed("a", "hub"))
     dealt = dealt.withColumn("block", number(F.col("kind"), F.pmod(F.xxhash64("node"), own))).withColumn("other", F.explode(others))
     pairs = dealt.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "apart", "shingles")
 
@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     it (else null) and isn't kept; ties go to the smallest doc_id; other columns are ignored.
     """
     bounded(docs.sparkSession)
+    trimmed()
     rows = stored(sketch(docs, width), "sketches")
     sized = rows.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = sized.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.min_by("row_no", "doc_id").alias("row_no"))
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spread = _bucket_rows(reps)
     shared = spread.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1")
     shared = stored(shared, "buckets")
-    hot = [r.key for r in shared.where(F.col("members") > max(1, reps.count() * CHUNKS * VALUES // HOT)).select("key").collect()]
+    hot = hot_table(shared.where(F.col("members") > max(1, reps.count() * CHUNKS * VALUES // HOT)), "key")
     star = spread_join(spread, shared.select("key", "hub"), "key", hot).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     star = stored(star, "stars")
     nodes = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()

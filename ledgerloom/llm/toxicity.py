@@ -28,7 +28,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, one_thread, slices, stored
+from .common import bounded, one_thread, slices, stored, trimmed
 from .near_duplicates import shingle_set
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -395,6 +395,7 @@ def _fitted(spark: SparkSession, scorer: Scorer, made: pa.Table, share: dict[int
     rows, worth = [rows[i] for i in place], worth[place]
     scorer.ids, scorer.toxic = ids[place], toxic[place]
     scorer.index = Index(rows, len(scorer.words))
+    trimmed()
     if not len(rows):
         return scorer
     sent = spark.sparkContext.broadcast(scorer)

@@ -410,8 +410,9 @@ def test_no_key_goes_to_one_task(spark):
 
     rows = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(0, 20000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert hot_keys(rows, "k") == [1]
-    got = spread_join(rows, right, "k", [1], "left")
+    hot = hot_keys(rows, "k")
+    assert [r.k for r in hot.collect()] == [1] and hot_keys(right, "k") is None
+    got = spread_join(rows, right, "k", hot, "left")
     assert got.count() == 9000 and got.where("k = 1 and v = 2").count() == 3000 and got.where("k is null and v is null").count() == 3000
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
 
