@@ -331,7 +331,8 @@ RANK_SQL = "CASE WHEN change_lo > -0.03 THEN 3 WHEN change_hi < -0.03 THEN 1 ELS
 )
 def primer_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is a variant adopted: cheaper on three models by the whole interval, ranked worse on none."""
-    return R.primer_adopted(R.primer_report(records(spark, sf_dir), "tabular", "toonx", RESAMPLES).withColumn("variant", F.lit("tabular")))
+    said = R.primer_adopted(R.primer_report(records(spark, sf_dir), "tabular", "toonx", RESAMPLES), keys=())
+    return said.select(F.lit("tabular").alias("variant"), "cheaper", "worse", "adopted")
 
 
 @query(f"WITH {COUNTED} SELECT coalesce(dataset, 'all') AS dataset, " + ", ".join(f"sum(input_tokens) FILTER (format = '{f}')::BIGINT AS \"{f}\"" for f in FORMATS) + " FROM k GROUP BY ROLLUP (dataset)")

@@ -2,7 +2,7 @@ import pytest
 
 from ledgerloom.plans.catalog import QUERIES, SQL
 
-from .oracle import of_spark, of_sql
+from .oracle import TABLES, of_spark, of_sql
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -48,3 +48,16 @@ def test_questions_against_the_tables(spark, sf_dir):
         assert r.answer == want, r
         seen.add(r.kind)
     assert {"count-where", "argmax", "lookup"} <= seen
+
+
+@pytest.mark.parametrize("copies", [0, 2])
+def test_primer_rule_on_more_events_and_none(spark, sf_dir, tmp_path, copies):
+    """The events with shifted keys, so that verdicts rank apart, and without a row, so that no model has pairs."""
+    import duckdb
+
+    for t in set(TABLES) - {"events"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    shifted = f"SELECT event_id + i * 11000 AS event_id, * EXCLUDE (event_id, i) FROM '{sf_dir}/events.parquet', range(0, {copies}) c(i)"
+    duckdb.sql(f"COPY ({shifted}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got, want = of_spark(QUERIES["primer_rule"](spark, str(tmp_path))), of_sql(SQL["primer_rule"], str(tmp_path))
+    assert got == want

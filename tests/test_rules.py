@@ -13,6 +13,7 @@ from ledgerloom.functions import messages as M
 from ledgerloom.functions import scoring as S
 from ledgerloom.operators import evidence as E
 from ledgerloom.operators import payloads as P
+from ledgerloom.operators import records as R
 from ledgerloom.operators import wire as W
 from ledgerloom.plans.evidence_queries import samples
 from ledgerloom.plans.stream_queries import SAMPLES
@@ -223,3 +224,10 @@ def test_payload_udfs_and_sql_names(spark):
 def test_clean_reply(spark):
     df = spark.createDataFrame([("<think>a\nb</think> x ",), ("Because.\nAnswer: 12.",), ("plain\ntext",), (None,)], "r string")
     assert [r[0] for r in df.select(C.clean_reply(F.col("r"))).collect()] == ["x", "12", "plain\ntext", None]
+
+
+@pytest.mark.parametrize(("said", "base", "worse"), [("worse than JSON", "inconclusive", 3), ("inconclusive", "non-inferior", 3), ("inconclusive", "inconclusive", 0), ("non-inferior", "worse than JSON", 0)])
+def test_primers_are_adopted_unless_a_verdict_is_worse(spark, said, base, worse):
+    rows = spark.createDataFrame([(m, "p2", -0.1, said, base) for m in "abc"], "model string, variant string, cost_hi double, said string, base string")
+    (got,) = R.primer_adopted(rows.withColumns({"rank": R.rank(F.col("said")), "base_rank": R.rank(F.col("base"))})).collect()
+    assert (got.variant, got.cheaper, got.worse, got.adopted) == ("p2", 3, worse, worse == 0)
